@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.mapping import Record, resolve
 from ..operators.schedule import moment, skip_forward
-from ..operators.selection import runnable_agents, selection_summary, select_rows  # noqa: F401
+from ..operators.selection import select_rows, selection_summary
 from ..operators.upsert import collapse, idempotency_key, record_id
 from ..session import stage
 from ..sinks.delivery import DeliveryError
@@ -56,7 +56,8 @@ def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Rec
         rows = collapse(identified, "_id", *order).drop("_id")
     owner = f"{spec.name}/{spec.entity}"
     if spec.key_columns:
-        key = idempotency_key(owner, [F.col(c) for c in spec.key_columns])
+        # The version is part of the key: a changed row is sent, a repeated one is not.
+        key = idempotency_key(owner, [F.col(f"`{c}`") for c in order])
     else:
         key = F.lit(None).cast("string")
     return rows, resolve(rows, spec.field_mappings), key

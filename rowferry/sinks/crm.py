@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,30 +80,27 @@ class CrmSink:
         self.results_path, self.transport = results_path, transport
         self.parallelism, self.batch_size = parallelism, batch_size
 
-    def _already_created(self, spark: SparkSession) -> DataFrame | None:
+    def _unsent(self, calls: DataFrame) -> DataFrame:
+        """Calls without the creates an earlier run has already got through."""
         try:
-            log = spark.read.schema(RESULT_SCHEMA + ", run string").parquet(self.results_path)
+            log = calls.sparkSession.read.schema(RESULT_SCHEMA + ", run string").parquet(self.results_path)
         except AnalysisException:  # nothing sent yet
-            return None
-        done = (F.col("outcome") == "written") & (F.col("op") == "create") & F.col("call_key").isNotNull()
-        return log.where(done).select("call_key")
+            return calls
+        done = log.where((F.col("outcome") == "written") & (F.col("op") == "create") & F.col("call_key").isNotNull())
+        sent = done.select(F.col("call_key").alias("sent_key"))
+        repeated = (F.col("call_key") == F.col("sent_key")) & (F.col("op") == "create")
+        return calls.join(sent, repeated, "left_anti")
 
     def deliver(self, df: DataFrame, record: Record, entity: str, key: Column, run_id: str) -> Delivered:
         require_entity(self.type, entity)
         spark = df.sparkSession
         destination = Destination(self.type, entity, self.url, self.token, self.timeout)
         keyed = df.withColumn("call_key", key)
-        done = self._already_created(spark)
         if self.type == "bitrix24":
             calls = record_calls(keyed, record, entity, keep=("call_key",)).withColumn("n", F.lit(1))
-            if done is not None:
-                # The log only ever holds creates, and updates carry no key that is in it.
-                calls = calls.join(done, "call_key", "left_anti")
-            calls = self._bounded(calls)
+            calls = self._bounded(self._unsent(calls))
         else:
-            items = batch_items(keyed, record, keep=("call_key",))
-            if done is not None:
-                items = items.join(done, "call_key", "left_anti")
+            items = self._unsent(batch_items(keyed, record, keep=("call_key",)))
             odd = items.where("unsendable").limit(1).count()
             if odd:
                 return Delivered(failed=1, error="a field holds NaN or infinity, which JSON cannot carry")
@@ -110,7 +108,8 @@ class CrmSink:
                 F.lit(None).cast("string").alias("call_key"), "op", F.lit(None).cast("string").alias("method"),
                 "n", "payload", F.lit(False).alias("unsendable"),
             )
-        folder = f"{self.results_path}/run={run_id}"
+        # One folder per attempt: a repeated run adds to the log and is counted alone.
+        folder = f"{self.results_path}/run={run_id}-{uuid.uuid4().hex[:8]}"
         send_calls(calls, destination, self.transport).write.mode("append").parquet(folder)
         results = spark.read.schema(RESULT_SCHEMA).parquet(folder)
         counts = written_counts(results).first()

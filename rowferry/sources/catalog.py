@@ -41,8 +41,6 @@ AMOCRM_FIELDS = {
 # Fixed value: entities that cannot have custom fields.
 WITHOUT_CUSTOM_FIELDS = ("tasks",)
 
-_FIELD_SCHEMA = "entity string, name string, data_type string, nullable boolean, is_primary_key boolean"
-
 
 class TableNotFound(Exception):
     """The relation has no columns in the catalog."""
@@ -141,8 +139,13 @@ def columns_of(described: DataFrame, table: str, schema: str) -> DataFrame:
 
 
 def standard_fields(spark: SparkSession) -> DataFrame:
-    rows = [(entity, *f) for entity, fields in AMOCRM_FIELDS.items() for f in fields]
-    return spark.createDataFrame(rows, _FIELD_SCHEMA)
+    names = ("entity", "name", "data_type", "nullable", "is_primary_key")
+    rows = [
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (entity, *f))])
+        for entity, fields in AMOCRM_FIELDS.items()
+        for f in fields
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def entity_fields(standard: DataFrame, custom: DataFrame) -> DataFrame:
