@@ -14,7 +14,8 @@ REAL = (
     r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)"
     r"([eE][+-]?[0-9]+(_[0-9]+)*)?$"
 )
-NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
+INFINITE = r"(?i)^[+-]?(inf|infinity)$"
+NOT_A_NUMBER = r"(?i)^[+-]?nan$"
 
 
 def integer_of(text: Column) -> Column:
@@ -31,9 +32,9 @@ def real_of(text: Column) -> Column:
     """
     t = strip(text)
     return F.when(
-        t.rlike(REAL) | t.rlike(NOT_FINITE),
+        t.rlike(REAL) | t.rlike(INFINITE),
         F.replace(t, F.lit("_"), F.lit("")).try_cast("double"),
-    )
+    ).when(t.rlike(NOT_A_NUMBER), F.lit(float("nan")))
 
 
 def number_parts(text: Column) -> tuple[Column, Column, Column]:

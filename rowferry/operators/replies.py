@@ -46,15 +46,18 @@ def parse_scores(replies: DataFrame, reply: str = "reply", batch_len: str | None
             F.coalesce(last["r"], F.lit(NOT_SCORED)).alias("reason"),
         )
 
-    # An empty batch has no rows; sequence(0, -1) would count down.
+    # An empty batch has no rows; sequence(0, -1) would count down. The outer
+    # form of inline keeps Catalyst from deriving a "not empty" filter, which
+    # would parse every reply a second time.
     places = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
     return (
         replies.withColumn("_v", R.decode(F.col(reply)))
         .withColumn("_items", judged)
         .withColumn("_rows", F.transform(places, place))
         .drop("_v", "_items", reply)
-        .select("*", F.inline("_rows"))
+        .select("*", F.inline_outer("_rows"))
         .drop("_rows")
+        .where(F.col("row_index").isNotNull())
     )
 
 
@@ -112,7 +115,7 @@ def parse_pairs(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return (
         replies.withColumn("_p", pairs)
         .drop(reply)
-        .select("*", F.posexplode("_p").alias("pos", "_pair"))
+        .select("*", F.posexplode_outer("_p").alias("pos", "_pair"))
         .where(F.col("_pair").isNotNull())
         .select(*[c for c in replies.columns if c != reply], "pos", "_pair.*")
     )

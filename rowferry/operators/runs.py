@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .schedule import micros, moment
+from .schedule import micros, moment, whole
 
 # Page bounds of a listing, tolerated lateness, days of the chart.
 PAGE_DEFAULT, PAGE_MAX = 100, 1000
@@ -59,8 +59,8 @@ def with_labels(runs: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
 
 def duration_seconds(started: Column, finished: Column) -> Column:
     """Whole seconds, .5 upwards, never negative; null while running."""
-    seconds = F.floor((micros(finished) - micros(started) + F.lit(500_000)) / F.lit(1_000_000).cast("decimal(20,0)"))
-    return F.when(finished.isNotNull(), F.greatest(F.lit(0), seconds.cast("bigint")))
+    seconds = whole(micros(finished) - micros(started) + 500_000, 1_000_000)
+    return F.when(finished.isNotNull(), F.greatest(F.lit(0), seconds))
 
 
 def daily_outcomes(runs: DataFrame, today: str, days: int = CHART_DAYS) -> DataFrame:
@@ -129,8 +129,8 @@ def search_literal(df: DataFrame, term: str | None, column: str = "name") -> Dat
 
 def delay_text(delay: Column) -> Column:
     """Microseconds as ``3h 10m`` or ``10m``, whole minutes."""
-    minutes = F.floor(delay / F.lit(60_000_000).cast("decimal(20,0)")).cast("bigint")
-    hours = F.floor(minutes / 60).cast("bigint")
+    minutes = whole(delay, 60_000_000)
+    hours = whole(minutes, 60)
     rest = F.concat((minutes % 60).cast("string"), F.lit("m"))
     return F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h "), rest)).otherwise(rest)
 

@@ -23,6 +23,11 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def whole(a: Column, b: Column | int) -> Column:
+    """Integer division, cut towards zero."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
 def _is_hours() -> Column:
     return F.col(UNIT) == "hours"
 
@@ -55,8 +60,8 @@ def skip_forward(anchor: Column, finished: Column) -> Column:
     division.
     """
     first = next_run(anchor)
-    width = F.when(_is_hours(), F.lit(3_600_000_000)).otherwise(F.lit(86_400_000_000)) * F.col(VALUE)
-    missed = F.floor((micros(finished) - micros(first)) / width.cast("decimal(20,0)")).cast("bigint")
+    width = F.when(_is_hours(), F.lit(3_600_000_000)).otherwise(F.lit(86_400_000_000)) * F.col(VALUE).cast("bigint")
+    missed = whole(micros(finished) - micros(first), width)
     return F.when(first > finished, first).otherwise(first + _step(missed + 1))
 
 
@@ -82,10 +87,12 @@ def upcoming(schedules: DataFrame, days: int = 7) -> DataFrame:
     """(sync_id, sync_name, fire_at) of every active schedule for 1..30 days from its next run."""
     if not 1 <= days <= 30:
         raise ValueError("days must be between 1 and 30")
+    # There is always a first fire, so the outer form adds no row; the plain one
+    # would work out every array twice, once to see that it is not empty.
     return schedules.where((F.col("status") == "active") & F.col("next_run").isNotNull()).select(
         "sync_id",
         F.col("name").alias("sync_name"),
-        F.explode(occurrences(F.col("next_run"), days)).alias("fire_at"),
+        F.explode_outer(occurrences(F.col("next_run"), days)).alias("fire_at"),
     )
 
 

@@ -69,7 +69,7 @@ def suggest_by_name(source_columns: DataFrame, destination_fields: DataFrame, ow
     """
     words = F.size(_tokens(F.col("source_field")))
     offered = (
-        source_columns.select(owner, "source_field", "pos", words.alias("n"), F.inline(_keys(F.col("source_field"))))
+        source_columns.select(owner, "source_field", "pos", words.alias("n"), F.inline_outer(_keys(F.col("source_field"))))
         .groupBy(owner, "tier", "key")
         .agg(F.min(F.struct("n", "pos", "source_field")).alias("s"))
     )
@@ -77,7 +77,7 @@ def suggest_by_name(source_columns: DataFrame, destination_fields: DataFrame, ow
         owner,
         "destination_field",
         F.size(_tokens(F.col("destination_field"))).alias("m"),
-        F.inline(_keys(F.col("destination_field"))),
+        F.inline_outer(_keys(F.col("destination_field"))),
     ).where(F.col("key") != "")
     overlap = F.lit(1.0) / (F.col("s.n") + F.col("m") - 1)
     confidence = (

@@ -24,8 +24,8 @@ def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def window(source: DataFrame, field: str | None, last: object | None) -> tuple[DataFrame, object | None]:
-    """The rows of this run and the watermark after it.
+def window(source: DataFrame, field: str | None, last: object | None) -> tuple[DataFrame, str | None]:
+    """The rows of this run and the watermark after it, as text.
 
     The upper end is looked up first and the read is closed there. Rows that
     arrive meanwhile lie above it and come with the next run, so the
@@ -34,10 +34,10 @@ def window(source: DataFrame, field: str | None, last: object | None) -> tuple[D
     rows = newer_than(source, field, last)
     if not field:
         return rows, None
-    highest = next_watermark(rows, field).first()["watermark"]
+    highest = next_watermark(rows, field).select(F.col("watermark").cast("string")).first()[0]
     if highest is None:
         return rows, None
-    closed = F.col(f"`{field}`") <= F.lit(highest)
+    closed = F.col(f"`{field}`") <= F.lit(highest).cast(source.schema[field].dataType)
     if last is None:
         closed = closed | F.col(f"`{field}`").isNull()
     return rows.where(closed), highest

@@ -69,7 +69,7 @@ def _fires_sql(days: int, where: str) -> str:
 )
 def schedule_occurrences(spark, folder):
     known = S.syncs(spark, folder).where("next_run IS NOT NULL")
-    return known.select("sync_id", F.explode(T.occurrences(F.col("next_run"), 3)).alias("fire_at"))
+    return known.select("sync_id", F.explode_outer(T.occurrences(F.col("next_run"), 3)).alias("fire_at"))
 
 
 @query(

@@ -100,9 +100,11 @@ FROM customer
 """,
 )
 def score_batches(spark, folder):
+    most = sel.BATCH_SIZE
+
     def scorer(batch):
         # Stands for a model: judges each row on its own and leaves some out.
-        assert len(batch) <= sel.BATCH_SIZE
+        assert len(batch) <= most
         return [
             (i, row["c_acctbal"] / 8000, row["c_mktsegment"] + " ")
             for i, row in enumerate(batch)

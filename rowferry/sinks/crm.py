@@ -117,7 +117,8 @@ class CrmSink:
         return Delivered(counts["written"], counts["not_found"], counts["failed"], error)
 
     def _bounded(self, df: DataFrame) -> DataFrame:
-        return df if self.parallelism is None else df.coalesce(self.parallelism)
+        # Not coalesce: that would also read and convert in so few tasks.
+        return df if self.parallelism is None else df.repartition(self.parallelism)
 
 
 @dataclass

@@ -46,7 +46,7 @@ def _utc():
 
 def next_watermark(df: DataFrame, field: str) -> DataFrame:
     """One row: how many rows were read and the highest value among them."""
-    return df.agg(F.count(F.lit(1)).alias("rows_read"), F.max(field).alias("watermark"))
+    return df.agg(F.count(F.lit(1)).alias("rows_read"), F.max(f"`{field}`").alias("watermark"))
 
 
 class WatermarkLog:
