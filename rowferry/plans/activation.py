@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.mapping import Record, resolve
 from ..operators.schedule import moment, skip_forward
 from ..operators.selection import select_rows, selection_summary
-from ..operators.upsert import collapse, idempotency_key, record_id
+from ..operators.upsert import UPDATE, collapse, idempotency_key, record_id, record_op
 from ..session import stage
 from ..sinks.delivery import DeliveryError
 from ..sources.incremental import WatermarkLog, newer_than, next_watermark
@@ -52,7 +52,9 @@ def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Rec
     record = resolve(rows, spec.field_mappings)
     order = [c for c in (spec.incremental_field, *spec.key_columns) if c]
     if order and ("ID" in record or "id" in record):
-        identified = rows.withColumn("_id", _plain(record_id(record)))
+        # As text, so that an id of any type can be compared; a create has none.
+        text = F.to_json(F.struct(record_id(record).alias("id")))
+        identified = rows.withColumn("_id", F.when(record_op(record) == UPDATE, text))
         rows = collapse(identified, "_id", *order).drop("_id")
     owner = f"{spec.name}/{spec.entity}"
     if spec.key_columns:
@@ -63,10 +65,6 @@ def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Rec
     return rows, resolve(rows, spec.field_mappings), key
 
 
-def _plain(c: Column) -> Column:
-    return F.to_json(F.struct(c.alias("v")))  # null id -> {}
-
-
 def _state(watermarks: WatermarkLog | None, owner: str, spec) -> object | None:
     stored = watermarks.latest(owner) if watermarks is not None else None
     return stored if stored is not None else spec.last_run

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import time
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +32,13 @@ def _bound(df: DataFrame, field: str, last: object) -> Column:
     if isinstance(last, datetime) and isinstance(dtype, T.TimestampNTZType):
         # An aware moment is compared by its UTC wall clock.
         if last.tzinfo is not None:
-            last = datetime.fromtimestamp(last.timestamp(), tz=_utc()).replace(tzinfo=None)
+            last = datetime.fromtimestamp(last.timestamp(), tz=timezone.utc).replace(tzinfo=None)
         return F.lit(last.isoformat(sep=" ")).cast("timestamp_ntz")
     if isinstance(last, datetime) and isinstance(dtype, T.StringType):
         return F.lit(last.isoformat())
     return F.lit(last).cast(dtype)
 
 
-def _utc():
-    from datetime import timezone
-
-    return timezone.utc
-
-
 def next_watermark(df: DataFrame, field: str) -> DataFrame:
     """One row: how many rows were read and the highest value among them."""
     return df.agg(F.count(F.lit(1)).alias("rows_read"), F.max(f"`{field}`").alias("watermark"))
@@ -52,14 +47,15 @@ def next_watermark(df: DataFrame, field: str) -> DataFrame:
 class WatermarkLog:
     """Append-only parquet table of committed watermarks, one small row per run."""
 
-    SCHEMA = "owner string, watermark string, committed_at timestamp_ntz"
+    # ``written`` (nanoseconds) orders the rows even where two runs give the same time.
+    SCHEMA = "owner string, watermark string, committed_at timestamp_ntz, written long"
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path
 
     def commit(self, owner: str, watermark: object, at: datetime) -> None:
         text = watermark.isoformat(sep=" ") if isinstance(watermark, datetime) else str(watermark)
-        row = [(owner, text, at.replace(tzinfo=None))]
+        row = [(owner, text, at.replace(tzinfo=None), time.time_ns())]
         self._spark.createDataFrame(row, self.SCHEMA).coalesce(1).write.mode("append").parquet(self._path)
 
     def latest(self, owner: str) -> str | None:
@@ -68,5 +64,5 @@ class WatermarkLog:
             log = self._spark.read.schema(self.SCHEMA).parquet(self._path)
         except AnalysisException:  # no run yet
             return None
-        row = log.where(F.col("owner") == owner).agg(F.max_by("watermark", "committed_at")).first()
+        row = log.where(F.col("owner") == owner).agg(F.max_by("watermark", "written")).first()
         return row[0]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.activation import _now, run_sync
@@ -16,7 +17,9 @@ from ..spec import SyncSpec
 
 def deduplicate(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
     """Repeated rows of one key within ``delay`` once; state older than that is dropped."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    # Watermarks need a TIMESTAMP; a column without a zone is read as UTC for it.
+    timed = stream.withColumn("_event_time", F.col(event_time).cast("timestamp"))
+    return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(keys).drop("_event_time")
 
 
 def stream_sync(
