@@ -59,14 +59,12 @@ def double_text(c: Column) -> Column:
 def timestamp_text(c: Column, dtype: T.DataType, separator: str) -> Column:
     """A timestamp with microseconds only where there are some, and the offset
     only where the type carries a zone."""
-    micros = F.date_format(c, "SSSSSS")
-    parts = [
-        F.date_format(c, f"yyyy-MM-dd'{separator}'HH:mm:ss"),
-        F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)),
-    ]
-    if isinstance(dtype, T.TimestampType):
-        parts.append(F.date_format(c, "xxx"))
-    return F.concat(*parts)
+    # The cast drops trailing zeros of the fraction: 19 characters or up to 26.
+    raw = c.cast("string")
+    text = F.when(F.length(raw) > 19, F.rpad(raw, 26, "0")).otherwise(raw)
+    if separator != " ":
+        text = F.translate(text, " ", separator)
+    return F.concat(text, F.date_format(c, "xxx")) if isinstance(dtype, T.TimestampType) else text
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:

@@ -14,6 +14,19 @@ from ..spec import DESTINATION_ENTITIES, DESTINATION_TYPES, MAX_INTERVAL, PRESET
 TIME_OF_DAY = r"^([01][0-9]|2[0-3]):[0-5][0-9]$"
 
 
+def _row_rules(df: DataFrame, table: str, id_column: str, *rules: tuple[str, Column, Column]) -> DataFrame:
+    """All (rule, condition, detail) that need nothing but the row, in one pass over the table."""
+    broken = [
+        F.when(condition, F.struct(F.lit(rule).alias("rule"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail")))
+        for rule, condition, detail in rules
+    ]
+    return (
+        df.select(F.col(id_column).cast("bigint").alias("id"), F.explode_outer(F.array(*broken)).alias("b"))
+        .where(F.col("b").isNotNull())
+        .select(F.col("b.rule"), F.lit(table).alias("table_name"), "id", F.col("b.detail"))
+    )
+
+
 def _violations(df: DataFrame, rule: str, table: str, id_column: str, condition: Column, detail: Column) -> DataFrame:
     return df.where(condition).select(
         F.lit(rule).alias("rule"),
@@ -45,14 +58,12 @@ def spec_integrity(sources: DataFrame, destinations: DataFrame, mappings: DataFr
     status).
     """
     items = mappings.select("mapping_id", F.explode("field_mappings").alias("m"))
-    named = mappings.select("mapping_id", F.col("source_table").alias("name")).unionAll(
-        items.select("mapping_id", F.col("m.source_field"))
-    )
     entity_known = F.lit(False)
     for system, entities in DESTINATION_ENTITIES.items():
         entity_known = entity_known | ((F.col("destination_type") == system) & F.col("destination_entity").isin(*entities))
-    blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    preset = F.col("m.transformation")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    odd_name = lambda c: ~text(c).rlike(IDENTIFIER)
+    source_field, preset = F.col("m.source_field"), F.col("m.transformation")
     # A mapping belongs to one source; a sync that uses it must read from there.
     crossed = syncs.select("sync_id", "mapping_id", "source_id").join(
         mappings.select("mapping_id", F.col("source_id").alias("mapped_source_id")), "mapping_id"
@@ -61,22 +72,36 @@ def spec_integrity(sources: DataFrame, destinations: DataFrame, mappings: DataFr
     in_bounds = F.lit(False)
     for name, bound in MAX_INTERVAL.items():
         in_bounds = in_bounds | ((unit == name) & value.between(1, bound))
+    none = F.lit("")
     found = [
-        _violations(named, "identifier", "mappings", "mapping_id", ~F.coalesce(F.col("name"), F.lit("")).rlike(IDENTIFIER), F.col("name")),
-        _violations(sources, "source_type", "sources", "source_id", ~F.col("type").isin(*SOURCE_TYPES), F.col("type")),
-        _violations(destinations, "destination_type", "destinations", "destination_id", ~F.col("type").isin(*DESTINATION_TYPES), F.col("type")),
-        _violations(mappings, "empty_mapping", "mappings", "mapping_id", F.size("field_mappings") == 0, F.lit("")),
-        _violations(items, "incomplete_item", "mappings", "mapping_id", blank(F.col("m.source_field")) | blank(F.col("m.destination_field")), F.lit("")),
-        _violations(items, "unknown_preset", "mappings", "mapping_id", ~blank(preset) & ~preset.isin(*PRESETS), preset),
-        _violations(mappings, "unknown_entity", "mappings", "mapping_id", ~entity_known, F.col("destination_entity")),
+        _row_rules(sources, "sources", "source_id", ("source_type", ~F.col("type").isin(*SOURCE_TYPES), F.col("type"))),
+        _row_rules(
+            destinations, "destinations", "destination_id",
+            ("destination_type", ~F.col("type").isin(*DESTINATION_TYPES), F.col("type")),
+        ),
+        _row_rules(
+            mappings, "mappings", "mapping_id",
+            ("identifier", odd_name(F.col("source_table")), F.col("source_table")),
+            ("empty_mapping", F.size("field_mappings") == 0, none),
+            ("unknown_entity", ~entity_known, F.col("destination_entity")),
+        ),
+        _row_rules(
+            items, "mappings", "mapping_id",
+            ("identifier", odd_name(source_field), source_field),
+            ("incomplete_item", (text(source_field) == "") | (text(F.col("m.destination_field")) == ""), none),
+            ("unknown_preset", (text(preset) != "") & ~preset.isin(*PRESETS), preset),
+        ),
+        _row_rules(
+            syncs, "syncs", "sync_id",
+            ("unknown_status", ~F.col("status").isin(*SYNC_STATUSES), F.col("status")),
+            ("interval_bounds", ~in_bounds, F.concat_ws(" ", value.cast("string"), unit)),
+            ("run_at_time", ~F.col("run_at_time").rlike(TIME_OF_DAY), F.col("run_at_time")),
+        ),
         _dangling(syncs, sources, "missing_source", "syncs", "sync_id", "source_id"),
         _dangling(syncs, destinations, "missing_destination", "syncs", "sync_id", "destination_id"),
         _dangling(syncs, mappings, "missing_mapping", "syncs", "sync_id", "mapping_id"),
         _violations(crossed, "foreign_mapping", "syncs", "sync_id", F.col("source_id") != F.col("mapped_source_id"), F.col("mapping_id")),
         _duplicates(sources, "duplicate_name", "sources", "source_id"),
         _duplicates(destinations, "duplicate_name", "destinations", "destination_id"),
-        _violations(syncs, "unknown_status", "syncs", "sync_id", ~F.col("status").isin(*SYNC_STATUSES), F.col("status")),
-        _violations(syncs, "interval_bounds", "syncs", "sync_id", ~in_bounds, F.concat_ws(" ", value.cast("string"), unit)),
-        _violations(syncs, "run_at_time", "syncs", "sync_id", ~F.col("run_at_time").rlike(TIME_OF_DAY), F.col("run_at_time")),
     ]
     return reduce(DataFrame.unionAll, found)

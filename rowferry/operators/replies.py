@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import replies as R
+from ..functions.text import strip
 from ..spec import STRATEGIES
 from .selection import BATCH_SIZE, NOT_SCORED
 
@@ -24,37 +25,40 @@ def parse_scores(replies: DataFrame, reply: str = "reply", batch_len: str | None
     without an item get 0.0.
     """
     length = F.col(batch_len).cast("int") if batch_len else F.lit(BATCH_SIZE)
+    names = ("index", "score", "reason")
+    found = R.objects(R.decode(F.col(reply)), "$.scores", *names)
+    looked_at = F.transform(found, lambda x: F.struct(*[R.opened(x[n]).alias(n) for n in names]))
 
-    def item(v: Column) -> Column:
-        score = R.member(v, "score")
-        return F.struct(
-            R.as_integer(R.member(v, "index")).alias("i"),
-            F.when(score.isNull(), F.lit(0.0)).otherwise(R.as_real(score)).alias("s"),
-            R.as_words(R.member(v, "reason")).alias("r"),
-        )
+    def judge(x: Column) -> Column:
+        score = F.when(x["score"]["k"].isNull(), F.lit(0.0)).otherwise(R.as_real(x["score"]))
+        return F.struct(R.as_integer(x["index"]).alias("i"), score.alias("s"), x["reason"].alias("r"))
 
-    objects = F.filter(R.items(R.member(F.col("_v"), "scores")), R.is_object)
-    judged = F.filter(
-        F.transform(objects, item), lambda x: x["i"].isNotNull() & x["s"].isNotNull()
-    )
+    judged = F.filter(F.transform(looked_at, judge), lambda x: x["i"].isNotNull() & x["s"].isNotNull())
+
+    def last(items: Column, i: Column) -> Column:
+        of_row = F.filter(items, lambda x: x["i"] == i)
+        return F.struct(i.cast("int").alias("i"), F.try_element_at(of_row, F.lit(-1)).alias("item"))
 
-    def place(i: Column) -> Column:
-        last = F.try_element_at(F.filter(F.col("_items"), lambda x: x["i"] == i), F.lit(-1))
+    def place(x: Column) -> Column:
+        scored = x["item"].isNotNull()
         return F.struct(
-            i.cast("int").alias("row_index"),
-            F.coalesce(R.unit_interval(last["s"]), F.lit(0.0)).alias("score"),
-            F.coalesce(last["r"], F.lit(NOT_SCORED)).alias("reason"),
+            x["i"].alias("row_index"),
+            F.when(scored, R.unit_interval(x["item"]["s"])).otherwise(F.lit(0.0)).alias("score"),
+            F.when(scored, R.as_words(x["item"]["r"])).otherwise(F.lit(NOT_SCORED)).alias("reason"),
         )
 
-    # An empty batch has no rows; sequence(0, -1) would count down. The outer
-    # form of inline keeps Catalyst from deriving a "not empty" filter, which
-    # would parse every reply a second time.
+    # An empty batch has no rows; sequence(0, -1) would count down.
     places = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
+    # The one-element array makes the judged items a lambda variable: worked out
+    # once per reply, not once per row of the batch.
+    rows = F.transform(
+        F.array(judged), lambda items: F.transform(F.transform(places, lambda i: last(items, i)), place)
+    )
+    # The outer form of inline keeps Catalyst from deriving a "not empty" filter,
+    # which would parse every reply a second time.
     return (
-        replies.withColumn("_v", R.decode(F.col(reply)))
-        .withColumn("_items", judged)
-        .withColumn("_rows", F.transform(places, place))
-        .drop("_v", "_items", reply)
+        replies.withColumn("_rows", F.get(rows, 0))
+        .drop(reply)
         .select("*", F.inline_outer("_rows"))
         .drop("_rows")
         .where(F.col("row_index").isNotNull())
@@ -66,32 +70,39 @@ def parse_plan(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
     A reply that cannot be used has its reason in ``error`` and nulls beside it.
     """
-    v = R.decode(F.col(reply))
-    parsed = replies.withColumn("_raw", F.try_parse_json(F.col(reply))).withColumn("_v", v)
-    strategy = R.member(F.col("_v"), "strategy")
-    strategy_text = F.when(R.kind(strategy) == "STRING", F.try_variant_get(strategy, "$", "string"))
-    reasoning = R.as_words(R.member(F.col("_v"), "reasoning"))
-    rule = R.as_words(R.member(F.col("_v"), "selection_rule"))
-    threshold = R.member(F.col("_v"), "recommended_threshold")
-    real = F.when(~R.missing(threshold), R.as_real(threshold))
-    actions = F.filter(
-        F.transform(R.items(R.member(F.col("_v"), "next_actions")), R.as_text), lambda t: R.strip(t) != ""
-    )
-    error = (
-        F.when(F.col("_v").isNull(), "not valid JSON")
-        .when(~R.is_object(F.col("_v")), "not a JSON object")
-        .when((reasoning == "") | (rule == ""), "missing reasoning or selection rule")
+    names = ("strategy", "reasoning", "selection_rule", "recommended_threshold", "next_actions")
+    keep = [c for c in replies.columns if c != reply]
+    parsed = (
+        replies.withColumn("_v", R.decode(F.col(reply)))
+        .select(*keep, F.col("_v").isNotNull().alias("_json"), R.members(F.col("_v"), *names).alias("_o"))
+        .select(*keep, "_json", F.col("_o").isNotNull().alias("_object"), *[R.opened(F.col("_o")[n]).alias(f"_{n}") for n in names])
+        .select(
+            *keep,
+            "_json",
+            "_object",
+            R.text_only(F.col("_strategy")).alias("_strategy"),
+            R.as_words(F.col("_reasoning")).alias("_reasoning"),
+            R.as_words(F.col("_selection_rule")).alias("_rule"),
+            F.when(~R.missing(F.col("_recommended_threshold")), R.as_real(F.col("_recommended_threshold"))).alias("_threshold"),
+            F.transform(R.elements(F.col("_next_actions")["v"]), R.opened).alias("_actions"),
+        )
+        .withColumn("_actions", F.filter(F.transform("_actions", R.as_text), lambda t: strip(t) != ""))
+        .withColumn(
+            "error",
+            F.when(~F.col("_json"), "not valid JSON")
+            .when(~F.col("_object"), "not a JSON object")
+            .when((F.col("_reasoning") == "") | (F.col("_rule") == ""), "missing reasoning or selection rule"),
+        )
     )
-    usable = F.col("error").isNull()
     out = {
-        "strategy": F.when(strategy_text.isin(*STRATEGIES), strategy_text).otherwise(F.lit("scoring")),
-        "reasoning": reasoning,
-        "selection_rule": rule,
-        "recommended_threshold": F.when(real.isNotNull(), R.unit_interval(real)),
-        "next_actions": actions,
+        "strategy": F.when(F.col("_strategy").isin(*STRATEGIES), F.col("_strategy")).otherwise(F.lit("scoring")),
+        "reasoning": F.col("_reasoning"),
+        "selection_rule": F.col("_rule"),
+        "recommended_threshold": F.when(F.col("_threshold").isNotNull(), R.unit_interval(F.col("_threshold"))),
+        "next_actions": F.col("_actions"),
     }
-    keep = [c for c in replies.columns if c != reply]
-    return parsed.withColumn("error", error).select(*keep, *[F.when(usable, c).alias(n) for n, c in out.items()], "error")
+    usable = F.col("error").isNull()
+    return parsed.select(*keep, *[F.when(usable, c).alias(n) for n, c in out.items()], "error")
 
 
 def parse_pairs(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -100,64 +111,64 @@ def parse_pairs(replies: DataFrame, reply: str = "reply") -> DataFrame:
     Names must be text. Confidence is 0.5 if absent or no number, else
     clamped to 0..1.
     """
-
-    def pair(v: Column) -> Column:
-        name = lambda n: F.when(
-            R.kind(R.member(v, n)) == "STRING", F.try_variant_get(R.member(v, n), "$", "string")
-        )
-        return F.struct(
-            name("source_field").alias("source_field"),
-            name("destination_field").alias("destination_field"),
-            R.unit_interval(F.coalesce(R.as_real(R.member(v, "confidence")), F.lit(0.5))).alias("confidence"),
-        )
-
-    pairs = F.transform(R.items(R.member(R.decode(F.col(reply)), "pairs")), lambda v: F.when(R.is_object(v), pair(v)))
-    return (
-        replies.withColumn("_p", pairs)
-        .drop(reply)
-        .select("*", F.posexplode_outer("_p").alias("pos", "_pair"))
-        .where(F.col("_pair").isNotNull())
-        .select(*[c for c in replies.columns if c != reply], "pos", "_pair.*")
+    names = ("source_field", "destination_field", "confidence")
+    keep = [c for c in replies.columns if c != reply]
+    found = R.objects(R.decode(F.col(reply)), "$.pairs", *names)
+    # Outer: no filter is derived that would parse the reply again.
+    items = replies.select(*keep, F.posexplode_outer(found).alias("pos", "_p")).where(F.col("_p").isNotNull())
+    looked_at = items.select(*keep, "pos", *[R.opened(F.col("_p")[n]).alias(n) for n in names])
+    confidence = F.coalesce(R.as_real(F.col("confidence")), F.lit(0.5))
+    return looked_at.select(
+        *keep,
+        "pos",
+        R.text_only(F.col("source_field")).alias("source_field"),
+        R.text_only(F.col("destination_field")).alias("destination_field"),
+        R.unit_interval(confidence).alias("confidence"),
     )
 
 
-def classify_response(status: Column, body: Column) -> Column:
-    """written / not_found / failed for an HTTP status (null: no answer at all) and a body."""
-    v = F.try_parse_json(body)
-    error = R.member(v, "error")
-    code = F.when(R.kind(error) == "STRING", F.try_variant_get(error, "$", "string"))
-    has_error = R.is_object(v) & error.isNotNull()
-    return (
-        F.when(status.isNull(), "failed")
-        .when(status == 404, "not_found")
-        .when(status.between(400, 599), "failed")
-        .when(v.isNull(), "failed")
-        .when(has_error & F.coalesce(code.isin(*NOT_FOUND_CODES), F.lit(False)), "not_found")
+def classify_responses(responses: DataFrame, status: str = "status", body: str = "body") -> DataFrame:
+    """Responses with ``outcome`` (written, not_found, failed) and the ``reason`` of a failure.
+
+    ``status`` is the HTTP status, null if there was no answer at all.
+    """
+    names = ("error", "error_description")
+    code, text = F.col(status), F.col(body)
+    said = (
+        responses.withColumn("_v", F.try_parse_json(text))
+        .withColumn("_o", R.members(F.col("_v"), *names))
+        .withColumn("_json", F.col("_v").isNotNull())
+        .withColumn("_error", R.opened(F.col("_o")["error"]))
+        .withColumn("_described", R.opened(F.col("_o")["error_description"]))
+        .withColumn("_code", R.text_only(F.col("_error")))
+    )
+    has_error = F.col("_error")["k"].isNotNull()
+    words = lambda o: F.when(o["k"] == "STRING", F.try_variant_get(o["v"], "$", "string")).otherwise(F.to_json(o["v"]))
+    outcome = (
+        F.when(code.isNull(), "failed")
+        .when(code == 404, "not_found")
+        .when(code.between(400, 599), "failed")
+        .when(~F.col("_json"), "failed")
+        .when(has_error & F.coalesce(F.col("_code").isin(*NOT_FOUND_CODES), F.lit(False)), "not_found")
         .when(has_error, "failed")
         .otherwise("written")
     )
-
-
-def response_error(status: Column, body: Column) -> Column:
-    """The reason of a response that is not "written", else null."""
-    v = F.try_parse_json(body)
-    error = R.member(v, "error")
-    described = R.member(v, "error_description")
-    text = lambda x: F.when(R.kind(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
-    return (
-        F.when(status.isNull(), "unreachable")
-        .when(status == 404, "no such entity (HTTP 404)")
-        .when(status.isin(401, 403), F.concat(F.lit("credentials rejected (HTTP "), status.cast("string"), F.lit(")")))
+    reason = (
+        F.when(code.isNull(), "unreachable")
+        .when(code == 404, "no such entity (HTTP 404)")
+        .when(code.isin(401, 403), F.concat(F.lit("credentials rejected (HTTP "), code.cast("string"), F.lit(")")))
         .when(
-            status.between(400, 599),
-            F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), F.substring(F.coalesce(body, F.lit("")), 1, 300)),
+            code.between(400, 599),
+            F.concat(F.lit("HTTP "), code.cast("string"), F.lit(": "), F.substring(F.coalesce(text, F.lit("")), 1, 300)),
         )
-        .when(v.isNull(), "response is not JSON")
-        .when(R.is_object(v) & error.isNotNull(), F.coalesce(text(described), text(error)))
+        .when(~F.col("_json"), "response is not JSON")
+        .when(has_error & F.col("_described")["k"].isNotNull(), words(F.col("_described")))
+        .when(has_error, words(F.col("_error")))
     )
+    return said.select(*responses.columns, outcome.alias("outcome"), reason.alias("reason"))
 
 
 def echoed_items(body: Column, entity: str) -> Column:
     """How many records an AmoCRM batch reply lists as written."""
-    v = F.try_parse_json(body)
-    return F.size(R.items(F.try_variant_get(v, f"$._embedded.{entity}", "variant")))
+    listed = F.try_variant_get(F.try_parse_json(body), f"$._embedded.{entity}", "array<variant>")
+    return F.coalesce(F.size(listed), F.lit(0))

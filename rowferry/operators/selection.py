@@ -39,23 +39,26 @@ def score_batches(df: DataFrame, scorer: Scorer, batch_size: int = BATCH_SIZE) -
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         scores, reasons = [0.0] * len(rows), [NOT_SCORED] * len(rows)
-        for index, score, reason in scorer(rows.to_dict("records")):
-            if 0 <= index < len(rows):
-                scores[index] = max(0.0, min(1.0, float(score)))
-                reasons[index] = (reason or "").strip()
-        return rows.assign(score=scores, reason=reasons)
+        records = rows.to_dict("records")
+        for start in range(0, len(records), batch_size):
+            batch = records[start : start + batch_size]
+            for index, score, reason in scorer(batch):
+                if 0 <= index < len(batch):
+                    scores[start + index] = max(0.0, min(1.0, float(score)))
+                    reasons[start + index] = (reason or "").strip()
+        return rows.assign(score=scores, reason=reasons)[[*names, "score", "reason"]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Less than one batch waits for the rows of the next frame.
         waiting: pd.DataFrame | None = None
         for frame in frames:
-            waiting = frame if waiting is None or waiting.empty else pd.concat([waiting, frame], ignore_index=True)
-            full = len(waiting) - len(waiting) % batch_size
-            parts = [judge(waiting.iloc[i : i + batch_size]) for i in range(0, full, batch_size)]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)[[*names, "score", "reason"]]
-            waiting = waiting.iloc[full:]
+            rows = frame if waiting is None or waiting.empty else pd.concat([waiting, frame], ignore_index=True)
+            full = len(rows) - len(rows) % batch_size
+            if full:
+                yield judge(rows.iloc[:full])
+            waiting = rows.iloc[full:]
         if waiting is not None and len(waiting):
-            yield judge(waiting)[[*names, "score", "reason"]]
+            yield judge(waiting)
 
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("reason", T.StringType())])
     return df.mapInPandas(run, schema)

@@ -132,7 +132,7 @@ responses AS (
   FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events))"""
 
 
-def _responses(spark, folder):
+def _responses(spark, folder, *keep):
     k, case = F.get_json_object("props", "$.k"), F.col("event_id") % 12
     status = F.when(case == 1, 401).when(case == 2, 403).when(case == 3, 404).when(case == 4, 500).when(case == 5, 204)
     body = (
@@ -146,7 +146,7 @@ def _responses(spark, folder):
         .otherwise("")
     )
     return table(spark, folder, "events").select(
-        "event_id", status.when(case != 0, 200).alias("status"), body.alias("body")
+        "event_id", *keep, status.when(case != 0, 200).alias("status"), body.alias("body")
     )
 
 
@@ -168,10 +168,7 @@ SELECT event_id,
 FROM responses""",
 )
 def reply_classify(spark, folder):
-    status, body = F.col("status"), F.col("body")
-    return _responses(spark, folder).select(
-        "event_id", R.classify_response(status, body).alias("outcome"), R.response_error(status, body).alias("reason")
-    )
+    return R.classify_responses(_responses(spark, folder)).select("event_id", "outcome", "reason")
 
 
 @query(

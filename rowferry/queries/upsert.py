@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import upsert as U
 from ..operators.mapping import record_of, resolve
-from ..operators.replies import classify_response
+from ..operators.replies import classify_responses
 from ..spec import FieldMap
 from .registry import query, table
 from .replies import _RESPONSES_SQL, _responses
@@ -92,11 +92,7 @@ SELECT u.user_id,
 FROM responses r JOIN events u ON r.event_id = u.event_id GROUP BY 1""",
 )
 def upsert_counts(spark, folder):
-    responses = _responses(spark, folder)
-    owners = table(spark, folder, "events").select("event_id", "user_id")
-    results = responses.join(owners, "event_id").select(
-        "user_id", classify_response(F.col("status"), F.col("body")).alias("outcome"), F.lit(1).alias("items")
-    )
+    results = classify_responses(_responses(spark, folder, "user_id")).withColumn("items", F.lit(1))
     return U.written_counts(results, ("user_id",))
 
 

@@ -57,7 +57,7 @@ def http_transport(method: str, url: str, body: str, headers: dict, timeout: flo
 
 
 def judge(destination: Destination, n: int, status: int | None, body: str) -> tuple[str, int, str | None]:
-    """(outcome, items written, error) of one response: the rule of ``classify_response``
+    """(outcome, items written, error) of one response: the rule of ``classify_responses``
     for the one place that has to decide inside the task whether to go on."""
     if status is None:
         return "failed", 0, f"could not reach {destination.type}: {body[:300]}"
