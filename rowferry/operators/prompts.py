@@ -14,7 +14,9 @@ FRAMING = {
     "clustering": "Give 1.0 to rows of the segment the goal describes, 0.0 to rows outside it.",
     "rule_based": "Give 1.0 to rows that satisfy the rule to the letter, 0.0 to all others.",
 }
-NO_NOTES = "(none provided)"
+NO_NOTES, NO_ROWS = "(none provided)", "(no sample rows available)"
+# Fixed value: rows of a table shown when a plan is asked for.
+PLAN_SAMPLE_ROWS = 20
 
 
 def described_columns(columns: DataFrame, notes: DataFrame, *table: str) -> DataFrame:
@@ -35,6 +37,46 @@ def described_columns(columns: DataFrame, notes: DataFrame, *table: str) -> Data
     )
 
 
+def plan_prompt(
+    df: DataFrame,
+    order: list[str],
+    *,
+    table_name: str,
+    goal: str,
+    actions: str,
+    notes: dict[str, str] | None = None,
+    rows: int = PLAN_SAMPLE_ROWS,
+) -> DataFrame:
+    """One row: the text that asks for a plan, with the columns, the user's notes
+    and the first rows of the table in the given order."""
+    notes = notes or {}
+    lines = "\n".join(
+        f"- {f.name} ({f.dataType.simpleString()})" + (f": {notes[f.name]}" if f.name in notes else "")
+        for f in df.schema.fields
+    )
+    head = f"Goal: {goal}\nActions: {actions}\nTable: {table_name}\nColumns:\n{lines}\nStrategies: {', '.join(FRAMING)}\nSample rows:\n"
+    first = df.orderBy(*order).limit(rows).select(F.struct(*order).alias("k"), row_json(df).alias("row"))
+    sample = F.sort_array(F.collect_list(F.struct("k", "row")))
+    text = F.concat(F.lit("["), F.array_join(sample["row"], ","), F.lit("]"))
+    return first.agg(F.concat(F.lit(head), F.when(F.size(sample) > 0, text).otherwise(F.lit(NO_ROWS))).alias("prompt"))
+
+
+def pair_prompts(source_columns: DataFrame, destination_fields: DataFrame, *owner: str) -> DataFrame:
+    """(…owner, prompt): the text that asks which column fits which field.
+
+    Both inputs have (…owner, ordinal_position, name, data_type); a group is the
+    width of one table.
+    """
+    none = lambda df: df.select(*owner, "name", F.lit(None).cast("string").alias("description")).limit(0)
+    left = described_columns(source_columns, none(source_columns), *owner).withColumnRenamed("column_lines", "_s")
+    right = described_columns(destination_fields, none(destination_fields), *owner).withColumnRenamed("column_lines", "_d")
+    text = F.concat(
+        F.lit("Source columns:\n"), F.col("_s"), F.lit("\nDestination fields:\n"), F.col("_d"),
+        F.lit("\nPair the columns with the fields they mean; use each field once at most; leave out what has no match."),
+    )
+    return left.join(right, list(owner)).select(*owner, text.alias("prompt"))
+
+
 def row_json(df: DataFrame, columns: list[str] | None = None) -> Column:
     """A row as JSON; numbers and booleans stay, every other type is given as text."""
     types = {f.name: f.dataType for f in df.schema.fields}

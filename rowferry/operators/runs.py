@@ -143,10 +143,11 @@ def lateness(started: Column, due: Column) -> Column:
 
 def late_runs(runs: DataFrame) -> DataFrame:
     """Runs that started more than five minutes after they were due."""
-    late = lateness(F.col("started_at"), F.col("due_at"))
-    return runs.withColumn("late_by", late).where(F.col("late_by").isNotNull()).withColumn(
-        "late_text", delay_text(F.col("late_by"))
-    ).withColumn("due_text", F.date_format("due_at", "HH:mm 'UTC'"))
+    delay = micros(F.col("started_at")) - micros(F.col("due_at"))
+    late = runs.withColumn("late_by", delay).where(F.col("late_by") > LATE_AFTER_MICROS)
+    return late.withColumn("late_text", delay_text(F.col("late_by"))).withColumn(
+        "due_text", F.date_format("due_at", "HH:mm 'UTC'")
+    )
 
 
 def _mark(ok: Column) -> Column:

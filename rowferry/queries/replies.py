@@ -174,12 +174,13 @@ def reply_classify(spark, folder):
 @query(
     "reply_echoed_items",
     """
-SELECT o_custkey AS batch, CAST(count(*) AS INT) AS written FROM orders GROUP BY 1
+SELECT o_orderkey // 20 AS batch, CAST(count(*) AS INT) AS written FROM orders GROUP BY 1
 """,
 )
 def reply_echoed_items(spark, folder):
-    # One reply per customer that lists the customer's orders as written.
+    # One reply per batch of 20 order keys that lists the orders as written.
     listed = F.collect_list(F.struct(F.col("o_orderkey").alias("id")))
     reply = F.to_json(F.struct(F.struct(listed.alias("leads")).alias("_embedded")))
-    replies = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("batch")).agg(reply.alias("body"))
+    batch = F.call_function("div", F.col("o_orderkey"), F.lit(20))
+    replies = table(spark, folder, "orders").groupBy(batch.alias("batch")).agg(reply.alias("body"))
     return replies.select("batch", R.echoed_items(F.col("body"), "leads").alias("written"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import selection as sel
 from ..operators.position import row_index
-from ..operators.prompts import described_columns, prompt_batches
+from ..operators.prompts import described_columns, pair_prompts, plan_prompt, prompt_batches
 from . import standins as S
 from .registry import query, table
 
@@ -207,6 +207,48 @@ def prompt_columns(spark, folder):
     return described_columns(columns, notes, "table_schema", "table_name")
 
 
+@query(
+    "prompt_plan",
+    """
+SELECT 'Goal: win back' || chr(10) || 'Actions: call' || chr(10) || 'Table: customer' || chr(10) || 'Columns:' || chr(10) ||
+       '- c_custkey (bigint)' || chr(10) || '- c_name (string)' || chr(10) || '- c_mktsegment (string): branch' || chr(10) ||
+       'Strategies: scoring, clustering, rule_based' || chr(10) || 'Sample rows:' || chr(10) ||
+       '[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}', ',' ORDER BY c_custkey) || ']' AS prompt
+FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 20)
+""",
+)
+def prompt_plan(spark, folder):
+    return plan_prompt(
+        table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment"),
+        ["c_custkey"],
+        table_name="customer",
+        goal="win back",
+        actions="call",
+        notes={"c_mktsegment": "branch"},
+    )
+
+
+@query(
+    "prompt_pairs",
+    S.with_ctes(
+        S.COLUMNS_SQL,
+        body="""
+, s AS (SELECT table_schema, table_name, string_agg('- ' || column_name || ' (' || data_type || ')', chr(10) ORDER BY ordinal_position) AS t
+        FROM catalog WHERE ordinal_position % 2 = 0 GROUP BY 1, 2)
+, d AS (SELECT table_schema, table_name, string_agg('- ' || upper(column_name) || ' (' || data_type || ')', chr(10) ORDER BY ordinal_position) AS t
+        FROM catalog WHERE ordinal_position % 2 <> 0 GROUP BY 1, 2)
+SELECT table_schema, table_name, 'Source columns:' || chr(10) || s.t || chr(10) || 'Destination fields:' || chr(10) || d.t || chr(10) ||
+       'Pair the columns with the fields they mean; use each field once at most; leave out what has no match.' AS prompt
+FROM s JOIN d USING (table_schema, table_name)""",
+    ),
+)
+def prompt_pairs(spark, folder):
+    columns = S.catalog(spark, folder).withColumnRenamed("column_name", "name")
+    source = columns.where(F.col("ordinal_position") % 2 == 0)
+    destination = columns.where(F.col("ordinal_position") % 2 != 0).withColumn("name", F.upper("name"))
+    return pair_prompts(source, destination, "table_schema", "table_name")
+
+
 @query(
     "agents_runnable",
     """

@@ -120,27 +120,27 @@ def destinations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# part as the columns of many tables ----------------------------------------
+# part as the columns of many tables, 50 columns each ------------------------
 
 COLUMNS_SQL = """
 catalog AS (
-  SELECT CASE p_size % 10 WHEN 0 THEN 'pg_catalog' WHEN 1 THEN 'sales' ELSE 'public' END AS table_schema,
-         lower(p_brand) AS table_name,
-         CASE WHEN p_size % 7 = 0 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type,
+  SELECT CASE t % 10 WHEN 0 THEN 'pg_catalog' WHEN 1 THEN 'sales' ELSE 'public' END AS table_schema,
+         'table_' || t AS table_name,
+         CASE WHEN t % 7 = 0 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type,
          replace(p_name, ' ', '_') || '_' || p_partkey AS column_name,
          CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE 'Nullable(' || lower(p_type) || ')' END AS data_type,
          CASE WHEN p_size % 2 = 0 THEN 'NO' ELSE 'YES' END AS is_nullable,
          p_partkey AS ordinal_position
-  FROM part
+  FROM (SELECT *, p_partkey // 50 AS t FROM part)
 )"""
 
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
-    size, kind = F.col("p_size"), F.lower("p_type")
-    return table(spark, folder, "part").select(
-        F.when(size % 10 == 0, "pg_catalog").when(size % 10 == 1, "sales").otherwise("public").alias("table_schema"),
-        F.lower("p_brand").alias("table_name"),
-        F.when(size % 7 == 0, "VIEW").otherwise("BASE TABLE").alias("table_type"),
+    size, kind, t = F.col("p_size"), F.lower("p_type"), F.col("t")
+    return table(spark, folder, "part").withColumn("t", F.call_function("div", F.col("p_partkey"), F.lit(50))).select(
+        F.when(t % 10 == 0, "pg_catalog").when(t % 10 == 1, "sales").otherwise("public").alias("table_schema"),
+        F.concat(F.lit("table_"), t.cast("string")).alias("table_name"),
+        F.when(t % 7 == 0, "VIEW").otherwise("BASE TABLE").alias("table_type"),
         F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string")).alias("column_name"),
         F.when(size % 2 == 0, kind).otherwise(F.concat(F.lit("Nullable("), kind, F.lit(")"))).alias("data_type"),
         F.when(size % 2 == 0, "NO").otherwise("YES").alias("is_nullable"),

@@ -56,7 +56,9 @@ class WatermarkLog:
     def commit(self, owner: str, watermark: object, at: datetime) -> None:
         text = watermark.isoformat(sep=" ") if isinstance(watermark, datetime) else str(watermark)
         row = [(owner, text, at.replace(tzinfo=None), time.time_ns())]
-        self._spark.createDataFrame(row, self.SCHEMA).coalesce(1).write.mode("append").parquet(self._path)
+        frame = self._spark.createDataFrame(row, self.SCHEMA).coalesce(1)
+        # A folder per owner: looking up one owner reads only its rows.
+        frame.write.mode("append").partitionBy("owner").parquet(self._path)
 
     def latest(self, owner: str) -> str | None:
         """The watermark committed last, as text; it is cast to the field's type on use."""

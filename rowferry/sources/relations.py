@@ -85,6 +85,8 @@ def jdbc_options(
     range queries, one per task; without them the whole table would go through
     one task, so large tables need them.
     """
+    if source_type not in JDBC_DIALECTS:
+        raise ValueError(f"No source registered for type '{source_type}'. Available: {', '.join(sorted(JDBC_DIALECTS))}.")
     driver, prefix = JDBC_DIALECTS[source_type]
     schema = schema or (DEFAULT_SCHEMA if source_type == "postgres" else database)
     quote = "`" if source_type == "clickhouse" else '"'

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowferry.operators import selection as sel
 from rowferry.operators.position import row_index
-from rowferry.operators.prompts import described_columns, prompt_batches
+from rowferry.operators.prompts import described_columns, plan_prompt, prompt_batches
 
 
 def test_batches_of_fifteen(spark):
@@ -114,6 +114,14 @@ def test_prompts_name_the_rows(spark):
     assert "(none provided)" in prompts[0].prompt
 
 
+def test_plan_prompt(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(30)], "id int, name string")
+    text = plan_prompt(df, ["id"], table_name="t", goal="g", actions="a", notes={"name": "matters"}).first().prompt
+    assert [r["id"] for r in json.loads(text.split("Sample rows:\n")[1])] == list(range(20))
+    assert "- name (string): matters" in text
+    assert plan_prompt(df.limit(0), ["id"], table_name="t", goal="g", actions="a").first().prompt.endswith("(no sample rows available)")
+
+
 def test_described_columns(spark):
     columns = spark.createDataFrame([("t", 2, "b", "text"), ("t", 1, "a", "int")], "t string, ordinal_position int, name string, data_type string")
     notes = spark.createDataFrame([("t", "b", "matters")], "t string, name string, description string")

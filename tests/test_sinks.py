@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowferry.operators.mapping import record_of
 from rowferry.operators.upsert import idempotency_key, record_calls
-from rowferry.sinks import CrmSink, FileSink, register_crm
+from rowferry.sinks import CrmSink, FileSink, create_sink, register_crm
 from rowferry.sinks.delivery import Destination, DeliveryError, judge, send_all
 
 
@@ -104,6 +104,12 @@ def test_unknown_entity_and_type(spark, tmp_path, folder):
     assert requests(folder) == []
 
 
+def test_registry():
+    assert create_sink("amocrm", url="https://x", token="t", results_path="/r", timeout=3).timeout == 3
+    with pytest.raises(DeliveryError, match="amocrm, bitrix24"):
+        create_sink("hubspot", url="https://x", token="t", results_path="/r")
+
+
 def test_creates_are_not_sent_twice_but_updates_are(spark, tmp_path, folder):
     crm = sink(tmp_path, folder)
     df = spark.createDataFrame([(None, "a", 1), (7, "b", 2)], "ID int, TITLE string, k int")
