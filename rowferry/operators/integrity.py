@@ -8,7 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.relations import IDENTIFIER
-from ..spec import DESTINATION_ENTITIES, DESTINATION_TYPES, MAX_INTERVAL, PRESETS, SOURCE_TYPES, SYNC_STATUSES
+from ..spec import (
+    AGENT_STATUSES,
+    DESTINATION_ENTITIES,
+    DESTINATION_TYPES,
+    MAX_INTERVAL,
+    PRESETS,
+    SOURCE_TYPES,
+    STRATEGIES,
+    SYNC_STATUSES,
+)
 
 # Fixed pattern: a time of day on a 24-hour clock.
 TIME_OF_DAY = r"^([01][0-9]|2[0-3]):[0-5][0-9]$"
@@ -105,3 +114,22 @@ def spec_integrity(sources: DataFrame, destinations: DataFrame, mappings: DataFr
         _duplicates(destinations, "duplicate_name", "destinations", "destination_id"),
     ]
     return reduce(DataFrame.unionAll, found)
+
+
+def agent_integrity(destinations: DataFrame, mappings: DataFrame, agents: DataFrame) -> DataFrame:
+    """The same table of violations for selection agents.
+
+    agents (agent_id, destination_id, mapping_id, status, strategy, threshold).
+    """
+    threshold = F.col("threshold")
+    found = [
+        _row_rules(
+            agents, "agents", "agent_id",
+            ("unknown_status", ~F.col("status").isin(*AGENT_STATUSES), F.col("status")),
+            ("unknown_strategy", ~F.col("strategy").isin(*STRATEGIES), F.col("strategy")),
+            ("threshold_bounds", ~threshold.between(0.0, 1.0), threshold),
+        ),
+        _dangling(agents, destinations, "missing_destination", "agents", "agent_id", "destination_id"),
+        _dangling(agents, mappings, "missing_mapping", "agents", "agent_id", "mapping_id"),
+    ]
+    return reduce(DataFrame.unionAll, found)

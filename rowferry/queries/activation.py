@@ -15,7 +15,7 @@ from ..sinks.files import FileSink
 from ..sources.incremental import newer_than
 from ..spec import AgentSpec, FieldMap, SyncSpec
 from ..streaming import stream_sync
-from .registry import query, table
+from .registry import SCHEMAS, query, table
 
 ORDERS = SyncSpec(
     sync_id=1,
@@ -96,12 +96,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_
 WHERE n = 1 AND user_id <> 0
 UNION ALL
 SELECT 'create', 'crm.contact.add', '{"fields":{"LAST_EVENT":"' || upper(event_type) || '","EVENT":' || event_id || '}}'
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
-WHERE n = 1 AND user_id = 0
+FROM events WHERE user_id = 0
 """,
 )
 def stream_upsert(spark, folder):
-    """events as a file stream: the last event of each user reaches the contact."""
+    """events as a file stream: the last event of each user reaches the contact.
+
+    User 0 is no id for this destination: each of its events is a create, and
+    creates are not collapsed.
+    """
     spec = SyncSpec(
         sync_id=2,
         name="events to contacts",
@@ -115,8 +118,7 @@ def stream_upsert(spark, folder):
         incremental_field="ts",
         key_columns=("event_id",),
     )
-    schema = table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+    stream = spark.readStream.schema(SCHEMAS["events"]).parquet(f"{folder}/events*.parquet")
     sink = FileSink(staging_path(spark, "stream"))
     stream_sync(stream, spec, sink, staging_path(spark, "stream-checkpoint")).awaitTermination()
     return spark.read.parquet(sink.path).select("op", "method", "payload")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.integrity import spec_integrity
+from ..operators.integrity import agent_integrity, spec_integrity
 from . import standins as S
 from .registry import query, table
 
@@ -110,3 +110,35 @@ def spec_integrity_query(spark, folder):
         F.when(c % 7 == 0, "archived").when(c % 7 == 1, "paused").otherwise("active").alias("status"),
     )
     return spec_integrity(sources, destinations, mappings, syncs)
+
+
+# Each order is an agent; its numbers point past the ends of nation and part.
+@query(
+    "agent_integrity",
+    """
+WITH agents AS (
+  SELECT o_orderkey AS agent_id, o_custkey % 30 AS destination_id, o_orderkey % (SELECT max(p_partkey) + 50 FROM part) AS mapping_id,
+         CASE o_orderkey % 9 WHEN 0 THEN 'paused' WHEN 1 THEN 'draft' ELSE 'ready' END AS status,
+         CASE o_orderkey % 8 WHEN 0 THEN 'guessing' WHEN 1 THEN 'clustering' ELSE 'scoring' END AS strategy,
+         (o_orderkey % 10) / 8.0::DOUBLE AS threshold
+  FROM orders)
+SELECT 'unknown_status' AS rule, 'agents' AS table_name, agent_id AS id, status AS detail FROM agents WHERE status NOT IN ('draft', 'ready', 'archived')
+UNION ALL SELECT 'unknown_strategy', 'agents', agent_id, strategy FROM agents WHERE strategy NOT IN ('scoring', 'clustering', 'rule_based')
+UNION ALL SELECT 'threshold_bounds', 'agents', agent_id, CAST(threshold AS VARCHAR) FROM agents WHERE threshold NOT BETWEEN 0 AND 1
+UNION ALL SELECT 'missing_destination', 'agents', agent_id, 'destination_id ' || destination_id FROM agents WHERE destination_id NOT IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'missing_mapping', 'agents', agent_id, 'mapping_id ' || mapping_id FROM agents WHERE mapping_id NOT IN (SELECT p_partkey FROM part)
+""",
+)
+def agent_integrity_query(spark, folder):
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("mapping_id"))
+    beyond = parts.agg(F.max("mapping_id")).first()[0] + 50
+    key = F.col("o_orderkey")
+    agents = table(spark, folder, "orders").select(
+        key.alias("agent_id"),
+        (F.col("o_custkey") % 30).alias("destination_id"),
+        (key % beyond).alias("mapping_id"),
+        F.when(key % 9 == 0, "paused").when(key % 9 == 1, "draft").otherwise("ready").alias("status"),
+        F.when(key % 8 == 0, "guessing").when(key % 8 == 1, "clustering").otherwise("scoring").alias("strategy"),
+        ((key % 10) / F.lit(8.0)).alias("threshold"),
+    )
+    return agent_integrity(S.destinations(spark, folder), parts, agents)

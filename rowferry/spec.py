@@ -18,6 +18,7 @@ DESTINATION_TYPES = tuple(DESTINATION_ENTITIES)
 
 # Statuses, units and strategies as stored in the spec tables.
 SYNC_STATUSES = ("active", "paused", "inactive")
+AGENT_STATUSES = ("draft", "ready", "archived")
 INTERVAL_UNITS = ("hours", "days")
 STRATEGIES = ("scoring", "clustering", "rule_based")
 
