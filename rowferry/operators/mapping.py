@@ -37,6 +37,11 @@ class Record:
         return {n: f for n, f in self.fields.items() if n.upper() != "ID"}
 
 
+def quoted(name: str) -> Column:
+    """A top-level column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def resolve(df: DataFrame, mappings: Iterable[FieldMap]) -> Record:
     """Bind a mapping to the columns of ``df``, once, at plan time.
 
@@ -49,7 +54,7 @@ def resolve(df: DataFrame, mappings: Iterable[FieldMap]) -> Record:
         if item.source_field in known:
             chosen[item.destination_field] = item
     exprs = {
-        name: apply_preset(F.col(f"`{m.source_field}`"), known[m.source_field], m.transformation)
+        name: apply_preset(quoted(m.source_field), known[m.source_field], m.transformation)
         for name, m in chosen.items()
     }
     bound = df.select(*[c.alias(f"f{i}") for i, c in enumerate(exprs.values())]).schema if exprs else T.StructType()
@@ -58,7 +63,7 @@ def resolve(df: DataFrame, mappings: Iterable[FieldMap]) -> Record:
 
 def record_of(df: DataFrame) -> Record:
     """A frame that is already destination-shaped, as a record."""
-    return Record({f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields})
+    return Record({f.name: (quoted(f.name), f.dataType) for f in df.schema.fields})
 
 
 def apply_mapping(df: DataFrame, mappings: Iterable[FieldMap]) -> DataFrame:

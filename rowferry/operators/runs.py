@@ -159,6 +159,7 @@ def _failure() -> Column:
     return F.concat(F.lit("Failed: "), F.coalesce(message, F.lit("unknown error")))
 
 
+# Fixed texts: the wording of the reports below and of ``_failure``.
 def run_reports(runs: DataFrame) -> DataFrame:
     """The report text of each run (name, outcome, lateness) and the written share.
 

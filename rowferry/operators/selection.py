@@ -144,7 +144,10 @@ def selection_counts(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def selection_summary(scored: DataFrame, threshold: float, key: str) -> DataFrame:
-    """One row: counts and the text of the summary with up to five examples."""
+    """One row: counts and the text of the summary with up to five examples.
+
+    The wording of its lines is fixed.
+    """
     head = selection_counts(scored, threshold).select(
         F.lit(0).alias("place"),
         F.lit(None).cast("double").alias("score"),

@@ -146,33 +146,42 @@ def batch_items(df: DataFrame, record: Record, keep: tuple[str, ...] = ()) -> Da
     return df.select(*keep, F.lit(batch_op(record)).alias("op"), item.alias("item"), not_json(record).alias("unsendable"))
 
 
-def batch_payloads(items: DataFrame, batch_size: int) -> DataFrame:
-    """Lists of at most ``batch_size`` items as (op, n, payload).
+def batch_payloads(items: DataFrame, batch_size: int, key: str | None = None) -> DataFrame:
+    """Lists of at most ``batch_size`` items as (op, n, payload, unsendable, call_keys).
 
     Batches are cut inside each partition while the rows stream by, so there
     is no shuffle and a task holds one open batch per op; a grouping on a batch
     number would move every payload over the network to build the same lists.
+    A list is unsendable if one of its items is. ``call_keys`` holds the key
+    column of the items, if one is named.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
+    names = ["op", "n", "payload", "unsendable", "call_keys"]
+
+    def close(op: str, batch: list[tuple]) -> tuple:
+        payload = f"[{','.join(item for item, _, _ in batch)}]"
+        return op, len(batch), payload, any(odd for _, odd, _ in batch), [k for _, _, k in batch]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_batches: dict[str, list[str]] = {}
+        open_batches: dict[str, list[tuple]] = {}
         for frame in frames:
             done = []
-            for op, item in zip(frame["op"], frame["item"]):
+            for op, *item in frame.itertuples(index=False, name=None):
                 batch = open_batches.setdefault(op, [])
                 batch.append(item)
                 if len(batch) == batch_size:
-                    done.append((op, batch_size, f"[{','.join(batch)}]"))
-                    open_batches[op] = []
+                    done.append(close(op, open_batches.pop(op)))
             if done:
-                yield pd.DataFrame(done, columns=["op", "n", "payload"])
-        rest = [(op, len(b), f"[{','.join(b)}]") for op, b in open_batches.items() if b]
+                yield pd.DataFrame(done, columns=names)
+        rest = [close(op, batch) for op, batch in open_batches.items()]
         if rest:
-            yield pd.DataFrame(rest, columns=["op", "n", "payload"])
+            yield pd.DataFrame(rest, columns=names)
 
-    return items.select("op", "item").mapInPandas(cut, "op string, n int, payload string")
+    keys = F.col(key) if key else F.lit(None).cast("string")
+    return items.select("op", "item", "unsendable", keys.alias("key")).mapInPandas(
+        cut, "op string, n int, payload string, unsendable boolean, call_keys array<string>"
+    )
 
 
 def collapse(df: DataFrame, id_column: str, *order: str) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators.upsert import batch_items, batch_payloads, record_calls, writte
 from ..spec import DESTINATION_ENTITIES
 from .delivery import Delivered, DeliveryError, Destination, Transport, http_transport, send_all
 
-RESULT_SCHEMA = "call_key string, op string, outcome string, items int, error string"
+RESULT_SCHEMA = "call_keys array<string>, op string, outcome string, items int, error string"
 
 
 def require_entity(destination_type: str, entity: str) -> None:
@@ -31,7 +31,7 @@ def require_entity(destination_type: str, entity: str) -> None:
 
 
 def send_calls(calls: DataFrame, destination: Destination, transport: Transport) -> DataFrame:
-    """One result per call of (call_key, op, method, n, payload, unsendable).
+    """One result per call of (call_keys, op, method, payload, unsendable).
 
     Lazy, and sending is a side effect: write the result to a table once and
     read it from there.
@@ -46,12 +46,12 @@ def send_calls(calls: DataFrame, destination: Destination, transport: Transport)
         for result in send_all(destination, transport, rows()):
             chunk.append(result)
             if len(chunk) == 1000:
-                yield pd.DataFrame(chunk, columns=["call_key", "op", "outcome", "items", "error"])
+                yield pd.DataFrame(chunk, columns=["call_keys", "op", "outcome", "items", "error"])
                 chunk = []
         if chunk:
-            yield pd.DataFrame(chunk, columns=["call_key", "op", "outcome", "items", "error"])
+            yield pd.DataFrame(chunk, columns=["call_keys", "op", "outcome", "items", "error"])
 
-    columns = calls.select("call_key", "op", "method", "n", "payload", "unsendable")
+    columns = calls.select("call_keys", "op", "method", "payload", "unsendable")
     return columns.mapInPandas(run, RESULT_SCHEMA)
 
 
@@ -86,8 +86,8 @@ class CrmSink:
             log = calls.sparkSession.read.schema(RESULT_SCHEMA + ", run string").parquet(self.results_path)
         except AnalysisException:  # nothing sent yet
             return calls
-        done = log.where((F.col("outcome") == "written") & (F.col("op") == "create") & F.col("call_key").isNotNull())
-        sent = done.select(F.col("call_key").alias("sent_key"))
+        done = log.where((F.col("outcome") == "written") & (F.col("op") == "create"))
+        sent = done.select(F.explode("call_keys").alias("sent_key")).where(F.col("sent_key").isNotNull())
         repeated = (F.col("call_key") == F.col("sent_key")) & (F.col("op") == "create")
         return calls.join(sent, repeated, "left_anti")
 
@@ -97,17 +97,11 @@ class CrmSink:
         destination = Destination(self.type, entity, self.url, self.token, self.timeout)
         keyed = df.withColumn("call_key", key)
         if self.type == "bitrix24":
-            calls = record_calls(keyed, record, entity, keep=("call_key",)).withColumn("n", F.lit(1))
-            calls = self._bounded(self._unsent(calls))
+            calls = record_calls(keyed, record, entity, keep=("call_key",))
+            calls = self._bounded(self._unsent(calls)).withColumn("call_keys", F.array("call_key"))
         else:
-            items = self._unsent(batch_items(keyed, record, keep=("call_key",)))
-            odd = items.where("unsendable").limit(1).count()
-            if odd:
-                return Delivered(failed=1, error="a field holds NaN or infinity, which JSON cannot carry")
-            calls = batch_payloads(self._bounded(items), self.batch_size).select(
-                F.lit(None).cast("string").alias("call_key"), "op", F.lit(None).cast("string").alias("method"),
-                "n", "payload", F.lit(False).alias("unsendable"),
-            )
+            items = self._bounded(self._unsent(batch_items(keyed, record, keep=("call_key",))))
+            calls = batch_payloads(items, self.batch_size, "call_key").withColumn("method", F.lit(None).cast("string"))
         # One folder per attempt: a repeated run adds to the log and is counted alone.
         folder = f"{self.results_path}/run={run_id}-{uuid.uuid4().hex[:8]}"
         send_calls(calls, destination, self.transport).write.mode("append").parquet(folder)
@@ -138,8 +132,8 @@ class _CrmWriter(DataSourceWriter):
             for row in iterator:
                 value = dict(zip(self.names, row))
                 yield (
-                    value.get("call_key"), value["op"], value.get("method"), value.get("n", 1),
-                    value["payload"], value.get("unsendable", False),
+                    value.get("call_keys"), value["op"], value.get("method"), value["payload"],
+                    value.get("unsendable", False),
                 )
 
         tally = {"written": 0, "not_found": 0, "failed": 0}

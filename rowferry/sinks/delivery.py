@@ -56,7 +56,7 @@ def http_transport(method: str, url: str, body: str, headers: dict, timeout: flo
         return None, str(error)
 
 
-def judge(destination: Destination, n: int, status: int | None, body: str) -> tuple[str, int, str | None]:
+def judge(destination: Destination, status: int | None, body: str) -> tuple[str, int, str | None]:
     """(outcome, items written, error) of one response: the rule of ``classify_responses``
     for the one place that has to decide inside the task whether to go on."""
     if status is None:
@@ -83,23 +83,23 @@ def judge(destination: Destination, n: int, status: int | None, body: str) -> tu
 
 
 def send_all(
-    destination: Destination, transport: Transport, calls: Iterable[tuple[str | None, str, str | None, int, str, bool]]
+    destination: Destination, transport: Transport, calls: Iterable[tuple[list | None, str, str | None, str, bool]]
 ) -> Iterator[tuple]:
     """Send calls one after another; after the first failure the rest is not tried.
 
-    Calls are (key, op, method, n, payload, unsendable), results
-    (key, op, outcome, items, error).
+    Calls are (keys, op, method, payload, unsendable), results
+    (keys, op, outcome, items, error).
     """
     stopped = False
-    for key, op, method, n, payload, unsendable in calls:
+    for keys, op, method, payload, unsendable in calls:
         if stopped:
-            yield key, op, "not_sent", 0, None
+            yield keys, op, "not_sent", 0, None
             continue
         if unsendable:
             outcome, items, error = "failed", 0, "a field holds NaN or infinity, which JSON cannot carry"
         else:
             verb, url, headers = destination.request(op, method)
             status, body = transport(verb, url, payload, headers, destination.timeout)
-            outcome, items, error = judge(destination, n, status, body)
+            outcome, items, error = judge(destination, status, body)
         stopped = outcome == "failed"
-        yield key, op, outcome, items, error
+        yield keys, op, outcome, items, error

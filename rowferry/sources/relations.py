@@ -116,3 +116,18 @@ def jdbc_options(
 
 def jdbc_reader(spark: SparkSession, options: dict[str, str]) -> DataFrameReader:
     return spark.read.format("jdbc").options(**options)
+
+
+def fetch(
+    spark: SparkSession,
+    options: dict[str, str],
+    columns: Iterable[str] | None = None,
+    where: str | Column | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """Rows of one remote table; columns, filter and limit travel to the database.
+
+    The database's own catalog is read the same way, e.g. table "columns" of
+    schema "information_schema", or "tables" of "system".
+    """
+    return scan(jdbc_reader(spark, options).load(), columns, where, limit)

@@ -164,7 +164,7 @@ def test_mapping_last_wins_at_first_place(spark):
 
 
 def test_mapping_names_with_dots_and_both_spellings_of_id(spark):
-    df = spark.createDataFrame([(1, 2)], ["a.b", "c"])
-    record = resolve(df, [FieldMap("a.b", "ID"), FieldMap("c", "id")])
+    df = spark.createDataFrame([(1, 2)], ["a.b", "c`d"])
+    record = resolve(df, [FieldMap("a.b", "ID"), FieldMap("c`d", "id")])
     assert list(record.fields) == ["ID", "id"]
     assert df.select(record.column("ID"), record.column("id")).first()[:] == (1, 2)

@@ -122,6 +122,16 @@ def test_creates_are_not_sent_twice_but_updates_are(spark, tmp_path, folder):
     assert crm.deliver(later, record_of(later), "lead", key, "r2").written == 1
 
 
+def test_creates_in_lists_are_not_sent_twice(spark, tmp_path, folder):
+    crm = sink(tmp_path, folder, "amocrm", batch_size=2)
+    df = spark.createDataFrame([(f"n{i}", i) for i in range(5)], "name string, k int").coalesce(1)
+    key = idempotency_key("s", [F.col("k")])
+    assert crm.deliver(df, record_of(df), "leads", key, "r1").written == 5
+    more = df.unionAll(spark.createDataFrame([("n9", 9)], df.schema))
+    assert crm.deliver(more, record_of(more), "leads", key, "r2").written == 1
+    assert [len(r["body"]) for r in requests(folder)].count(1) == 2
+
+
 def test_parallelism_is_bounded(spark, tmp_path, folder):
     df = spark.range(0, 40, 1, 8).select(F.col("id").alias("N"))
     assert sink(tmp_path, folder, parallelism=2).deliver(df, record_of(df), "lead", no_key(), "r1").written == 40
@@ -157,13 +167,13 @@ def test_data_source(spark, tmp_path, folder):
 
 def test_judge_of_a_list():
     destination = Destination("amocrm", "leads", "https://crm.example", "t")
-    assert judge(destination, 2, 200, '{"_embedded":{"leads":[1,2]}}') == ("written", 2, None)
-    assert judge(destination, 2, 404, "")[0] == "failed"
+    assert judge(destination, 200, '{"_embedded":{"leads":[1,2]}}') == ("written", 2, None)
+    assert judge(destination, 404, "")[0] == "failed"
 
 
 def test_unsent_after_failure_is_told_apart():
     destination = Destination("bitrix24", "lead", "https://crm.example", "t")
     down = lambda *a: (None, "no route")
-    results = list(send_all(destination, down, [("k", "create", "crm.lead.add", 1, "{}", False)] * 2))
+    results = list(send_all(destination, down, [("k", "create", "crm.lead.add", "{}", False)] * 2))
     assert [r[2] for r in results] == ["failed", "not_sent"] and "no route" in results[0][4]
     assert urllib.parse.urlparse(destination.request("create", "crm.lead.add")[1]).path == "/rest/t/crm.lead.add"
