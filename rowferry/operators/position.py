@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_folder
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
@@ -20,9 +22,7 @@ def row_index(df: DataFrame, *order: str, partitions: int | None = None, name: s
     executor. Only one row per partition is shuffled for the offsets.
     """
     spark = df.sparkSession
-    from ..session import shared_folder
-
-    shared_folder(spark)
+    shared_folder(spark)  # where the checkpoint goes
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = (
         df.repartitionByRange(n, *order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -35,33 +35,34 @@ def score_batches(df: DataFrame, scorer: Scorer, batch_size: int = BATCH_SIZE) -
     outside the batch is ignored, the last judgement of a row counts. An
     exception of the scorer fails the job.
     """
-    names = df.columns
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        scores, reasons = [0.0] * len(rows), [NOT_SCORED] * len(rows)
-        records = rows.to_dict("records")
+    def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        records = rows.to_pylist()
+        scores, reasons = [0.0] * len(records), [NOT_SCORED] * len(records)
         for start in range(0, len(records), batch_size):
             batch = records[start : start + batch_size]
             for index, score, reason in scorer(batch):
                 if 0 <= index < len(batch):
                     scores[start + index] = max(0.0, min(1.0, float(score)))
                     reasons[start + index] = (reason or "").strip()
-        return rows.assign(score=scores, reason=reasons)[[*names, "score", "reason"]]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Less than one batch waits for the rows of the next frame.
-        waiting: pd.DataFrame | None = None
-        for frame in frames:
-            rows = frame if waiting is None or waiting.empty else pd.concat([waiting, frame], ignore_index=True)
-            full = len(rows) - len(rows) % batch_size
+        judged = rows.append_column("score", pa.array(scores, pa.float64()))
+        yield from judged.append_column("reason", pa.array(reasons, pa.string())).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Less than one batch of rows waits for the next Arrow batch.
+        waiting: list[pa.RecordBatch] = []
+        for arrived in batches:
+            rows = pa.Table.from_batches([*waiting, arrived])
+            full = rows.num_rows - rows.num_rows % batch_size
             if full:
-                yield judge(rows.iloc[:full])
-            waiting = rows.iloc[full:]
-        if waiting is not None and len(waiting):
-            yield judge(waiting)
-
-    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("reason", T.StringType())])
-    return df.mapInPandas(run, schema)
+                yield from judge(rows.slice(0, full))
+            waiting = rows.slice(full).to_batches()
+        if waiting:
+            yield from judge(pa.Table.from_batches(waiting))
+
+    # Arrow, not pandas: the row's own columns pass through untouched.
+    added = [T.StructField("score", T.DoubleType()), T.StructField("reason", T.StringType())]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def score_weighted(df: DataFrame, weights: Sequence[tuple[Column, float]], reason: Column | None = None) -> DataFrame:

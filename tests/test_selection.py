@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime as D
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,14 @@ def test_scorer_rules(spark):
     assert [(r.score, r.reason) for r in rows] == [(1.0, "a"), (0.5, "last"), (0.0, sel.NOT_SCORED)]
 
 
+def test_rows_pass_through_untouched(spark):
+    rows = [(2**60 + 1, "a", D(2024, 1, 1), [1, None]), (None, None, None, None), (3, "", D(1900, 1, 1), [])]
+    df = spark.createDataFrame(rows, "k long, s string, t timestamp_ntz, l array<int>").coalesce(1)
+    seen = sel.score_batches(df, lambda batch: [(i, 1.0, str(r["k"])) for i, r in enumerate(batch)])
+    assert [tuple(r)[:4] for r in seen.collect()] == rows
+    assert [r.reason for r in seen.collect()] == [str(2**60 + 1), "None", "3"]
+
+
 def test_failing_scorer_fails_and_no_rows_is_fine(spark):
     def broken(batch):
         raise RuntimeError("model is down")
