@@ -18,11 +18,24 @@ from .text import double_text, strip
 _JSON_SPACE = " \t\r\n"
 
 
+# Fixed pattern: how any JSON text starts.
+_JSON_START = r'^[ \t\r\n]*[{\["0-9tfn-]'
+
+
+def parse(text: Column) -> Column:
+    """JSON text to VARIANT, null if it is none.
+
+    What cannot be JSON from its first character on (an empty body, an HTML
+    page) is not handed to the parser: an exception per row is its slow path.
+    """
+    return F.when(text.rlike(_JSON_START), F.try_parse_json(text))
+
+
 def decode(text: Column) -> Column:
     """JSON text to VARIANT, once more if it holds a quoted JSON text; null if invalid."""
     quoted = F.ltrim(text, F.lit(_JSON_SPACE)).startswith('"')
-    inner = F.try_parse_json(F.try_variant_get(F.try_parse_json(text), "$", "string"))
-    return F.when(quoted, inner).otherwise(F.try_parse_json(text))
+    inner = parse(F.try_variant_get(F.try_parse_json(text), "$", "string"))
+    return F.when(quoted, inner).otherwise(parse(text))
 
 
 def _shape(names: tuple[str, ...]) -> str:

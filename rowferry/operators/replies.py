@@ -135,7 +135,8 @@ def classify_responses(responses: DataFrame, status: str = "status", body: str =
     names = ("error", "error_description")
     code, text = F.col(status), F.col(body)
     said = (
-        responses.withColumn("_v", F.try_parse_json(text))
+        # The body of an error status is shown, not read.
+        responses.withColumn("_v", F.when(code.isNull() | ~code.between(400, 599), R.parse(text)))
         .withColumn("_o", R.members(F.col("_v"), *names))
         .withColumn("_json", F.col("_v").isNotNull())
         .withColumn("_error", R.opened(F.col("_o")["error"]))
@@ -170,5 +171,5 @@ def classify_responses(responses: DataFrame, status: str = "status", body: str =
 
 def echoed_items(body: Column, entity: str) -> Column:
     """How many records an AmoCRM batch reply lists as written."""
-    listed = F.try_variant_get(F.try_parse_json(body), f"$._embedded.{entity}", "array<variant>")
+    listed = F.try_variant_get(R.parse(body), f"$._embedded.{entity}", "array<variant>")
     return F.coalesce(F.size(listed), F.lit(0))
