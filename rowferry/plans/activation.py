@@ -43,8 +43,8 @@ def window(source: DataFrame, field: str | None, last: object | None) -> tuple[D
     return rows.where(closed), highest
 
 
-def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Record, Column]:
-    """Rows as they will be sent, the record bound to them, and the key of a call.
+def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Record, Column | None]:
+    """Rows as they will be sent, the record bound to them, and the key of a call, if it has one.
 
     Two versions of one record must not race in parallel tasks, so only the
     last one is kept wherever the spec tells which that is.
@@ -56,12 +56,10 @@ def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Rec
         text = F.to_json(F.struct(record_id(record).alias("id")))
         identified = rows.withColumn("_id", F.when(record_op(record) == UPDATE, text))
         rows = collapse(identified, "_id", *order).drop("_id")
-    owner = f"{spec.name}/{spec.entity}"
+    key = None
     if spec.key_columns:
         # The version is part of the key: a changed row is sent, a repeated one is not.
-        key = idempotency_key(owner, [F.col(f"`{c}`") for c in order])
-    else:
-        key = F.lit(None).cast("string")
+        key = idempotency_key(f"{spec.name}/{spec.entity}", [F.col(f"`{c}`") for c in order])
     return rows, resolve(rows, spec.field_mappings), key
 
 

@@ -91,16 +91,18 @@ class CrmSink:
         repeated = (F.col("call_key") == F.col("sent_key")) & (F.col("op") == "create")
         return calls.join(sent, repeated, "left_anti")
 
-    def deliver(self, df: DataFrame, record: Record, entity: str, key: Column, run_id: str) -> Delivered:
+    def deliver(self, df: DataFrame, record: Record, entity: str, key: Column | None, run_id: str) -> Delivered:
         require_entity(self.type, entity)
         spark = df.sparkSession
         destination = Destination(self.type, entity, self.url, self.token, self.timeout)
-        keyed = df.withColumn("call_key", key)
+        keyed = df.withColumn("call_key", F.lit(None).cast("string") if key is None else key)
+        # Without keys there is nothing to compare, and a join on nulls would put all rows into one task.
+        unsent = self._unsent if key is not None else lambda calls: calls
         if self.type == "bitrix24":
             calls = record_calls(keyed, record, entity, keep=("call_key",))
-            calls = self._bounded(self._unsent(calls)).withColumn("call_keys", F.array("call_key"))
+            calls = self._bounded(unsent(calls)).withColumn("call_keys", F.array("call_key"))
         else:
-            items = self._bounded(self._unsent(batch_items(keyed, record, keep=("call_key",))))
+            items = self._bounded(unsent(batch_items(keyed, record, keep=("call_key",))))
             calls = batch_payloads(items, self.batch_size, "call_key").withColumn("method", F.lit(None).cast("string"))
         # One folder per attempt: a repeated run adds to the log and is counted alone.
         folder = f"{self.results_path}/run={run_id}-{uuid.uuid4().hex[:8]}"

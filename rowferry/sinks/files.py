@@ -20,8 +20,8 @@ class FileSink:
     def __init__(self, path: str, type: str = "bitrix24"):
         self.path, self.type = path, type
 
-    def deliver(self, df: DataFrame, record: Record, entity: str, key: Column, run_id: str) -> Delivered:
-        keyed = df.withColumn("_key", key)
+    def deliver(self, df: DataFrame, record: Record, entity: str, key: Column | None, run_id: str) -> Delivered:
+        keyed = df.withColumn("_key", F.lit(None).cast("string") if key is None else key)
         if self.type == "bitrix24":
             calls = record_calls(keyed, record, entity, keep=("_key",))
         else:

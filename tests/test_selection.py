@@ -109,8 +109,19 @@ def test_row_index_with_a_hot_value(spark):
 
 
 def test_row_index_with_copies(spark):
-    df = spark.range(300).select(F.lit(1).alias("k"))
-    assert sorted(r.row_index for r in row_index(df, "k").collect()) == list(range(300))
+    # A third of the rows are copies of one row.
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1000).otherwise(F.col("id")).alias("k"))
+    expected = sorted(1000 if i % 3 == 0 else i for i in range(3000))
+    for unique in (True, False):
+        rows = sorted((r.row_index, r.k) for r in row_index(df, "k", unique=unique).collect())
+        assert rows == list(enumerate(expected))
+
+
+def test_row_index_splits_copies(spark):
+    df = spark.range(0, 20_000, 1, 4).select(F.lit(1).alias("k"))
+    indexed = row_index(df, "k", partitions=8, unique=False)
+    sizes = [r["count"] for r in indexed.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 6_000
 
 
 def test_prompts_name_the_rows(spark):

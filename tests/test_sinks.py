@@ -46,13 +46,9 @@ def sink(tmp_path, folder, type="bitrix24", answer=None, **more):
     return CrmSink(type, "https://crm.example/", "tok", str(tmp_path / "results"), transport=recorder(folder, answer), **more)
 
 
-def no_key():
-    return F.lit(None).cast("string")
-
-
 def test_single_records(spark, tmp_path, folder):
     df = spark.createDataFrame([(7, "a"), (None, "b")], "ID int, TITLE string")
-    result = sink(tmp_path, folder, timeout=5).deliver(df, record_of(df), "lead", no_key(), "r1")
+    result = sink(tmp_path, folder, timeout=5).deliver(df, record_of(df), "lead", None, "r1")
     assert (result.written, result.failed, result.error) == (2, 0, None)
     sent = sorted(requests(folder), key=lambda r: r["url"])
     assert [r["url"] for r in sent] == ["https://crm.example/rest/tok/crm.lead.add", "https://crm.example/rest/tok/crm.lead.update"]
@@ -64,7 +60,7 @@ def test_not_found_is_skipped(spark, tmp_path, folder):
         return (200, '{"error":"NOT_FOUND"}') if body["fields"]["TITLE"] == "a" else (200, '{"result":1}')
 
     df = spark.createDataFrame([("a",), ("b",)], "TITLE string")
-    result = sink(tmp_path, folder, answer=answer).deliver(df, record_of(df), "lead", no_key(), "r1")
+    result = sink(tmp_path, folder, answer=answer).deliver(df, record_of(df), "lead", None, "r1")
     assert (result.written, result.not_found, result.failed) == (1, 1, 0)
 
 
@@ -73,34 +69,34 @@ def test_first_failure_stops_the_task(spark, tmp_path, folder):
         return (500, "down") if body["fields"]["N"] >= 3 else (200, '{"result":1}')
 
     df = spark.range(10).select(F.col("id").alias("N")).coalesce(1)
-    result = sink(tmp_path, folder, answer=answer).deliver(df, record_of(df), "lead", no_key(), "r1")
+    result = sink(tmp_path, folder, answer=answer).deliver(df, record_of(df), "lead", None, "r1")
     assert (result.written, result.failed, result.error) == (3, 1, "HTTP 500: down") and len(requests(folder)) == 4
 
 
 def test_lists(spark, tmp_path, folder):
     crm = sink(tmp_path, folder, "amocrm", batch_size=4)
     updates = spark.range(10).withColumn("name", F.lit("x")).coalesce(1)
-    assert crm.deliver(updates, record_of(updates), "leads", no_key(), "r1").written == 10
+    assert crm.deliver(updates, record_of(updates), "leads", None, "r1").written == 10
     sent = requests(folder)
     assert {r["method"] for r in sent} == {"PATCH"} and sorted(len(r["body"]) for r in sent) == [2, 4, 4]
     assert sent[0]["url"] == "https://crm.example/api/v4/leads" and sent[0]["headers"]["Authorization"] == "Bearer tok"
     creates = spark.createDataFrame([("a",)], "name string")
-    assert crm.deliver(creates, record_of(creates), "leads", no_key(), "r2").written == 1
+    assert crm.deliver(creates, record_of(creates), "leads", None, "r2").written == 1
     assert {r["method"] for r in requests(folder)} == {"PATCH", "POST"}
 
 
 def test_written_is_what_is_echoed(spark, tmp_path, folder):
     crm = sink(tmp_path, folder, "amocrm", answer=lambda m, u, b: (200, '{"_embedded":{"leads":[{"id":1}]}}'))
     df = spark.range(3).coalesce(1)
-    assert crm.deliver(df, record_of(df), "leads", no_key(), "r1").written == 1
+    assert crm.deliver(df, record_of(df), "leads", None, "r1").written == 1
 
 
 def test_unknown_entity_and_type(spark, tmp_path, folder):
     df = spark.range(1)
     with pytest.raises(DeliveryError):
-        sink(tmp_path, folder).deliver(df, record_of(df), "invoice", no_key(), "r1")
+        sink(tmp_path, folder).deliver(df, record_of(df), "invoice", None, "r1")
     with pytest.raises(DeliveryError):
-        sink(tmp_path, folder, "hubspot").deliver(df, record_of(df), "lead", no_key(), "r1")
+        sink(tmp_path, folder, "hubspot").deliver(df, record_of(df), "lead", None, "r1")
     assert requests(folder) == []
 
 
@@ -134,13 +130,13 @@ def test_creates_in_lists_are_not_sent_twice(spark, tmp_path, folder):
 
 def test_parallelism_is_bounded(spark, tmp_path, folder):
     df = spark.range(0, 40, 1, 8).select(F.col("id").alias("N"))
-    assert sink(tmp_path, folder, parallelism=2).deliver(df, record_of(df), "lead", no_key(), "r1").written == 40
+    assert sink(tmp_path, folder, parallelism=2).deliver(df, record_of(df), "lead", None, "r1").written == 40
 
 
 def test_not_a_number_is_refused(spark, tmp_path, folder):
     df = spark.createDataFrame([(float("nan"),)], "AMOUNT double")
-    assert sink(tmp_path, folder).deliver(df, record_of(df), "deal", no_key(), "r1").failed == 1
-    assert sink(tmp_path, folder, "amocrm").deliver(df, record_of(df), "leads", no_key(), "r1").failed == 1
+    assert sink(tmp_path, folder).deliver(df, record_of(df), "deal", None, "r1").failed == 1
+    assert sink(tmp_path, folder, "amocrm").deliver(df, record_of(df), "leads", None, "r1").failed == 1
     assert requests(folder) == []
 
 
@@ -148,7 +144,7 @@ def test_file_sink_overwrites_its_run(spark, tmp_path):
     files = FileSink(str(tmp_path / "out"))
     df = spark.createDataFrame([("a",), ("b",)], "TITLE string")
     for _ in range(2):
-        assert files.deliver(df, record_of(df), "lead", no_key(), "7").written == 2
+        assert files.deliver(df, record_of(df), "lead", None, "7").written == 2
     assert spark.read.parquet(files.path).count() == 2
 
 
