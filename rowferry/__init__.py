@@ -4,6 +4,6 @@ Every operator takes and returns DataFrames (or Columns) and stays lazy; the
 few actions live in ``plans`` and ``streaming``.
 """
 
-from .spec import AgentSpec, FieldMap, SyncSpec
+from .spec import AgentSpec, FieldMap, SyncSpec, field_maps
 
-__all__ = ["AgentSpec", "FieldMap", "SyncSpec"]
+__all__ = ["AgentSpec", "FieldMap", "SyncSpec", "field_maps"]

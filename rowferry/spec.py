@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -36,6 +37,16 @@ class FieldMap:
     transformation: str | None = None
 
 
+def field_maps(items: Iterable[dict]) -> tuple[FieldMap, ...]:
+    """Field maps from stored mapping items; each needs both names."""
+    maps = []
+    for item in items:
+        if not item.get("source_field") or not item.get("destination_field"):
+            raise ValueError(f"a mapping item needs source_field and destination_field: {item!r}")
+        maps.append(FieldMap(item["source_field"], item["destination_field"], item.get("transformation")))
+    return tuple(maps)
+
+
 @dataclass(frozen=True)
 class SyncSpec:
     """One scheduled copy of a table into an entity of a destination."""

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from rowferry.functions.presets import apply_preset
 from rowferry.functions.text import WHITESPACE
 from rowferry.operators.mapping import apply_mapping, resolve
-from rowferry.spec import FieldMap
+from rowferry.spec import FieldMap, field_maps
 
 NUMBERS = [
     " 42 ", "+5", "-5", "007", "1_000", "1__000", "_1", "1_", "3.", ".5", ".", "1e3", "1e", "5d", "5f", "5L", "0x10", "infinit",
@@ -147,6 +147,14 @@ def test_mapping_two_presets(spark):
     assert out.select("EMAIL", F.to_json(F.struct("AGE"))).first()[:] == ("user@example.com", '{"AGE":42}')
 
 
+def test_stored_items():
+    items = [{"source_field": "a", "destination_field": "A"}, {"source_field": "b", "destination_field": "B", "transformation": "trim"}]
+    assert field_maps(items) == (FieldMap("a", "A"), FieldMap("b", "B", "trim"))
+    for wrong in ({"source_field": "a"}, {"destination_field": "A"}, {"source_field": "", "destination_field": "A"}):
+        with pytest.raises(ValueError):
+            field_maps([wrong])
+
+
 def test_mapping_missing_column_and_case(spark):
     df = spark.createDataFrame([("a",)], "email string")
     out = apply_mapping(df, [FieldMap("email", "EMAIL"), FieldMap("phone", "PHONE"), FieldMap("Email", "OTHER")])
