@@ -36,6 +36,18 @@ def test_scores(spark):
         ({"index": None, "score": 1}, UNSCORED),
         ({"index": [0], "score": 1}, UNSCORED),
         ({"index": 0, "score": "high"}, UNSCORED),
+        ({"index": 0, "score": "5d"}, UNSCORED),
+        ({"index": 0, "score": "true"}, UNSCORED),
+        ({"index": "true", "score": 1}, UNSCORED),
+        ({"index": 0, "score": "inf"}, (1.0, "")),
+        ({"index": 0, "score": " 0.2_5 "}, (0.25, "")),
+        ({"index": "0_0", "score": 2.5e-1}, (0.25, "")),
+        ({"index": 1e30, "score": 1}, UNSCORED),
+        ({"index": -0.5, "score": False}, (0.0, "")),
+        ({"index": 0, "score": 1, "reason": "0"}, (1.0, "0")),
+        ({"index": 0, "score": 1, "reason": False}, (1.0, "")),
+        ({"index": 0, "score": 1, "reason": 1.5}, (1.0, "1.5")),
+        ({"index": 0, "score": 1, "reason": [1]}, (1.0, "[1]")),
         ({"index": 2, "score": 1}, UNSCORED),
         ({"index": -1, "score": 1}, UNSCORED),
         ({"score": 1}, UNSCORED),
