@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from ..session import staging_path
+from . import exact_dedup, url_filter, warc
 from .tables import table
 
 
@@ -12,10 +13,24 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = staging_path(spark, "archives")
+    warc.write_warc(table(spark, folder, "pages"), archives)
+    return warc.page_records(warc.read_warc(spark, archives, payloads=False))
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    model = url_filter.fit(url_filter.default_labels(spark))
+    return url_filter.judge_urls(table(spark, folder, "pages"), model)
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_warc": op6_warc,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE.strip(),
+    "op6_warc": warc.ORACLE.strip(),
 }
