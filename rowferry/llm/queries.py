@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staging_path
-from . import exact_dedup, url_filter, warc
+from . import exact_dedup, sharding, url_filter, warc
 from .tables import table
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -25,6 +29,7 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_warc": op6_warc,
     "op9_url_filter": op9_url_filter,
