@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staging_path
-from . import exact_dedup, sharding, url_filter, warc
+from . import exact_dedup, packing, sharding, url_filter, warc
 from .tables import table
 
 
@@ -17,6 +18,10 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = staging_path(spark, "archives")
     warc.write_warc(table(spark, folder, "pages"), archives)
@@ -31,6 +36,7 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_packing": op4_packing,
     "op6_warc": op6_warc,
     "op9_url_filter": op9_url_filter,
 }
