@@ -9,8 +9,8 @@ All statistics cover all rows and are distributed: each round is one
 aggregation with map-side combine whose result has at most shards x 8192
 rows. The quantile is found by refining histograms, 13 bits of the coordinate
 per round, until a cut is within a thousandth of a shard; no sample is taken. The rows themselves
-never move while the tree grows: a row's node follows from its coordinates and the
-cuts so far.
+never move while the tree grows: each level writes the slim table of sizes and
+coordinates (no texts) once more, with the node each row has come to.
 
 Ties: a coordinate is the value (16 bits), a hash of row and text (24 bits) and of
 the row's place (12 bits), so that a cut can go through any group of equal values, also
@@ -20,7 +20,6 @@ through copies of one row that hold a third of all bytes.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +54,9 @@ def _scaled(value: Column, low, high) -> Column:
 def metadata_points(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
     """(doc_id, size, text_crc32, place, c0..) staged, and the names of the coordinates.
 
-    Dimensions: id (documents are numbered as they came in), length (log scale),
-    language and source (by hash: they have no order).
+    Dimensions: id (documents are numbered as they came in), language and source (by
+    hash: they have no order). Not the length: that would put the longest documents
+    into nodes of their own, which can't be cut evenly.
     """
     names = {c.lower() for c in docs.columns}
     words = [F.col(c).cast("string") if c in names else F.lit(None).cast("string") for c in ("lang", "source")]
@@ -69,18 +69,17 @@ def metadata_points(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.monotonically_increasing_id().alias("place"),
     )
     points = stage(slim, "points")
-    low_id, high_id, largest = points.agg(F.min("doc_id"), F.max("doc_id"), F.max("size")).first()
+    low_id, high_id = points.agg(F.min("doc_id"), F.max("doc_id")).first()
     mask = (1 << VALUE_BITS) - 1
     values = [
         _scaled(F.col("doc_id").cast("double"), low_id, high_id),
-        _scaled(F.log2("size"), log2(ROW_OVERHEAD), log2(largest or ROW_OVERHEAD)),
         *(F.coalesce(F.crc32(F.col(c).cast("binary")).bitwiseAND(F.lit(mask)), F.lit(0)) for c in ("lang", "source")),
     ]
     row = F.xxhash64("doc_id", "text_crc32").bitwiseAND(F.lit((1 << HASH_BITS) - 1))
     place = F.xxhash64("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     tie = F.shiftleft(row, PLACE_BITS) + place
     coordinates = [(F.shiftleft(v.cast("bigint"), TIE_BITS) + tie).alias(f"c{i}") for i, v in enumerate(values)]
-    return points.select("doc_id", "size", "text_crc32", "place", *coordinates), [f"c{i}" for i in range(len(values))]
+    return stage(points.select("doc_id", "size", "text_crc32", "place", *coordinates), "coordinates"), [f"c{i}" for i in range(len(values))]
 
 
 def _numbers(values: list[int]) -> Column:
@@ -157,7 +156,8 @@ def kd_tree(points: DataFrame, names: list[str], shards: int) -> tuple[DataFrame
         axis = [axes[i][0] + 1 if i in axes else 1 for i in range(len(leaves))]
         cut = [cuts.get(i, 1 << COORDINATE_BITS) for i in range(len(leaves))]
         right = F.element_at(F.array(*names), _of_node(axis).cast("int")) >= _of_node(cut)
-        points = points.withColumn("node", (_of_node(moved) + right.cast("int")).cast("int"))
+        # Staged: as an expression, a row's node would be copied into every use of it at the next level.
+        points = stage(points.withColumn("node", (_of_node(moved) + right.cast("int")).cast("int")), "nodes")
         leaves = grown
     return points, leaves
 
