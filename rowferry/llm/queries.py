@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staging_path
-from . import exact_dedup, packing, sharding, url_filter, warc
+from . import exact_dedup, language, packing, pieces, sharding, url_filter, warc
 from .tables import table
 
 
@@ -28,6 +28,15 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_records(warc.read_warc(spark, archives, payloads=False))
 
 
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     model = url_filter.fit(url_filter.default_labels(spark))
     return url_filter.judge_urls(table(spark, folder, "pages"), model)
@@ -38,6 +47,8 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
+    "op7_pieces": op7_pieces,
+    "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
 }
 
