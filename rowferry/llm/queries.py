@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staging_path
-from . import exact_dedup, language, packing, pieces, sharding, url_filter, warc
+from . import exact_dedup, language, near_dedup, packing, pieces, sharding, url_filter, warc
 from .tables import table
 
 
@@ -42,6 +42,10 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), model)
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
@@ -50,9 +54,11 @@ QUERIES = {
     "op7_pieces": op7_pieces,
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE.strip(),
     "op6_warc": warc.ORACLE.strip(),
+    "op10_near_dedup": near_dedup.ORACLE.strip(),
 }
