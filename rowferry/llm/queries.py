@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staging_path
-from . import exact_dedup, language, near_dedup, packing, pieces, sharding, url_filter, warc
+from . import ann, exact_dedup, language, near_dedup, packing, pieces, sharding, url_filter, warc
 from .tables import table
 
 
@@ -22,6 +22,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = staging_path(spark, "archives")
     warc.write_warc(table(spark, folder, "pages"), archives)
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_neighbours": op5_neighbours,
     "op6_warc": op6_warc,
     "op7_pieces": op7_pieces,
     "op8_language": op8_language,
