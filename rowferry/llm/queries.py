@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staging_path
-from . import ann, exact_dedup, language, near_dedup, packing, pieces, sharding, url_filter, warc
+from . import ann, exact_dedup, html_text, language, near_dedup, packing, pieces, sharding, url_filter, warc
 from .tables import table
 
 
@@ -14,6 +14,10 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
 
 
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -52,6 +56,7 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_html_text": op2_html_text,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op5_neighbours": op5_neighbours,
