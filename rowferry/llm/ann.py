@@ -28,26 +28,25 @@ from pyspark.sql.window import Window
 
 from ..session import stage
 
-NEIGHBOURS = 16
+NEIGHBOURS = 24
 INCOMING = 16
 SEED_PROJECTIONS = 2
 BLOCK = 8192  # nodes that a task splits into leaves at a time
-LEAF = 160
-IMPROVED = 5  # pairs a hub passes on per member
+LEAF = 2048
+IMPROVED = 8  # pairs a hub passes on per member
 ROUNDS = 4
 LITTLE_CHANGE = 0.02  # of the list entries: the descent ends
-BEAM = 32
-OPENED = 8  # nodes a query opens per step
-STEPS = 20
+BEAM = 320
+OPENED = 64  # nodes a query opens per step
 ENTRIES = 64
 
 
 @dataclass(frozen=True)
 class Index:
-    """nodes: (node, vec, members); edges: (node, other), both directions; entries: a few nodes with vectors."""
+    """nodes: (node, vec, members); graph: (node, others), both directions; entries: a few nodes with vectors."""
 
     nodes: DataFrame
-    edges: DataFrame
+    graph: DataFrame
     entries: list[tuple[int, list[float]]]
     dimension: int
 
@@ -245,8 +244,10 @@ def build_index(rows: DataFrame, results: int = 10) -> Index:
         entered, total = graph.agg(F.sum("fresh"), F.count(F.lit(1))).first()
         if not total or entered < LITTLE_CHANGE * total:
             break
-    both = graph.select("a", "b").union(_incoming(graph.select("a", "b"))).distinct()
-    return Index(nodes, stage(both.select(F.col("a").alias("node"), F.col("b").alias("other")), "edges"), entries, dimension)
+    both = graph.select("a", "b").union(_incoming(graph.select("a", "b")))
+    # Bounded: NEIGHBOURS + INCOMING per node.
+    lists = both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("others"))
+    return Index(nodes, stage(lists, "lists"), entries, dimension)
 
 
 def _measured(pairs: DataFrame) -> DataFrame:
@@ -284,23 +285,23 @@ def search(index: Index, queries: DataFrame, results: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "node"])
 
     goals, vectors = queries.select("query", "goal"), index.nodes.select("node", "vec")
-    first = queries.mapInArrow(begin, "query bigint, node bigint")
-    beam = stage(
-        _measured(first.join(vectors, "node").join(goals, "query")).withColumn("open", F.lit(True)), "beam"
-    )
     nearest = Window.partitionBy("query").orderBy("d", "node")
-    for _ in range(STEPS):
-        turn = beam.where("open").withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= OPENED)
-        turn = stage(turn.select("query", "node"), "turn")
-        if turn.isEmpty():
-            break
-        seen = turn.join(index.edges, "node").select("query", F.col("other").alias("node")).distinct()
-        unseen = seen.join(beam.select("query", "node"), ["query", "node"], "left_anti")
-        found = _measured(unseen.join(vectors, "node").join(goals, "query")).withColumn("open", F.lit(True))
-        opened = beam.join(turn.withColumn("done", F.lit(True)), ["query", "node"], "left")
-        opened = opened.select("query", "node", "d", (F.col("open") & F.col("done").isNull()).alias("open"))
-        merged = opened.union(found).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= BEAM)
-        beam = stage(merged.drop("n"), "beam")
+    places = (F.row_number().over(nearest).alias("place"), F.sum(F.col("open").cast("int")).over(nearest).alias("turn"))
+
+    def best(seen: DataFrame) -> DataFrame:
+        """The beams; ``turn`` numbers what is still open, nearest first."""
+        ranked = seen.select("*", *places).where(F.col("place") <= BEAM)
+        return stage(ranked.select("query", "node", "d", "open", "turn"), "beam")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        return _measured(pairs.join(vectors, "node").join(goals, "query")).withColumn("open", F.lit(True))
+
+    beam = best(measured(queries.mapInArrow(begin, "query bigint, node bigint").distinct()))
+    while not (turn := beam.where(F.col("open") & (F.col("turn") <= OPENED))).isEmpty():
+        around = turn.join(index.graph, "node").select("query", F.explode("others").alias("node")).distinct()
+        unseen = around.join(beam.select("query", "node"), ["query", "node"], "left_anti")
+        opened = beam.select("query", "node", "d", (F.col("open") & (F.col("turn") > OPENED)).alias("open"))
+        beam = best(opened.union(measured(unseen)))
     listed = beam.join(index.nodes, "node").join(goals, "query").select(
         "query", F.explode("members").alias("vec_id"), _distance(F.col("goal"), F.col("vec")).alias("score")
     )
