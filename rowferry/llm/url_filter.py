@@ -9,6 +9,7 @@ row: no shuffle, no Python on the executors.
 from __future__ import annotations
 
 import string
+from itertools import product
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -16,8 +17,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEATURES = 1 << 14
+FEATURES = 1 << 18
 GRAM_SIZES = (3, 4)
+BLOCKED_WEIGHT = 3.0  # of a blocked url in the training, against 1 of an allowed one
 
 # (verdict, host and path): fits the host and all its subdomains if the path starts so.
 RULES = (
@@ -38,20 +40,24 @@ _ORDINARY = (
     "nature sport theatre health cycling photo town council river mountain thornton western internet other "
     "another thing nation motion reading winter"
 ).split()
-_SHAPES = (
-    "https://{}.example.com/en/{}", "http://www.{}.example.net/fr/{}.html", "https://blog.{}.example.org/de/{}/",
-    "https://m.{}.example.com/es/{}?page=2", "http://{}.example.org/en/{}#top",
-)
+_SYLLABLES = "ba ren to mi ther sol kan ist lor ve ing ha th on".split()
+_SCHEMES, _PREFIXES, _DOMAINS, _LANGS = ("http", "https"), ("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "fr", "de", "es")
+_TAILS = ("", "/", ".html", "?page=2", "?utm_source=feed", "#top")
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
-    """(url, blocked): each name once in each shape, so that only the name tells the classes apart."""
-    rows = [
-        (shape.format(name, 100 * i + j), float(label))
-        for label, names in ((1, _UNWANTED), (0, _ORDINARY))
-        for i, name in enumerate(names)
-        for j, shape in enumerate(_SHAPES)
-    ]
+    """(url, blocked): the names above, and pairs of syllables as names of any kind, under each prefix and domain.
+
+    Only names tell the classes apart; the many ordinary ones make a name without telling
+    parts an ordinary one.
+    """
+    ordinary = _ORDINARY + [a + b for a in _SYLLABLES for b in _SYLLABLES]
+    rows = []
+    for label, names in ((1.0, _UNWANTED), (0.0, ordinary)):
+        for i, name in enumerate(names):
+            for k, (prefix, domain) in enumerate(product(_PREFIXES, _DOMAINS)):
+                scheme, lang, tail = _SCHEMES[(i + k) % 2], _LANGS[(i + k) % 4], _TAILS[(i + k) % 6]
+                rows.append((f"{scheme}://{prefix}{name}.example.{domain}/{lang}/{(12 * i + k) * 37 % 9973}{tail}", label))
     return spark.createDataFrame(rows, "url string, blocked double")
 
 
@@ -96,17 +102,16 @@ def _features(df: DataFrame, host: Column, path: Column) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> LogisticRegressionModel:
-    """The model of (url, blocked 0 or 1), each class with half the weight. Rows without a label are left out."""
+    """The model of (url, blocked 0 or 1). Rows without a label are left out; both classes must be there."""
     rows = labelled.select("url", F.col("blocked").cast("double").alias("blocked")).where("blocked IS NOT NULL").coalesce(1)
     blocked, total = rows.agg(F.sum("blocked"), F.count("blocked")).first()
     if not total or not 0 < blocked < total:
         raise ValueError("the labelled table needs urls of both classes")
-    share = F.when(F.col("blocked") == 1, total / (2 * blocked)).otherwise(total / (2 * (total - blocked)))
+    weighted = rows.withColumn("_weight", F.when(F.col("blocked") == 1, BLOCKED_WEIGHT).otherwise(1.0))
     trainer = LogisticRegression(
-        featuresCol="_features", labelCol="blocked", weightCol="_weight", regParam=0.01, maxIter=100,
-        standardization=False,
+        featuresCol="_features", labelCol="blocked", weightCol="_weight", regParam=0.0003, maxIter=100, standardization=False
     )
-    return trainer.fit(_features(rows.withColumn("_weight", share), *host_and_path(F.col("url"))))
+    return trainer.fit(_features(weighted, *host_and_path(F.col("url"))))
 
 
 def judge_urls(

@@ -27,7 +27,6 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,7 +121,6 @@ _PARSED = (
     "kind string, path string, start bigint, number bigint, record_type string, record_id string, refers_to string, url string, "
     "payload_bytes bigint, payload_digest string, payload binary, error string"
 )
-_NAMES = [field.split()[0] for field in _PARSED.split(", ")]
 _ARROW = pa.schema(
     [(n, {"bigint": pa.int64(), "binary": pa.binary()}.get(k, pa.string())) for n, k in (f.split() for f in _PARSED.split(", "))]
 )
@@ -230,21 +228,22 @@ def _batches(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(chunk, schema=_ARROW)
 
 
-def _joined(parts: pd.DataFrame, payloads: bool) -> pd.DataFrame:
+def _joined(parts: pa.Table, payloads: bool) -> pa.Table:
     """The members of one file that cross ranges. A range has at most one tail, after its heads."""
     rows, member, at = [], None, {}
-    ordered = parts.assign(last=parts["kind"] == "tail").sort_values(["start", "last", "number"])
-    for kind, path, start, data in ordered[["kind", "path", "start", "payload"]].itertuples(index=False):
-        if kind == "tail":
+    order = sorted(parts.to_pylist(), key=lambda r: (r["start"], r["kind"] == "tail", r["number"] or 0))
+    for part in order:
+        here = {"path": part["path"], "start": part["start"]}
+        if part["kind"] == "tail":
             if member is not None:
                 rows.append({"kind": "record", "error": "the member is broken"} | at)
-            member, at = _Member(), {"path": path, "start": start}
-            member.feed(data)
+            member, at = _Member(), here
+            member.feed(part["payload"])
         elif member is None:
-            rows.append({"kind": "record", "path": path, "start": start, "error": "no record begins here"})
+            rows.append({"kind": "record", "error": "no record begins here"} | here)
         else:
             try:
-                if member.feed(data):
+                if member.feed(part["payload"]):
                     rows.append(parse_record(b"".join(member.out), payloads) | at)
                     member = None
             except zlib.error:
@@ -252,7 +251,7 @@ def _joined(parts: pd.DataFrame, payloads: bool) -> pd.DataFrame:
                 member = None
     if member is not None:
         rows.append({"kind": "record", "error": "the member has no end"} | at)
-    return pd.DataFrame(rows, columns=_NAMES)
+    return pa.Table.from_pylist(rows, schema=_ARROW)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -287,7 +286,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
     parsed = stage(lines.mapInArrow(parse, _PARSED), "warc-records")
     fields = ["record_type", "record_id", "refers_to", "url", "payload_bytes", "payload_digest", "payload", "path", "error"]
-    crossing = parsed.where("kind <> 'record'").groupBy("path").applyInPandas(lambda rows: _joined(rows, payloads), _PARSED)
+    crossing = parsed.where("kind <> 'record'").groupBy("path").applyInArrow(lambda rows: _joined(rows, payloads), _PARSED)
     return parsed.where("kind = 'record'").union(crossing).select(*fields)
 
 
