@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
 
 Index. Equal vectors are one node that knows its k + 1 smallest ids, so copies
-don't crowd the graph. Seed neighbours come from small blocks of nodes that are close
-in a random projection. Each round of NN-descent then joins every node with the neighbours
+don't crowd the graph. Seed neighbours come from cells between random planes, in which all
+pairs of a leaf of bounded size are compared. Each round of NN-descent then joins every node with the neighbours
 of its neighbours (both directions, a bounded sample of the incoming ones): a hub's members are
 compared in the task that holds the hub, and only pairs that improve a member's list leave
 it. Lists hold ``NEIGHBOURS`` nodes. All rows are indexed.
@@ -28,10 +28,10 @@ from pyspark.sql.window import Window
 
 from ..session import stage
 
-NEIGHBOURS = 24
-INCOMING = 16
-SEED_PROJECTIONS = 2
-BLOCK = 8192  # nodes that a task splits into leaves at a time
+NEIGHBOURS = 32
+INCOMING = 20
+SEEDINGS = 2
+BLOCK = 8192  # nodes of a cell that a task holds at a time
 LEAF = 2048
 IMPROVED = 8  # pairs a hub passes on per member
 ROUNDS = 4
@@ -83,10 +83,13 @@ def _matrix(column: pa.Array, kind, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dimension)
 
 
-def _projected(nodes: DataFrame, dimension: int, scale: float) -> DataFrame:
-    """(node, half, p0..): half-precision copies, and the projections the seeds are sorted by."""
-    directions = np.random.default_rng(5).standard_normal((dimension, SEED_PROJECTIONS))
-    schema = "node bigint, half binary, " + ", ".join(f"p{t} double" for t in range(SEED_PROJECTIONS))
+def _projected(nodes: DataFrame, dimension: int, scale: float, bits: int) -> DataFrame:
+    """(node, half, cell0..): half-precision copies, and the cells of the seeds.
+
+    A cell is told by the sides of ``bits`` random planes a vector lies on; the planes go through
+    the medians, so cells are about equal. They don't depend on how Spark deals the rows.
+    """
+    directions = np.random.default_rng(5).standard_normal((dimension, SEEDINGS * bits))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +97,18 @@ def _projected(nodes: DataFrame, dimension: int, scale: float) -> DataFrame:
                 continue
             values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension) / scale
             halves = pa.array([row.tobytes() for row in values.astype(np.float16)], pa.binary())
-            marks = [pa.array(p) for p in (values @ directions).T]
-            names = ["node", "half", *(f"p{t}" for t in range(SEED_PROJECTIONS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), halves, *marks], names)
+            along = pa.array((values @ directions).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), halves, along], ["node", "half", "along"])
 
-    return stage(nodes.select("node", "vec").mapInArrow(run, schema), "projected")
+    table = stage(nodes.select("node", "vec").mapInArrow(run, "node bigint, half binary, along array<double>"), "projected")
+    middles = table.agg(*(F.percentile_approx(F.col("along")[k], 0.5, 1000) for k in range(SEEDINGS * bits))).first() if bits else []
+    cells = []
+    for t in range(SEEDINGS):
+        cell = F.lit(0).cast("bigint")
+        for k in range(bits):
+            cell = cell + F.when(F.col("along")[t * bits + k] > F.lit(middles[t * bits + k]), 1 << k).otherwise(0)
+        cells.append(cell.alias(f"cell{t}"))
+    return table.select("node", "half", *cells)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
@@ -128,24 +138,28 @@ def _leaves(x: np.ndarray, rows: np.ndarray, random) -> Iterator[np.ndarray]:
 
 
 def _seeds(projected: DataFrame, dimension: int) -> DataFrame:
-    """Nearest nodes within small leaves, for each projection."""
+    """Nearest nodes within the leaves of each cell. A cell of more than ``BLOCK`` nodes is dealt in parts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks():
-            rows, size = [], 0
+            """Whole cells, sorted by (cell, part)."""
+            rest = None
             for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    rows.append(batch.slice(at, BLOCK))
-                    size += rows[-1].num_rows
-                    if size >= BLOCK:
-                        yield pa.Table.from_batches(rows)
-                        rows, size = [], 0
-            if rows:
-                yield pa.Table.from_batches(rows)
+                table = pa.Table.from_batches([batch])
+                rest = table if rest is None else pa.concat_tables([rest, table])
+                keys = np.stack([rest.column(i).to_numpy() for i in (0, 1)], axis=1)
+                ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+                begin = 0
+                for end in ends:
+                    yield rest.slice(begin, end - begin)
+                    begin = end
+                rest = rest.slice(begin)
+            if rest is not None:
+                yield rest
 
         random = np.random.default_rng(7)
         for block in blocks():
-            ids, x = block.column(0).to_numpy(), _matrix(block.column(1), np.float16, dimension).astype(np.float32)
+            ids, x = block.column(2).to_numpy(), _matrix(block.column(3), np.float16, dimension).astype(np.float32)
             for leaf in _leaves(x, np.arange(len(ids)), random):
                 d = _squared(x[leaf])
                 np.fill_diagonal(d, np.inf)
@@ -155,9 +169,12 @@ def _seeds(projected: DataFrame, dimension: int) -> DataFrame:
                     yield _pairs(np.repeat(ids[leaf], k), ids[leaf][near].ravel(), np.take_along_axis(d, near, 1).ravel())
 
     out = None
-    for t in range(SEED_PROJECTIONS):
-        mark = f"p{t}"
-        found = projected.repartitionByRange(mark).sortWithinPartitions(mark).select("node", "half").mapInArrow(run, _PAIRS)
+    for t in range(SEEDINGS):
+        rows = projected.select("node", "half", F.col(f"cell{t}").alias("cell"))
+        sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        dealt = rows.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+        key = ["cell", "part"]
+        found = dealt.repartition(*key).sortWithinPartitions(*key).select(*key, "node", "half").mapInArrow(run, _PAIRS)
         out = found if out is None else out.union(found)
     return out
 
@@ -235,7 +252,8 @@ def build_index(rows: DataFrame, results: int = 10) -> Index:
     nodes = _nodes(rows.where(F.size("vec") == dimension), results + 1)
     scale = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
     entries = [tuple(r) for r in nodes.select("node", "vec").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
-    projected = _projected(nodes, dimension, float(scale))
+    bits = max(0, (nodes.count() // LEAF).bit_length() - 1)
+    projected = _projected(nodes, dimension, float(scale), bits)
     fresh, old = F.lit(1).alias("fresh"), F.lit(0).alias("fresh")
     graph = stage(_best(_seeds(projected, dimension).select("a", "b", "d", fresh)), "graph")
     for _ in range(ROUNDS):
