@@ -33,7 +33,7 @@ def double_text(c: Column) -> Column:
     fraction = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
     digits = F.concat(F.substring_index(mantissa, ".", 1), fraction)
     whole = F.rpad(digits, exponent + 1, "0")
-    rest = F.substring(digits, exponent + 2, F.lit(400))
+    rest = F.substring(digits, exponent + 2, F.length(digits))
     plain_large = F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
     plain_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     scientific = F.concat(

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from ..spec import DEFAULT_THRESHOLD
 BATCH_SIZE = 15
 # Fixed value: what a row without a judgement is told to be.
 NOT_SCORED = "(not scored by the model)"
+NO_FEATURES = "not scored: a feature is missing"
 # Fixed value: example rows in a summary.
 SUMMARY_EXAMPLES = 5
 
@@ -90,26 +90,33 @@ def score_cluster(
     ``features`` is an array column or a list of numeric columns; ``like`` marks
     known members of the segment. Distances are compared in ``pyspark.ml``
     KMeans, which aggregates per partition; the driver sees the centres only.
+    Rows that lack a feature (null or not finite) shape no cluster and get 0.0.
     """
-    if isinstance(features, str):
-        vectors = df.withColumn("_features", array_to_vector(F.col(features).cast("array<double>")))
-    else:
-        vectors = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep").transform(df)
-    model = KMeans(k=clusters, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="_cluster").fit(vectors)
-    placed = model.transform(vectors)
+    values = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(c).cast("double") for c in features))
+    finite = F.coalesce(F.forall("_values", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
+    vectors = df.withColumn("_values", values).withColumn("_whole", finite & (F.size("_values") > 0)).withColumn(
+        "_features", F.when(F.col("_whole"), array_to_vector("_values"))
+    )
+    whole = vectors.where("_whole")
+    if whole.isEmpty():
+        return df.withColumn("score", F.lit(0.0)).withColumn("reason", F.lit(NO_FEATURES))
+    model = KMeans(k=clusters, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="_cluster").fit(whole)
+    # Rows without features are placed like the first complete one; what comes of it is not used.
+    stand_in = array_to_vector(F.array(*(F.lit(float(x)) for x in model.clusterCenters()[0])))
+    placed = model.transform(vectors.withColumn("_features", F.coalesce("_features", stand_in)))
     # As many rows as clusters.
     segment = (
-        placed.groupBy("_cluster")
+        placed.where("_whole").groupBy("_cluster")
         .agg(F.avg(F.when(like, 1.0).otherwise(0.0)).alias("share"))
         .orderBy(F.desc("share"), "_cluster")
         .first()
     )
     target = -1 if segment is None else segment["_cluster"]
-    inside = F.col("_cluster") == target
+    inside = F.col("_whole") & (F.col("_cluster") == target)
     return (
         placed.withColumn("score", F.when(inside, 1.0).otherwise(0.0))
-        .withColumn("reason", F.concat(F.lit("cluster "), F.col("_cluster").cast("string")))
-        .drop("_features", "_cluster")
+        .withColumn("reason", F.when(F.col("_whole"), F.concat(F.lit("cluster "), F.col("_cluster").cast("string"))).otherwise(NO_FEATURES))
+        .drop("_values", "_whole", "_features", "_cluster")
     )
 
 
@@ -159,7 +166,7 @@ def selection_summary(scored: DataFrame, threshold: float, key: str) -> DataFram
         ).alias("line"),
         "rows_considered",
         "rows_selected",
-        F.lit(None).cast("string").alias("k"),
+        F.lit(None).cast(scored.schema[key].dataType).alias("k"),
     )
     examples = top_examples(scored, threshold, key).select(
         F.lit(1).alias("place"),
@@ -167,7 +174,7 @@ def selection_summary(scored: DataFrame, threshold: float, key: str) -> DataFram
         F.format_string("- row %s (score %.2f): %s", F.col(key).cast("string"), F.col("score"), F.col("reason")).alias("line"),
         F.lit(None).cast("bigint").alias("rows_considered"),
         F.lit(None).cast("bigint").alias("rows_selected"),
-        F.lpad(F.col(key).cast("string"), 40, "0").alias("k"),
+        F.col(key).alias("k"),
     )
     # Six rows at most meet here.
     lines = F.sort_array(F.collect_list(F.struct("place", (-F.col("score")).alias("s"), "k", "line")))

@@ -62,16 +62,15 @@ def suggest_by_name(source_columns: DataFrame, destination_fields: DataFrame, ow
     one common word 0.5 + 0.2 times the overlap that word alone makes.
 
     No pair of names is ever compared. Both sides are turned into match keys;
-    per key only the best source column is kept (for a common word the one
-    with the fewest words, since that makes the largest overlap; ties go to
-    the earlier column), so the join has one partner per key at most and a
+    per key only the best source column is kept (the earliest, but for a common
+    word the one with the fewest words, since that makes the largest overlap), so the join has one partner per key at most and a
     word that occurs everywhere costs no more than a rare one.
     """
     words = F.size(_tokens(F.col("source_field")))
     offered = (
         source_columns.select(owner, "source_field", "pos", words.alias("n"), F.inline_outer(_keys(F.col("source_field"))))
         .groupBy(owner, "tier", "key")
-        .agg(F.min(F.struct("n", "pos", "source_field")).alias("s"))
+        .agg(F.min(F.struct(F.when(F.col("tier") == 3, F.col("n")).otherwise(0).alias("n"), "pos", "source_field")).alias("s"))
     )
     wanted = destination_fields.select(
         owner,

@@ -1,6 +1,6 @@
 """Run history, schedules and spec tables derived from the given tables.
 
-The reference keeps these in its own database; here every row of a given table
+The application keeps these in its own database; here every row of a given table
 becomes one row of history or one spec, so the queries grow with the data. Each
 stand-in exists twice, as a DataFrame and as a SQL common table expression.
 """

@@ -13,6 +13,11 @@ from pyspark.sql.utils import AnalysisException
 from .relations import check_identifier
 
 
+def is_missing_path(error: AnalysisException) -> bool:
+    """Whether a table is not there yet; any other error must not pass for that."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def newer_than(df: DataFrame, field: str | None, last: object | None, inclusive: bool = False) -> DataFrame:
     """Rows past the watermark; everything where there is no field or no last run.
 
@@ -64,7 +69,9 @@ class WatermarkLog:
         """The watermark committed last, as text; it is cast to the field's type on use."""
         try:
             log = self._spark.read.schema(self.SCHEMA).parquet(self._path)
-        except AnalysisException:  # no run yet
-            return None
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
+            return None  # no run yet
         row = log.where(F.col("owner") == owner).agg(F.max_by("watermark", "written")).first()
         return row[0]

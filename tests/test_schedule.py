@@ -11,15 +11,6 @@ from rowferry.operators import schedule as T
 D = datetime
 
 
-def after(value, unit, run_at, anchor):
-    """The rule, one step at a time."""
-    if unit == "hours":
-        return anchor + timedelta(hours=value)
-    hour, minute = map(int, (run_at or "09:00").split(":"))
-    slot = anchor.replace(hour=hour, minute=minute, second=0, microsecond=0)
-    return slot if slot > anchor else slot + timedelta(days=value)
-
-
 def frame(spark, rows):
     return spark.createDataFrame(
         [(i, *r) for i, r in enumerate(rows)],
@@ -51,32 +42,44 @@ def cases(n, seed):
         yield rnd.randint(1, 168 if unit == "hours" else 90), unit, run_at, anchor
 
 
-def test_skip_forward_is_the_loop(spark):
+def on_grid(slot, value, unit, run_at, anchor):
+    """Whether a schedule may fire at ``slot``."""
+    if unit == "hours":
+        steps = (slot - anchor) / timedelta(hours=value)
+        return steps >= 0 and steps == int(steps)
+    time_of_day = run_at or "09:00"
+    return slot.strftime("%H:%M") == time_of_day and (slot.second, slot.microsecond) == (0, 0)
+
+
+def test_skip_forward_finds_the_first_slot_behind(spark):
     rnd = random.Random(5)
-    rows, ends, expected = [], [], []
-    for value, unit, run_at, anchor in cases(800, 5):
-        end = anchor + timedelta(seconds=rnd.randrange(-86_400, 86_400 * 40))
-        slot = after(value, unit, run_at, anchor)
-        while slot <= end:
-            slot = after(value, unit, run_at, slot)
-        rows.append((value, unit, run_at, anchor))
-        ends.append((len(ends), end))
-        expected.append(slot)
+    rows = list(cases(800, 5))
+    ends = [(i, row[3] + timedelta(seconds=rnd.randrange(-86_400, 86_400 * 40))) for i, row in enumerate(rows)]
     df = frame(spark, rows).join(spark.createDataFrame(ends, "i int, e timestamp_ntz"), "i")
-    found = df.select("i", T.skip_forward(F.col("anchor"), F.col("e")).alias("n")).orderBy("i").collect()
-    assert [r.n for r in found] == expected
+    first = F.col("anchor")
+    found = df.select("i", "e", T.skip_forward(first, F.col("e")).alias("n"), T.next_run(first).alias("one")).collect()
+    for r in found:
+        value, unit, run_at, anchor = rows[r.i]
+        step = timedelta(**{unit: value})
+        assert r.n > r.e and r.n > anchor and on_grid(r.n, value, unit, run_at, anchor)
+        # Whole steps behind the first slot, and none of them lies between the end and the slot found.
+        assert (r.n - r.one) % step == timedelta(0) and r.n >= r.one
+        assert r.n == r.one or r.n - step <= r.e
 
 
 @pytest.mark.parametrize("days", [1, 7, 30])
-def test_occurrences_are_the_loop(spark, days):
+def test_occurrences_are_the_whole_grid(spark, days):
     rows = list(cases(300, days))
-    found = frame(spark, rows).select("i", T.occurrences(F.col("anchor"), days).alias("f")).orderBy("i").collect()
-    for row, (value, unit, run_at, start) in zip(found, rows):
-        slots, slot = [], start
-        while slot <= start + timedelta(days=days):
-            slots.append(slot)
-            slot = after(value, unit, run_at, slot)
-        assert row.f == slots
+    found = frame(spark, rows).select("i", T.occurrences(F.col("anchor"), days).alias("f"), T.next_run(F.col("anchor")).alias("one"))
+    for r in found.collect():
+        value, unit, run_at, start = rows[r.i]
+        end, step = start + timedelta(days=days), timedelta(**{unit: value})
+        assert r.f[0] == start and all(slot <= end for slot in r.f)
+        if r.one > end:
+            assert r.f == [start]
+            continue
+        assert r.f[1] == r.one and all(b - a == step for a, b in zip(r.f[1:], r.f[2:])) and r.f[-1] + step > end
+        assert all(on_grid(slot, value, unit, run_at, start) for slot in r.f[1:])
 
 
 @pytest.mark.parametrize("value, unit, days, n", [(6, "hours", 1, 5), (1, "days", 7, 8), (1, "days", 0, 0)])
