@@ -45,15 +45,24 @@ def _violations(df: DataFrame, rule: str, table: str, id_column: str, condition:
     )
 
 
+def _not(fine: Column) -> Column:
+    """Whether a value is not known to be fine: a null is not."""
+    return ~F.coalesce(fine, F.lit(False))
+
+
 def _duplicates(df: DataFrame, rule: str, table: str, id_column: str) -> DataFrame:
-    """Names in use more than once; the first owner stands for all of them."""
-    names = df.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(id_column).alias("id"))
-    return _violations(names, rule, table, "id", F.col("n") > 1, F.col("name"))
+    """Every owner of a name in use more than once."""
+    repeated = df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    return _violations(df.join(repeated, "name", "left_semi"), rule, table, id_column, F.lit(True), F.col("name"))
 
 
 def _dangling(df: DataFrame, other: DataFrame, rule: str, table: str, id_column: str, reference: str) -> DataFrame:
     lost = df.join(other.select(reference), reference, "left_anti")
-    return _violations(lost, rule, table, id_column, F.lit(True), F.concat(F.lit(f"{reference} "), F.col(reference).cast("string")))
+    return _violations(lost, rule, table, id_column, F.lit(True), _reference(reference))
+
+
+def _reference(name: str) -> Column:
+    return F.concat(F.lit(f"{name} "), F.coalesce(F.col(name).cast("string"), F.lit("null")))
 
 
 def spec_integrity(sources: DataFrame, destinations: DataFrame, mappings: DataFrame, syncs: DataFrame) -> DataFrame:
@@ -64,52 +73,61 @@ def spec_integrity(sources: DataFrame, destinations: DataFrame, mappings: DataFr
     destination_entity, field_mappings array of source_field,
     destination_field, transformation), syncs (sync_id, name, source_id,
     destination_id, mapping_id, interval_value, interval_unit, run_at_time,
-    status).
+    status). Only ``run_at_time`` and a preset may be null.
     """
-    items = mappings.select("mapping_id", F.explode("field_mappings").alias("m"))
     entity_known = F.lit(False)
     for system, entities in DESTINATION_ENTITIES.items():
         entity_known = entity_known | ((F.col("destination_type") == system) & F.col("destination_entity").isin(*entities))
     text = lambda c: F.coalesce(c, F.lit(""))
     odd_name = lambda c: ~text(c).rlike(IDENTIFIER)
-    source_field, preset = F.col("m.source_field"), F.col("m.transformation")
-    # A mapping belongs to one source; a sync that uses it must read from there.
-    crossed = syncs.select("sync_id", "mapping_id", "source_id").join(
-        mappings.select("mapping_id", F.col("source_id").alias("mapped_source_id")), "mapping_id"
-    )
     value, unit = F.col("interval_value"), F.col("interval_unit")
     in_bounds = F.lit(False)
     for name, bound in MAX_INTERVAL.items():
         in_bounds = in_bounds | ((unit == name) & value.between(1, bound))
     none = F.lit("")
+    items = F.explode("field_mappings").alias("m")
+    source_field, preset = F.col("m.source_field"), F.col("m.transformation")
+    # One left join per referenced table: what it finds tells a missing from a foreign row.
+    there = lambda df, key: df.select(key, F.lit(True).alias(f"has_{key}"))
+    owners = mappings.select("mapping_id", F.lit(True).alias("has_mapping_id"), F.col("source_id").alias("mapped_source_id"))
+    joined = (
+        syncs.join(there(sources, "source_id"), "source_id", "left")
+        .join(there(destinations, "destination_id"), "destination_id", "left")
+        .join(owners, "mapping_id", "left")
+    )
     found = [
-        _row_rules(sources, "sources", "source_id", ("source_type", ~F.col("type").isin(*SOURCE_TYPES), F.col("type"))),
+        _row_rules(sources, "sources", "source_id", ("source_type", _not(F.col("type").isin(*SOURCE_TYPES)), F.col("type"))),
         _row_rules(
             destinations, "destinations", "destination_id",
-            ("destination_type", ~F.col("type").isin(*DESTINATION_TYPES), F.col("type")),
+            ("destination_type", _not(F.col("type").isin(*DESTINATION_TYPES)), F.col("type")),
         ),
         _row_rules(
             mappings, "mappings", "mapping_id",
             ("identifier", odd_name(F.col("source_table")), F.col("source_table")),
-            ("empty_mapping", F.size("field_mappings") == 0, none),
-            ("unknown_entity", ~entity_known, F.col("destination_entity")),
+            ("empty_mapping", F.coalesce(F.size("field_mappings"), F.lit(0)) <= 0, none),
+            ("unknown_entity", _not(entity_known), F.col("destination_entity")),
         ),
         _row_rules(
-            items, "mappings", "mapping_id",
+            mappings.select("mapping_id", items), "mappings", "mapping_id",
             ("identifier", odd_name(source_field), source_field),
             ("incomplete_item", (text(source_field) == "") | (text(F.col("m.destination_field")) == ""), none),
             ("unknown_preset", (text(preset) != "") & ~preset.isin(*PRESETS), preset),
         ),
         _row_rules(
-            syncs, "syncs", "sync_id",
-            ("unknown_status", ~F.col("status").isin(*SYNC_STATUSES), F.col("status")),
-            ("interval_bounds", ~in_bounds, F.concat_ws(" ", value.cast("string"), unit)),
+            joined, "syncs", "sync_id",
+            ("unknown_status", _not(F.col("status").isin(*SYNC_STATUSES)), F.col("status")),
+            ("interval_bounds", _not(in_bounds), F.concat_ws(" ", value.cast("string"), unit)),
             ("run_at_time", ~F.col("run_at_time").rlike(TIME_OF_DAY), F.col("run_at_time")),
+            ("missing_source", F.col("has_source_id").isNull(), _reference("source_id")),
+            ("missing_destination", F.col("has_destination_id").isNull(), _reference("destination_id")),
+            ("missing_mapping", F.col("has_mapping_id").isNull(), _reference("mapping_id")),
+            # A mapping belongs to one source; a sync that uses it must read from there.
+            (
+                "foreign_mapping",
+                F.col("has_mapping_id") & ~F.col("source_id").eqNullSafe(F.col("mapped_source_id")),
+                F.col("mapping_id"),
+            ),
         ),
-        _dangling(syncs, sources, "missing_source", "syncs", "sync_id", "source_id"),
-        _dangling(syncs, destinations, "missing_destination", "syncs", "sync_id", "destination_id"),
-        _dangling(syncs, mappings, "missing_mapping", "syncs", "sync_id", "mapping_id"),
-        _violations(crossed, "foreign_mapping", "syncs", "sync_id", F.col("source_id") != F.col("mapped_source_id"), F.col("mapping_id")),
         _duplicates(sources, "duplicate_name", "sources", "source_id"),
         _duplicates(destinations, "duplicate_name", "destinations", "destination_id"),
     ]
@@ -125,9 +143,9 @@ def agent_integrity(destinations: DataFrame, mappings: DataFrame, agents: DataFr
     found = [
         _row_rules(
             agents, "agents", "agent_id",
-            ("unknown_status", ~F.col("status").isin(*AGENT_STATUSES), F.col("status")),
-            ("unknown_strategy", ~F.col("strategy").isin(*STRATEGIES), F.col("strategy")),
-            ("threshold_bounds", ~threshold.between(0.0, 1.0), threshold),
+            ("unknown_status", _not(F.col("status").isin(*AGENT_STATUSES)), F.col("status")),
+            ("unknown_strategy", _not(F.col("strategy").isin(*STRATEGIES)), F.col("strategy")),
+            ("threshold_bounds", _not(threshold.between(0.0, 1.0)), threshold),
         ),
         _dangling(agents, destinations, "missing_destination", "agents", "agent_id", "destination_id"),
         _dangling(agents, mappings, "missing_mapping", "agents", "agent_id", "mapping_id"),

@@ -136,7 +136,7 @@ def classify_responses(responses: DataFrame, status: str = "status", body: str =
     code, text = F.col(status), F.col(body)
     said = (
         # The body of an error status is shown, not read.
-        responses.withColumn("_v", F.when(code.isNull() | ~code.between(400, 599), R.parse(text)))
+        responses.withColumn("_v", F.when(code.isNull() | ~code.between(300, 599), R.parse(text)))
         .withColumn("_o", R.members(F.col("_v"), *names))
         .withColumn("_json", F.col("_v").isNotNull())
         .withColumn("_error", R.opened(F.col("_o")["error"]))
@@ -148,7 +148,7 @@ def classify_responses(responses: DataFrame, status: str = "status", body: str =
     outcome = (
         F.when(code.isNull(), "failed")
         .when(code == 404, "not_found")
-        .when(code.between(400, 599), "failed")
+        .when(code.between(300, 599), "failed")
         .when(~F.col("_json"), "failed")
         .when(has_error & F.coalesce(F.col("_code").isin(*NOT_FOUND_CODES), F.lit(False)), "not_found")
         .when(has_error, "failed")
@@ -159,7 +159,7 @@ def classify_responses(responses: DataFrame, status: str = "status", body: str =
         .when(code == 404, "no such entity (HTTP 404)")
         .when(code.isin(401, 403), F.concat(F.lit("credentials rejected (HTTP "), code.cast("string"), F.lit(")")))
         .when(
-            code.between(400, 599),
+            code.between(300, 599),
             F.concat(F.lit("HTTP "), code.cast("string"), F.lit(": "), F.substring(F.coalesce(text, F.lit("")), 1, 300)),
         )
         .when(~F.col("_json"), "response is not JSON")

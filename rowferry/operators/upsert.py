@@ -210,10 +210,11 @@ def written_counts(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Records written, skipped as not found and failed, from a sender's results.
 
     ``results`` has (outcome, items): items is what the call wrote, 1 for a
-    single record or the number of records echoed back for a batch.
+    single record or the number of records echoed back for a batch, which may
+    be fewer than were sent (outcome ``partial``).
     """
     return results.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(F.col("outcome") == "written", F.col("items"))), F.lit(0)).cast("bigint").alias("written"),
+        F.coalesce(F.sum(F.when(F.col("outcome").isin("written", "partial"), F.col("items"))), F.lit(0)).cast("bigint").alias("written"),
         F.count_if(F.col("outcome") == "not_found").alias("not_found"),
         F.count_if(F.col("outcome") == "failed").alias("failed"),
     )

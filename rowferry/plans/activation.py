@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..operators.mapping import Record, resolve
 from ..operators.schedule import moment, skip_forward
 from ..operators.selection import select_rows, selection_summary
-from ..operators.upsert import UPDATE, collapse, idempotency_key, record_id, record_op
+from ..operators.upsert import UPDATE, batch_op, collapse, idempotency_key, record_id, record_op
 from ..session import stage
-from ..sinks.delivery import DeliveryError
+from ..sinks.delivery import Delivered, DeliveryError
 from ..sources.incremental import WatermarkLog, newer_than, next_watermark
 from ..spec import AgentSpec, SyncSpec
 from .log import RunLog
@@ -36,7 +36,8 @@ def window(source: DataFrame, field: str | None, last: object | None) -> tuple[D
         return rows, None
     highest = next_watermark(rows, field).select(F.col("watermark").cast("string")).first()[0]
     if highest is None:
-        return rows, None
+        # Nothing new: what arrives from now on belongs to the next run.
+        return (rows if last is None else rows.where(F.lit(False))), None
     closed = F.col(f"`{field}`") <= F.lit(highest).cast(source.schema[field].dataType)
     if last is None:
         closed = closed | F.col(f"`{field}`").isNull()
@@ -47,15 +48,20 @@ def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Rec
     """Rows as they will be sent, the record bound to them, and the key of a call, if it has one.
 
     Two versions of one record must not race in parallel tasks, so only the
-    last one is kept wherever the spec tells which that is.
+    last one is kept wherever the spec tells which that is. What identifies a
+    record is the destination's rule: a list destination knows ``id`` only, and a list
+    of creates has nothing to collapse.
     """
     record = resolve(rows, spec.field_mappings)
     order = [c for c in (spec.incremental_field, *spec.key_columns) if c]
-    if order and ("ID" in record or "id" in record):
+    if spec.destination_type == "bitrix24":
+        names, ident = ("ID", "id"), F.when(record_op(record) == UPDATE, F.to_json(F.struct(record_id(record).alias("id"))))
+    else:
+        names, ident = ("id",), F.to_json(F.struct(record.column("id").alias("id"))) if batch_op(record) == UPDATE else None
+        ident = None if ident is None else F.when(record.column("id").isNotNull(), ident)
+    if order and any(name in record for name in names):
         # As text, so that an id of any type can be compared; a create has none.
-        text = F.to_json(F.struct(record_id(record).alias("id")))
-        identified = rows.withColumn("_id", F.when(record_op(record) == UPDATE, text))
-        rows = collapse(identified, "_id", *order).drop("_id")
+        rows = collapse(rows.withColumn("_id", ident), "_id", *order).drop("_id")
     key = None
     if spec.key_columns:
         # The version is part of the key: a changed row is sent, a repeated one is not.
@@ -101,7 +107,7 @@ def run_sync(
 ) -> dict:
     """Read, convert, write and account. A failure is recorded, not raised."""
     started, run_id, owner = clock(), run_id or uuid.uuid4().hex, f"sync/{spec.sync_id}"
-    read, delivered, error, highest, rows = 0, 0, None, None, None
+    read, delivered, error, highest, rows, result = 0, 0, None, None, None, Delivered()
     try:
         rows, highest = window(source, spec.incremental_field, _state(watermarks, owner, spec))
         counted = Observation()
@@ -130,7 +136,10 @@ def run_sync(
         # A failed run counts as nothing written; what had gone out is kept beside it.
         "records_written": delivered if error is None else 0,
         "records_delivered": delivered,
-        "error_message": error[:2000] if error else None,
+        # Sent in a list whose answer does not name them; left out because an earlier run got them through.
+        "records_unconfirmed": result.unconfirmed,
+        "records_skipped": result.skipped,
+        "error_message": error,
         "next_run": _following(source, spec, finished),
     }
     if log is not None:
@@ -164,7 +173,7 @@ def run_agent(
     the summary and the write must see the same ones, and a scorer that calls a
     model must not be asked again when an executor is lost.
     """
-    if spec.status == "draft" or not spec.selection_rule:
+    if spec.status == "draft" or spec.selection_rule is None:
         raise ValueError("an agent needs a plan before it can run")
     started, run_id, owner = clock(), run_id or uuid.uuid4().hex, f"agent/{spec.agent_id}"
     considered = selected = delivered = 0
@@ -200,7 +209,7 @@ def run_agent(
         "rows_written": delivered if error is None else 0,
         "rows_delivered": delivered,
         "selection_summary": summary,
-        "error_message": error[:2000] if error else None,
+        "error_message": error,
     }
     if log is not None:
         log.append(row)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SYNC_RUN_SCHEMA = (
     "run_id string, sync_id long, status string, trigger string, started_at timestamp_ntz, finished_at timestamp_ntz, "
-    "records_read long, records_written long, records_delivered long, error_message string, next_run timestamp_ntz"
+    "records_read long, records_written long, records_delivered long, records_unconfirmed long, records_skipped long, error_message string, next_run timestamp_ntz"
 )
 AGENT_RUN_SCHEMA = (
     "run_id string, agent_id long, status string, started_at timestamp_ntz, finished_at timestamp_ntz, "

@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import activation, incremental, presets, replies, runs, scans, schedule, selection, specs, suggest, upsert  # noqa: F401
+from . import activation, delivery, incremental, presets, replies, runs, scans, schedule, selection, specs, suggest, upsert  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,10 +15,12 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators.mapping import Record
 from ..operators.upsert import batch_items, batch_payloads, record_calls, written_counts
+from ..sources.incremental import is_missing_path
 from ..spec import DESTINATION_ENTITIES
 from .delivery import Delivered, DeliveryError, Destination, Transport, http_transport, send_all
 
-RESULT_SCHEMA = "call_keys array<string>, op string, outcome string, items int, error string"
+RESULT_SCHEMA = "call_keys array<string>, op string, outcome string, items int, error string, unconfirmed int"
+_RESULT_COLUMNS = ["call_keys", "op", "outcome", "items", "error", "unconfirmed"]
 
 
 def require_entity(destination_type: str, entity: str) -> None:
@@ -46,10 +47,10 @@ def send_calls(calls: DataFrame, destination: Destination, transport: Transport)
         for result in send_all(destination, transport, rows()):
             chunk.append(result)
             if len(chunk) == 1000:
-                yield pd.DataFrame(chunk, columns=["call_keys", "op", "outcome", "items", "error"])
+                yield pd.DataFrame(chunk, columns=_RESULT_COLUMNS)
                 chunk = []
         if chunk:
-            yield pd.DataFrame(chunk, columns=["call_keys", "op", "outcome", "items", "error"])
+            yield pd.DataFrame(chunk, columns=_RESULT_COLUMNS)
 
     columns = calls.select("call_keys", "op", "method", "payload", "unsendable")
     return columns.mapInPandas(run, RESULT_SCHEMA)
@@ -61,7 +62,11 @@ class CrmSink:
     A retried task sends again: updates are harmless, creates are protected
     against a second run by the log (creates already written are left out),
     not against a retry inside a run. Turn speculation off for such jobs.
-    ``parallelism`` bounds how many tasks call the destination at once.
+    ``parallelism`` bounds how many tasks call the destination at once; the
+    default is one call at a time, None leaves it to the cluster.
+
+    Of a list that the destination confirms in part, only the records it names are
+    logged as sent; the others go out again with a later run.
     """
 
     def __init__(
@@ -73,23 +78,25 @@ class CrmSink:
         *,
         transport: Transport = http_transport,
         timeout: float = 30.0,
-        parallelism: int | None = None,
+        parallelism: int | None = 1,
         batch_size: int = 250,
     ):
         self.type, self.url, self.token, self.timeout = type, url, token, timeout
         self.results_path, self.transport = results_path, transport
         self.parallelism, self.batch_size = parallelism, batch_size
 
-    def _unsent(self, calls: DataFrame) -> DataFrame:
-        """Calls without the creates an earlier run has already got through."""
+    def _unsent(self, calls: DataFrame) -> tuple[DataFrame, int]:
+        """Calls without the creates an earlier run has already got through, and how many these are."""
         try:
             log = calls.sparkSession.read.schema(RESULT_SCHEMA + ", run string").parquet(self.results_path)
-        except AnalysisException:  # nothing sent yet
-            return calls
-        done = log.where((F.col("outcome") == "written") & (F.col("op") == "create"))
+        except AnalysisException as error:
+            if not is_missing_path(error):
+                raise
+            return calls, 0  # nothing sent yet
+        done = log.where(F.col("outcome").isin("written", "partial") & (F.col("op") == "create"))
         sent = done.select(F.explode("call_keys").alias("sent_key")).where(F.col("sent_key").isNotNull())
         repeated = (F.col("call_key") == F.col("sent_key")) & (F.col("op") == "create")
-        return calls.join(sent, repeated, "left_anti")
+        return calls.join(sent, repeated, "left_anti"), calls.join(sent, repeated, "left_semi").count()
 
     def deliver(self, df: DataFrame, record: Record, entity: str, key: Column | None, run_id: str) -> Delivered:
         require_entity(self.type, entity)
@@ -97,20 +104,21 @@ class CrmSink:
         destination = Destination(self.type, entity, self.url, self.token, self.timeout)
         keyed = df.withColumn("call_key", F.lit(None).cast("string") if key is None else key)
         # Without keys there is nothing to compare, and a join on nulls would put all rows into one task.
-        unsent = self._unsent if key is not None else lambda calls: calls
+        unsent = self._unsent if key is not None else lambda calls: (calls, 0)
         if self.type == "bitrix24":
-            calls = record_calls(keyed, record, entity, keep=("call_key",))
-            calls = self._bounded(unsent(calls)).withColumn("call_keys", F.array("call_key"))
+            calls, skipped = unsent(record_calls(keyed, record, entity, keep=("call_key",)))
+            calls = self._bounded(calls).withColumn("call_keys", F.array("call_key"))
         else:
-            items = self._bounded(unsent(batch_items(keyed, record, keep=("call_key",))))
-            calls = batch_payloads(items, self.batch_size, "call_key").withColumn("method", F.lit(None).cast("string"))
+            items, skipped = unsent(batch_items(keyed, record, keep=("call_key",)))
+            calls = batch_payloads(self._bounded(items), self.batch_size, "call_key").withColumn("method", F.lit(None).cast("string"))
         # One folder per attempt: a repeated run adds to the log and is counted alone.
         folder = f"{self.results_path}/run={run_id}-{uuid.uuid4().hex[:8]}"
         send_calls(calls, destination, self.transport).write.mode("append").parquet(folder)
         results = spark.read.schema(RESULT_SCHEMA).parquet(folder)
         counts = written_counts(results).first()
-        error = results.where(F.col("outcome") == "failed").agg(F.min("error")).first()[0]
-        return Delivered(counts["written"], counts["not_found"], counts["failed"], error)
+        unnamed = F.coalesce(F.sum("unconfirmed"), F.lit(0)).alias("unconfirmed")
+        rest = results.agg(F.min(F.when(F.col("outcome") == "failed", F.col("error"))).alias("error"), unnamed).first()
+        return Delivered(counts["written"], counts["not_found"], counts["failed"], rest["error"], rest["unconfirmed"], skipped)
 
     def _bounded(self, df: DataFrame) -> DataFrame:
         # Not coalesce: that would also read and convert in so few tasks.
@@ -126,8 +134,8 @@ class _Counts(WriterCommitMessage):
 
 
 class _CrmWriter(DataSourceWriter):
-    def __init__(self, destination: Destination, names: list[str], report: str | None, transport: Transport):
-        self.destination, self.names, self.report, self.transport = destination, names, report, transport
+    def __init__(self, destination: Destination, names: list[str], transport: Transport):
+        self.destination, self.names, self.transport = destination, names, transport
 
     def write(self, iterator) -> WriterCommitMessage:
         def calls():
@@ -140,8 +148,8 @@ class _CrmWriter(DataSourceWriter):
 
         tally = {"written": 0, "not_found": 0, "failed": 0}
         first_error = None
-        for _, _, outcome, items, error in send_all(self.destination, self.transport, calls()):
-            if outcome == "written":
+        for _, _, outcome, items, error, _ in send_all(self.destination, self.transport, calls()):
+            if outcome in ("written", "partial"):
                 tally["written"] += items
             elif outcome in tally:
                 tally[outcome] += 1
@@ -150,11 +158,7 @@ class _CrmWriter(DataSourceWriter):
         return _Counts(error=first_error, **tally)
 
     def commit(self, messages) -> None:
-        total = {k: sum(getattr(m, k) for m in messages if m) for k in ("written", "not_found", "failed")}
-        if self.report:
-            with open(self.report, "w") as out:
-                json.dump(total, out)
-        if total["failed"]:
+        if any(m.failed for m in messages if m):
             raise DeliveryError(next(m.error for m in messages if m and m.error))
 
     def abort(self, messages) -> None:
@@ -164,8 +168,9 @@ class _CrmWriter(DataSourceWriter):
 def register_crm(spark: SparkSession, transport: Transport = http_transport, name: str = "crm") -> None:
     """Make ``df.write.format("crm")`` available.
 
-    Options: type, entity, url, token, timeout, report (a file that receives the
-    counts). The frame has op, payload and, for single records, method.
+    Options: type, entity, url, token, timeout. The frame has op, payload and, for
+    single records, method. There is no log of what was sent: a repeated write sends
+    again. Use ``CrmSink`` where that matters, and for the counts.
     """
 
     class CrmDataSource(DataSource):
@@ -177,6 +182,6 @@ def register_crm(spark: SparkSession, transport: Transport = http_transport, nam
             o = self.options
             require_entity(o["type"], o["entity"])
             destination = Destination(o["type"], o["entity"], o["url"], o.get("token", ""), float(o.get("timeout", 30)))
-            return _CrmWriter(destination, schema.names, o.get("report"), transport)
+            return _CrmWriter(destination, schema.names, transport)
 
     spark.dataSource.register(CrmDataSource)

@@ -91,3 +91,8 @@ class AgentSpec:
     feature_notes: dict[str, str] = field(default_factory=dict)
     key_columns: tuple[str, ...] = ()
     watermark_mode: str = "data"
+
+    @property
+    def rule_in_force(self) -> str:
+        """The rule of the plan, or the goal where the plan has none. Without a plan the rule is None."""
+        return self.selection_rule or self.goal

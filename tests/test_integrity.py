@@ -42,11 +42,23 @@ def test_single_faults(spark):
     assert rules(spark, sync={"mapping_id": 5, "source_id": 5}) == ["missing_mapping", "missing_source"]
 
 
-def test_shared_names_are_reported_once(spark):
+def test_nulls_are_not_fine(spark):
+    assert rules(spark, source_type=None) == ["source_type"]
+    assert rules(spark, destination_type=None) == ["destination_type"]
+    assert rules(spark, mapping={"field_mappings": None}) == ["empty_mapping"]
+    assert rules(spark, mapping={"destination_entity": None}) == ["unknown_entity"]
+    assert rules(spark, mapping={"destination_type": None}) == ["unknown_entity"]
+    assert rules(spark, mapping={"source_table": None}) == ["identifier"]
+    assert rules(spark, sync={"status": None}) == ["unknown_status"]
+    assert rules(spark, sync={"interval_value": None}) == rules(spark, sync={"interval_unit": None}) == ["interval_bounds"]
+    assert rules(spark, sync={"source_id": None}) == ["foreign_mapping", "missing_source"]
+
+
+def test_every_owner_of_a_shared_name_is_reported(spark):
     sources, destinations, mappings, syncs = specs(spark)
     more = sources.unionAll(sources.selectExpr("source_id + 1", "name", "type")).unionAll(sources.selectExpr("source_id + 2", "name", "type"))
     found = spec_integrity(more, destinations, mappings, syncs).collect()
-    assert [(r.rule, r.table_name, r.id, r.detail) for r in found] == [("duplicate_name", "sources", 1, "s")]
+    assert sorted((r.rule, r.table_name, r.id, r.detail) for r in found) == [("duplicate_name", "sources", i, "s") for i in (1, 2, 3)]
 
 
 def test_agents(spark):

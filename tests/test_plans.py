@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as contract
+from rowferry.queries import QUERIES
 
 # The queries whose work is a caller's Python function or a list cut by Python.
 PYTHON = {"score_batches", "payload_batches"}
@@ -14,9 +14,9 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - {"select_cluster"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"select_cluster"}))
 def test_no_cross_join_and_no_stray_python(spark, folder, name):
-    plan = executed(contract.queries()[name](spark, folder))
+    plan = executed(QUERIES[name](spark, folder))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert ("MapInPandas" in plan or "MapInArrow" in plan) == (name in PYTHON)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
@@ -32,17 +32,17 @@ def test_no_cross_join_and_no_stray_python(spark, folder, name):
     ],
 )
 def test_row_wise_queries_do_not_shuffle(spark, folder, name):
-    assert "Exchange" not in executed(contract.queries()[name](spark, folder))
+    assert "Exchange" not in executed(QUERIES[name](spark, folder))
 
 
 @pytest.mark.parametrize("name", ["runs_recent", "runs_by_sync", "preview_rows", "selection_top5", "list_filtered"])
 def test_pages_are_taken_not_sorted(spark, folder, name):
-    plan = executed(contract.queries()[name](spark, folder))
+    plan = executed(QUERIES[name](spark, folder))
     assert "TakeOrderedAndProject" in plan or "GlobalLimit" in plan
     assert "rangepartitioning" not in plan
 
 
 @pytest.mark.parametrize("name", ["upsert_collapse", "suggest_validate", "runs_daily", "runs_count_by_sync"])
 def test_groups_are_combined_before_the_shuffle(spark, folder, name):
-    plan = executed(contract.queries()[name](spark, folder))
+    plan = executed(QUERIES[name](spark, folder))
     assert "partial_" in plan and "Window" not in plan

@@ -131,7 +131,7 @@ def test_response_rule_is_the_same_in_tasks_and_tables(spark):
     destination = Destination("bitrix24", "lead", "https://example.com", "t")
     df = spark.createDataFrame([(i, s, b) for i, (s, b) in enumerate(RESPONSES)], "i int, status int, body string")
     found = R.classify_responses(df).orderBy("i").collect()
-    assert [r.outcome for r in found] == [judge(destination, s, b)[0] for s, b in RESPONSES]
+    assert [r.outcome for r in found] == [judge(destination, s, b).outcome for s, b in RESPONSES]
 
 
 def test_echoed_items(spark):

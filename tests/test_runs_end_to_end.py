@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowferry.operators.selection import score_batches, score_weighted
-from rowferry.plans.activation import run_agent, run_sync
+from rowferry.plans.activation import run_agent, run_sync, window
 from rowferry.plans.log import AGENT_RUN_SCHEMA, SYNC_RUN_SCHEMA, RunLog
 from rowferry.sinks import FileSink
 from rowferry.sinks.delivery import Delivered, DeliveryError
@@ -226,3 +226,34 @@ def test_stream_without_repeats(spark, tmp_path, people):
     stream = deduplicate(spark.readStream.schema(people.schema).parquet(source), ["id"], "at")
     stream_sync(stream, spec(), sink, str(tmp_path / "cp"), clock=clock).awaitTermination()
     assert len(payloads(spark, sink)) == 2
+
+
+def test_records_are_identified_by_the_destinations_rule(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 7, "a"), (2, 7, "b"), (3, None, "c")], "k int, ext int, name string")
+    base = dict(sync_id=1, name="s", destination_type="amocrm", entity="leads", key_columns=("k",))
+    creates = SyncSpec(**base, field_mappings=(FieldMap("ext", "ID"), FieldMap("name", "name")))
+    sink = FileSink(str(tmp_path / "creates"), type="amocrm")
+    assert run_sync(rows, creates, sink, run_id="1")["records_written"] == 3
+    updates = SyncSpec(**base, field_mappings=(FieldMap("ext", "id"), FieldMap("name", "name")))
+    sink = FileSink(str(tmp_path / "updates"), type="amocrm")
+    assert run_sync(rows, updates, sink, run_id="1")["records_written"] == 2
+    kept = {r["payload"] for r in spark.read.parquet(sink.path).collect()}
+    assert '{"id":7,"name":"b"}' in kept
+
+
+def test_long_errors_are_kept_whole(spark):
+    class Failing:
+        def deliver(self, *args):
+            raise DeliveryError("x" * 5000)
+
+    spec = SyncSpec(sync_id=1, name="s", destination_type="bitrix24", entity="lead", field_mappings=(FieldMap("id", "TITLE"),))
+    row = run_sync(spark.range(1), spec, Failing(), run_id="1")
+    assert row["status"] == "failed" and len(row["error_message"]) == 5000
+
+
+def test_nothing_new_reads_nothing(spark):
+    rows = spark.createDataFrame([(1, 5), (2, None)], "id int, v int")
+    found, highest = window(rows, "v", 5)
+    assert highest is None and found.count() == 0
+    # A full read still has the rows without a value.
+    assert window(rows.where("v IS NULL"), "v", None)[0].count() == 1

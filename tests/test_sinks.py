@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import urllib.parse
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from rowferry.operators.mapping import record_of
 from rowferry.operators.upsert import idempotency_key, record_calls
 from rowferry.sinks import CrmSink, FileSink, create_sink, register_crm
-from rowferry.sinks.delivery import Destination, DeliveryError, judge, send_all
+from rowferry.operators.replies import classify_responses
+from rowferry.sinks import delivery
+from rowferry.sinks.delivery import Destination, DeliveryError, Verdict, judge, send_all
 
 
 def recorder(folder, answer=None):
@@ -88,7 +91,70 @@ def test_lists(spark, tmp_path, folder):
 def test_written_is_what_is_echoed(spark, tmp_path, folder):
     crm = sink(tmp_path, folder, "amocrm", answer=lambda m, u, b: (200, '{"_embedded":{"leads":[{"id":1}]}}'))
     df = spark.range(3).coalesce(1)
-    assert crm.deliver(df, record_of(df), "leads", None, "r1").written == 1
+    result = crm.deliver(df, record_of(df), "leads", None, "r1")
+    assert (result.written, result.unconfirmed, result.failed) == (1, 2, 0)
+
+
+@pytest.mark.parametrize("told", ["request", "nothing"])
+def test_creates_that_are_not_confirmed_go_out_again(spark, tmp_path, folder, told):
+    # The first answer lists one of three records; with its place it can be told which.
+    def first(method, url, body):
+        item = {"id": 70, "request_id": "1"} if told == "request" else {"id": 70}
+        return 200, json.dumps({"_embedded": {"leads": [item]}})
+
+    df = spark.createDataFrame([(f"n{i}", i) for i in range(3)], "name string, k int").coalesce(1)
+    key = idempotency_key("s", [F.col("k")])
+    one = sink(tmp_path, folder, "amocrm", answer=first).deliver(df, record_of(df), "leads", key, "r1")
+    assert (one.written, one.unconfirmed, one.skipped) == (1, 2, 0)
+    two = sink(tmp_path, folder, "amocrm").deliver(df, record_of(df), "leads", key, "r2")
+    assert (two.written, two.unconfirmed, two.skipped) == ((2, 0, 1) if told == "request" else (3, 0, 0))
+    three = sink(tmp_path, folder, "amocrm").deliver(df, record_of(df), "leads", key, "r3")
+    assert (three.written, three.skipped) == (0, 3)
+
+
+@pytest.mark.parametrize("body", ["[]", "7", "{}", '{"_embedded":{}}', '{"_embedded":{"leads":{}}}', '{"_embedded":[]}'])
+def test_an_answer_without_the_list_is_a_failure(spark, tmp_path, folder, body):
+    df = spark.createDataFrame([("a", 1)], "name string, k int")
+    key = idempotency_key("s", [F.col("k")])
+    assert sink(tmp_path, folder, "amocrm", answer=lambda *a: (200, body)).deliver(df, record_of(df), "leads", key, "r1").failed == 1
+    assert sink(tmp_path, folder, "amocrm").deliver(df, record_of(df), "leads", key, "r2").written == 1
+
+
+def test_only_a_missing_log_means_nothing_was_sent(spark, tmp_path, folder):
+    results = tmp_path / "results"
+    results.mkdir()
+    (results / "x.parquet").write_text("no parquet")
+    df = spark.createDataFrame([("a", 1)], "TITLE string, k int")
+    with pytest.raises(Exception):
+        sink(tmp_path, folder).deliver(df, record_of(df), "lead", idempotency_key("s", [F.col("k")]), "r1")
+    assert requests(folder) == []
+
+
+def test_transport_takes_no_redirects_and_no_cut_off_answers(monkeypatch):
+    assert delivery._NoRedirects().redirect_request(None, None, 302, "", {}, "http://elsewhere/") is None
+
+    class Broken:
+        def open(self, *args, **more):
+            raise http.client.IncompleteRead(b"")
+
+    monkeypatch.setattr(delivery.urllib.request, "build_opener", lambda *a: Broken())
+    status, text = delivery.http_transport("POST", "http://crm.example/", "{}", {}, 1)
+    assert status is None and text
+    assert judge(Destination("bitrix24", "lead", "u", "t"), 302, '{"result":1}').outcome == "failed"
+
+
+def test_judge_and_the_table_form_agree(spark):
+    answers = [
+        (None, "no route"), (404, ""), (401, "x"), (403, ""), (500, "down"), (302, "{}"), (200, "not json"), (200, '{"result":1}'), (200, "[]"),
+        (200, '{"error":"NOT_FOUND"}'), (200, '{"error":"ERROR_CORE","error_description":"why"}'), (200, '{"error":"X"}'), (200, "null"),
+    ]
+    df = spark.createDataFrame([(i, *a) for i, a in enumerate(answers)], "i int, status int, body string")
+    table = {r["i"]: (r["outcome"], r["reason"]) for r in classify_responses(df).collect()}
+    for i, (status, body) in enumerate(answers):
+        found = judge(Destination("bitrix24", "lead", "u", "t"), status, body)
+        assert found.outcome == table[i][0], answers[i]
+        if status is not None:
+            assert found.error == table[i][1], answers[i]
 
 
 def test_unknown_entity_and_type(spark, tmp_path, folder):
@@ -151,11 +217,10 @@ def test_file_sink_overwrites_its_run(spark, tmp_path):
 def test_data_source(spark, tmp_path, folder):
     register_crm(spark, recorder(folder), name="crm_ok")
     df = spark.createDataFrame([(7, "a"), (None, "b")], "ID int, TITLE string")
-    report = str(tmp_path / "report.json")
-    options = {"type": "bitrix24", "entity": "lead", "url": "https://crm.example", "token": "tok", "report": report}
+    options = {"type": "bitrix24", "entity": "lead", "url": "https://crm.example", "token": "tok"}
     calls = record_calls(df, record_of(df), "lead")
     calls.write.format("crm_ok").options(**options).mode("append").save()
-    assert json.load(open(report)) == {"written": 2, "not_found": 0, "failed": 0} and len(requests(folder)) == 2
+    assert len(requests(folder)) == 2
     register_crm(spark, recorder(folder, lambda m, u, b: (401, "")), name="crm_denied")
     with pytest.raises(Exception, match="credentials rejected"):
         calls.write.format("crm_denied").options(**options).mode("append").save()
@@ -163,8 +228,10 @@ def test_data_source(spark, tmp_path, folder):
 
 def test_judge_of_a_list():
     destination = Destination("amocrm", "leads", "https://crm.example", "t")
-    assert judge(destination, 200, '{"_embedded":{"leads":[1,2]}}') == ("written", 2, None)
-    assert judge(destination, 404, "")[0] == "failed"
+    assert judge(destination, 200, '{"_embedded":{"leads":[1,2]}}', "[{},{}]") == Verdict("written", 2, None, (0, 1))
+    assert judge(destination, 404, "").outcome == "failed"
+    partial = judge(destination, 200, '{"_embedded":{"leads":[{"id":8}]}}', '[{"id":7},{"id":8}]')
+    assert partial == Verdict("partial", 1, "1 of 2 records confirmed", (1,))
 
 
 def test_unsent_after_failure_is_told_apart():
