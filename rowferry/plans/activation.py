@@ -44,6 +44,18 @@ def window(source: DataFrame, field: str | None, last: object | None) -> tuple[D
     return rows.where(closed), highest
 
 
+def identity(record: Record, destination_type: str) -> Column | None:
+    """What tells two versions of one record: its id as text, so that ids of any type can be
+    compared; null for a create. None if every record is a create."""
+    text = lambda c: F.to_json(F.struct(c.alias("id")))
+    if destination_type == "bitrix24":
+        known = "ID" in record or "id" in record
+        return F.when(record_op(record) == UPDATE, text(record_id(record))) if known else None
+    if batch_op(record) != UPDATE:
+        return None
+    return F.when(record.column("id").isNotNull(), text(record.column("id")))
+
+
 def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Record, Column | None]:
     """Rows as they will be sent, the record bound to them, and the key of a call, if it has one.
 
@@ -54,13 +66,8 @@ def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Rec
     """
     record = resolve(rows, spec.field_mappings)
     order = [c for c in (spec.incremental_field, *spec.key_columns) if c]
-    if spec.destination_type == "bitrix24":
-        names, ident = ("ID", "id"), F.when(record_op(record) == UPDATE, F.to_json(F.struct(record_id(record).alias("id"))))
-    else:
-        names, ident = ("id",), F.to_json(F.struct(record.column("id").alias("id"))) if batch_op(record) == UPDATE else None
-        ident = None if ident is None else F.when(record.column("id").isNotNull(), ident)
-    if order and any(name in record for name in names):
-        # As text, so that an id of any type can be compared; a create has none.
+    ident = identity(record, spec.destination_type)
+    if order and ident is not None:
         rows = collapse(rows.withColumn("_id", ident), "_id", *order).drop("_id")
     key = None
     if spec.key_columns:

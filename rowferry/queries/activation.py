@@ -14,7 +14,7 @@ from ..session import staging_path
 from ..sinks.files import FileSink
 from ..sources.incremental import newer_than
 from ..spec import AgentSpec, FieldMap, SyncSpec
-from ..streaming import stream_sync
+from ..streaming import VersionLog, stream_sync
 from .registry import SCHEMAS, query, table
 
 ORDERS = SyncSpec(
@@ -87,9 +87,21 @@ def run_agent_files(spark, folder):
     return spark.read.parquet(f"{sink.path}/run=r1").select("op", "payload")
 
 
-@query(
-    "stream_upsert",
-    """
+EVENTS = SyncSpec(
+    sync_id=2,
+    name="events to contacts",
+    field_mappings=(
+        FieldMap("user_id", "ID"),
+        FieldMap("event_type", "LAST_EVENT", "uppercase"),
+        FieldMap("event_id", "EVENT"),
+    ),
+    destination_type="bitrix24",
+    entity="contact",
+    incremental_field="ts",
+    key_columns=("event_id",),
+)
+
+_LAST_EVENTS_SQL = """
 SELECT 'update' AS op, 'crm.contact.update' AS method,
        '{"id":' || user_id || ',"fields":{"LAST_EVENT":"' || upper(event_type) || '","EVENT":' || event_id || '}}' AS payload
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
@@ -97,28 +109,32 @@ WHERE n = 1 AND user_id <> 0
 UNION ALL
 SELECT 'create', 'crm.contact.add', '{"fields":{"LAST_EVENT":"' || upper(event_type) || '","EVENT":' || event_id || '}}'
 FROM events WHERE user_id = 0
-""",
-)
+"""
+
+
+@query("stream_upsert", _LAST_EVENTS_SQL)
 def stream_upsert(spark, folder):
     """events as a file stream: the last event of each user reaches the contact.
 
     User 0 is no id for this destination: each of its events is a create, and
     creates are not collapsed.
     """
-    spec = SyncSpec(
-        sync_id=2,
-        name="events to contacts",
-        field_mappings=(
-            FieldMap("user_id", "ID"),
-            FieldMap("event_type", "LAST_EVENT", "uppercase"),
-            FieldMap("event_id", "EVENT"),
-        ),
-        destination_type="bitrix24",
-        entity="contact",
-        incremental_field="ts",
-        key_columns=("event_id",),
-    )
     stream = spark.readStream.schema(SCHEMAS["events"]).parquet(f"{folder}/events*.parquet")
     sink = FileSink(staging_path(spark, "stream"))
-    stream_sync(stream, spec, sink, staging_path(spark, "stream-checkpoint")).awaitTermination()
+    stream_sync(stream, EVENTS, sink, staging_path(spark, "stream-checkpoint")).awaitTermination()
+    return spark.read.parquet(sink.path).select("op", "method", "payload")
+
+
+@query("stream_late_versions", _LAST_EVENTS_SQL)
+def stream_late_versions(spark, folder):
+    """The newer half of the events comes first, the older half later: no contact goes back."""
+    events = table(spark, folder, "events")
+    split = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    newer = F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(split)
+    files = staging_path(spark, "late")
+    for half in (newer, ~newer):
+        events.where(half).coalesce(1).write.mode("append").parquet(files)
+    stream = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(files)
+    sink, versions = FileSink(staging_path(spark, "stream")), VersionLog(spark, staging_path(spark, "versions"))
+    stream_sync(stream, EVENTS, sink, staging_path(spark, "stream-checkpoint"), versions=versions).awaitTermination()
     return spark.read.parquet(sink.path).select("op", "method", "payload")

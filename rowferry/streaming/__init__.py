@@ -1,5 +1,5 @@
 """The same runs over a stream."""
 
-from .activation import deduplicate, stream_sync
+from .activation import VersionLog, deduplicate, stream_sync
 
-__all__ = ["deduplicate", "stream_sync"]
+__all__ = ["VersionLog", "deduplicate", "stream_sync"]
