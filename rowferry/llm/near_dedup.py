@@ -54,12 +54,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket per band."""
-    parts = low.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """(signatures, bands): one 64-bit bucket per band."""
+    parts = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
     for k in range(ROWS):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return keys.view(np.int64)
 
 
@@ -78,11 +78,11 @@ def least_matches(percent: int, miss: float = MISS) -> list[int]:
     return out
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, set_low bigint, set_high bigint, bytes bigint, signature binary, bands array<bigint>"
+_SIGNED = "doc_id bigint, n_shingles bigint, set_low bigint, set_high bigint, bytes bigint, signature binary"
 
 
 def _signed(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """Per row: the size and a 128-bit key of its set, its signature and its buckets."""
+    """Per row: the size and a 128-bit key of its set, and its signature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, names = Shingler(words), [field.split()[0] for field in _SIGNED.split(", ")]
@@ -90,10 +90,8 @@ def _signed(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
             rows = []
             for ident, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = shingler(value)
-                low = signature(found)
-                bands = band_keys(low).tolist() if len(found) else []
-                rows.append((ident, len(found), *_set_key(found), found.nbytes, low.tobytes(), bands))
-            kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
+                rows.append((ident, len(found), *_set_key(found), found.nbytes, signature(found).tobytes()))
+            kinds = [pa.int64()] * 5 + [pa.binary()]
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -101,6 +99,18 @@ def _signed(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     return stage(columns.mapInArrow(run, _SIGNED), "signatures")
 
 
+def _banded(classes: DataFrame) -> DataFrame:
+    """(class, bytes, bucket), one row per band. The buckets are many, and kept nowhere."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+            own = [pa.array(np.repeat(batch.column(i).to_numpy(), BANDS)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(band_keys(low).ravel())], ["class", "bytes", "bucket"])
+
+    return classes.select("class", "bytes", "signature").mapInArrow(run, "class bigint, bytes bigint, bucket bigint")
+
+
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
     key = xxhash.xxh3_128_digest(shingles.tobytes())
     return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
@@ -262,14 +272,14 @@ def near_duplicates(
     table gives an empty result.
     """
     rows = _signed(docs, words, doc_id, text)
-    own = F.min(F.struct("doc_id", "bytes", "signature", "bands"))
+    own = F.min(F.struct("doc_id", "bytes", "signature"))
     classes = stage(
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set_low", "set_high").agg(own.alias("first"))
-        .select(F.col("first.doc_id").alias("class"), "first.bytes", "first.signature", "first.bands", "set_low", "set_high"),
+        .select(F.col("first.doc_id").alias("class"), "first.bytes", "first.signature", "set_low", "set_high"),
         "classes",
     )
-    banded = classes.select("class", "bytes", F.explode("bands").alias("bucket"))
+    banded = _banded(classes)
     shared = banded.groupBy("bucket").agg(F.min("class").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stage(banded.join(shared.select("bucket", "pivot"), "bucket"), "members")
     stars = components(members.select(F.col("pivot").alias("u"), F.col("class").alias("v")))
