@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import shared_folder
+from ..session import stage
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -18,31 +18,30 @@ def row_index(
 
     Steps: range-partition and sort, number the rows inside each partition, add
     the number of rows in the partitions before. The sorted frame is
-    checkpointed, because partition number and row number must be the same in
+    staged in the shared folder, because partition number and row number must be the same in
     both passes, also after a lost executor. Only one row per partition is
     shuffled for the offsets.
 
     The columns should identify a row. Where they do not, rows that agree in
     all of them get neighbouring numbers in no particular order; say
     ``unique=False`` if many may agree. Range partitioning cannot cut through
-    equal rows, so they get a running number first, taken from a checkpoint
+    equal rows, so they get a running number first, taken from a staged copy
     of the input (a number taken from a live plan could change on a retry).
     """
     spark = df.sparkSession
-    shared_folder(spark)  # where the checkpoint goes
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = list(order)
     if not unique:
-        df = df.checkpoint().withColumn("_copy", F.monotonically_increasing_id())
+        df = stage(df.withColumn("_copy", F.monotonically_increasing_id()), "copies")
         by.append("_copy")
-    numbered = (
+    numbered = stage(
         df.repartitionByRange(n, *by)
         .sortWithinPartitions(*by)
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftrightunsigned("_id", _LOCAL_BITS))
         .withColumn("_local", F.col("_id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-        .drop("_id", "_copy")
-        .checkpoint()
+        .drop("_id", "_copy"),
+        "positions",
     )
     # One row per partition: n rows at most, so one window task is enough.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ FRAMING = {
     "clustering": "Give 1.0 to rows of the segment the goal describes, 0.0 to rows outside it.",
     "rule_based": "Give 1.0 to rows that satisfy the rule to the letter, 0.0 to all others.",
 }
-NO_NOTES, NO_ROWS = "(none provided)", "(no sample rows available)"
+NO_NOTES, NO_ROWS, NO_NAMES = "(none provided)", "(no sample rows available)", "(none)"
 # Fixed value: rows of a table shown when a plan is asked for.
 PLAN_SAMPLE_ROWS = 20
 
@@ -74,7 +74,9 @@ def pair_prompts(source_columns: DataFrame, destination_fields: DataFrame, *owne
         F.lit("Source columns:\n"), F.col("_s"), F.lit("\nDestination fields:\n"), F.col("_d"),
         F.lit("\nPair the columns with the fields they mean; use each field once at most; leave out what has no match."),
     )
-    return left.join(right, list(owner)).select(*owner, text.alias("prompt"))
+    # An owner that has names on one side only is asked about as well.
+    both = left.join(right, list(owner), "full").fillna(NO_NAMES, ["_s", "_d"])
+    return both.select(*owner, text.alias("prompt"))
 
 
 def row_json(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -99,11 +101,14 @@ def prompt_batches(
     notes: dict[str, str] | None = None,
     columns: list[str] | None = None,
     batch_size: int = BATCH_SIZE,
+    unique: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
     """(batch, n_rows, keys, prompt): prompts of at most ``batch_size`` rows each.
 
     Positions come from ``row_index``, so a reply that names local index i of
-    batch b always means the same row: ``keys[i]``.
+    batch b always means the same row: ``keys[i]``. ``unique`` and ``partitions``
+    are passed to it: say ``unique=False`` if many rows may agree in ``order``.
     """
     notes_text = "\n".join(f"- {c}: {d}" for c, d in (notes or {}).items()) or NO_NOTES
     head = (
@@ -111,7 +116,7 @@ def prompt_batches(
         f"Notes:\n{notes_text}\n{FRAMING[strategy]}\nRows:\n"
     )
     slim = df.select(F.struct(*order).alias("key"), *order, row_json(df, columns).alias("row"))
-    indexed = row_index(slim, *order)
+    indexed = row_index(slim, *order, unique=unique, partitions=partitions)
     local = (F.col("row_index") % batch_size).cast("int")
     item = F.concat(F.lit('{"index":'), local.cast("string"), F.lit(',"row":'), F.col("row"), F.lit("}"))
     return (

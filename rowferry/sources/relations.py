@@ -118,6 +118,18 @@ def jdbc_reader(spark: SparkSession, options: dict[str, str]) -> DataFrameReader
     return spark.read.format("jdbc").options(**options)
 
 
+def jdbc_bounds(options: dict[str, str], column: str) -> dict[str, str]:
+    """Options that read (low, high) of a column: the bounds a partitioned read of the same table needs.
+
+    One small row, worked out by the database. Give it to ``jdbc_reader`` and the row's values
+    to ``jdbc_options(bounds=...)``; without bounds a table is read by one task.
+    """
+    quote = '"' if options["url"].startswith("jdbc:postgresql") else "`"
+    name = f"{quote}{check_identifier(column)}{quote}"
+    plain = {k: v for k, v in options.items() if k not in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+    return plain | {"dbtable": f"(SELECT min({name}) AS low, max({name}) AS high FROM {options['dbtable']}) AS bounds"}
+
+
 def fetch(
     spark: SparkSession,
     options: dict[str, str],

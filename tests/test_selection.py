@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowferry.operators import selection as sel
 from rowferry.operators.position import row_index
-from rowferry.operators.prompts import described_columns, plan_prompt, prompt_batches
+from rowferry.operators.prompts import described_columns, pair_prompts, plan_prompt, prompt_batches
 
 
 def test_batches_of_fifteen(spark):
@@ -160,3 +160,36 @@ def test_fill_missing(spark):
     judged = spark.createDataFrame([(1, 0.7, "x"), (2, None, None)], "id long, score double, reason string")
     rows = sel.fill_missing(spark.range(1, 4), judged, "id").orderBy("id").collect()
     assert [(r.score, r.reason) for r in rows] == [(0.7, "x"), (0.0, ""), (0.0, sel.NOT_SCORED)]
+
+
+def test_an_owner_with_names_on_one_side_gets_a_prompt(spark):
+    schema = "mapping_id int, ordinal_position int, name string, data_type string"
+    source = spark.createDataFrame([(1, 1, "a", "int"), (2, 1, "b", "int")], schema)
+    fields = spark.createDataFrame([(1, 1, "A", "int"), (3, 1, "C", "int")], schema)
+    found = {r["mapping_id"]: r["prompt"] for r in pair_prompts(source, fields, "mapping_id").collect()}
+    assert sorted(found) == [1, 2, 3] and "Destination fields:\n(none)" in found[2] and "Source columns:\n(none)" in found[3]
+
+
+def test_hot_order_keys_are_batched(spark):
+    df = spark.range(100).select(F.lit(1).alias("k"), "id")
+    batches = prompt_batches(df, ["k"], goal="g", actions="a", selection_rule="r", unique=False, partitions=4).collect()
+    assert sorted(r["n_rows"] for r in batches) == [10, 15, 15, 15, 15, 15, 15]
+
+
+def test_clusters_without_all_features(spark):
+    near, far = [(i, 0.1 * (i % 3), 0.0) for i in range(20)], [(100 + i, 50.0, 50.0 + 0.1 * (i % 3)) for i in range(20)]
+    rows = near + far + [(200, None, 1.0), (201, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    found = {r["id"]: (r["score"], r["reason"]) for r in sel.score_cluster(df, ["x", "y"], F.col("id") < 5, clusters=2).collect()}
+    assert [i for i, (score, _) in found.items() if score == 1.0] == list(range(20)) and len(found) == 42
+    assert found[200] == found[201] == (0.0, sel.NO_FEATURES)
+    assert {s for s, _ in [(r["score"], 0) for r in sel.score_cluster(df.where("id = 200"), ["x", "y"], F.lit(True)).collect()]} == {0.0}
+
+
+def test_summary_orders_examples_by_the_key_itself(spark):
+    text = spark.createDataFrame([("b", 0.9, "r"), ("ab", 0.9, "r"), ("c", 0.9, "r")], "k string, score double, reason string")
+    lines = sel.selection_summary(text, 0.5, "k").first()["summary"].split("\n")[1:]
+    assert [line.split()[2] for line in lines] == ["ab", "b", "c"]
+    number = spark.createDataFrame([(-3, 0.9, "r"), (-5, 0.9, "r")], "k int, score double, reason string")
+    lines = sel.selection_summary(number, 0.5, "k").first()["summary"].split("\n")[1:]
+    assert [line.split()[2] for line in lines] == ["-5", "-3"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowferry.sources import catalog
 from rowferry.sources.incremental import WatermarkLog, newer_than, next_watermark
 from rowferry.sources.profile import profile
-from rowferry.sources.relations import check_identifier, jdbc_options, preview, scan, split_columns
+from rowferry.sources.relations import check_identifier, jdbc_bounds, jdbc_options, preview, scan, split_columns
 
 
 @pytest.mark.parametrize("name", ["users", "_private", "col_1", "A"])
@@ -140,3 +140,14 @@ def test_entity_fields(spark):
     names = {(r.entity, r["name"], r.data_type, r.nullable) for r in fields.where(F.col("name").startswith("custom")).collect()}
     assert names == {("leads", "custom_fields_values.7", "text", True), ("leads", "custom_fields_values.8", "date", False)}
     assert fields.where("entity = 'tasks'").count() == 5
+
+
+def test_bounds_of_a_partitioned_read():
+    options = jdbc_options("postgres", "h", 5432, "db", "orders", user="u", password="p")
+    found = jdbc_bounds(options, "id")
+    assert found["dbtable"] == '(SELECT min("id") AS low, max("id") AS high FROM "public"."orders") AS bounds'
+    assert found["user"] == "u" and "numPartitions" not in found
+    split = jdbc_options("clickhouse", "h", 8123, "db", "orders", partition_column="id", bounds=(1, 9), partitions=4)
+    assert jdbc_bounds(split, "id")["dbtable"].startswith("(SELECT min(`id`)") and "lowerBound" not in jdbc_bounds(split, "id")
+    with pytest.raises(ValueError):
+        jdbc_bounds(options, "id; DROP")

@@ -100,3 +100,10 @@ def test_names_against_all_pairs(spark):
     expected = {t: (b[2], b[0]) for t in target if (b := best(t))}
     s, d = sides(spark, source, target)
     assert {r.destination_field: (r.source_field, r.confidence) for r in suggest_by_name(s, d).collect()} == expected
+
+
+def test_of_equally_good_columns_the_earlier_one_is_proposed(spark):
+    columns = spark.createDataFrame([(1, "ab_c", 1), (1, "abc", 9)], "mapping_id int, source_field string, pos int")
+    fields = spark.createDataFrame([(1, "A_BC", 1)], "mapping_id int, destination_field string, pos int")
+    row = suggest_by_name(columns, fields).first()
+    assert (row["source_field"], row["confidence"]) == ("ab_c", 0.9)
