@@ -27,7 +27,7 @@ HEADLINE = [
     "runs_recent", "runs_daily", "runs_with_name", "late_runs", "run_reports", "spec_integrity",
     "schedule_skip_forward", "upcoming_runs", "upcoming_calendar",
     # whole runs
-    "run_sync_files", "run_agent_files", "stream_upsert",
+    "run_sync_files", "run_agent_files", "stream_upsert", "stream_late_versions", "deliver_records", "deliver_lists_partial",
 ]
 
 

@@ -14,7 +14,7 @@ from ..session import staging_path
 from ..sinks.files import FileSink
 from ..sources.incremental import newer_than
 from ..spec import AgentSpec, FieldMap, SyncSpec
-from ..streaming import VersionLog, stream_sync
+from ..streaming import VersionLog, deduplicate, stream_sync
 from .registry import SCHEMAS, query, table
 
 ORDERS = SyncSpec(
@@ -138,3 +138,18 @@ def stream_late_versions(spark, folder):
     sink, versions = FileSink(staging_path(spark, "stream")), VersionLog(spark, staging_path(spark, "versions"))
     stream_sync(stream, EVENTS, sink, staging_path(spark, "stream-checkpoint"), versions=versions).awaitTermination()
     return spark.read.parquet(sink.path).select("op", "method", "payload")
+
+
+@query("stream_dedup", "SELECT event_id, user_id FROM events")
+def stream_dedup(spark, folder):
+    """Every event arrives twice, in two files, and leaves once."""
+    events = table(spark, folder, "events")
+    files, out = staging_path(spark, "twice"), staging_path(spark, "once")
+    for _ in range(2):
+        events.coalesce(1).write.mode("append").parquet(files)
+    stream = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(files)
+    # The delay covers the whole table, so no event comes too late to be known.
+    once = deduplicate(stream, ["event_id"], "ts", "20000 days").select("event_id", "user_id")
+    writer = once.writeStream.format("parquet").option("checkpointLocation", staging_path(spark, "once-checkpoint"))
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)

@@ -70,6 +70,23 @@ def select_cluster(spark, folder):
     return sel.select_rows(scored).select("vec_id", "label", "score", "reason")
 
 
+@query(
+    "select_cluster_blobs",
+    """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 11 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM orders
+""",
+)
+def select_cluster_blobs(spark, folder):
+    """Two blobs far apart, even and odd keys; every eleventh row lacks a feature. Any clustering agrees on these."""
+    key = F.col("o_orderkey")
+    blob = F.when(key % 2 == 0, 0.0).otherwise(100.0)
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey", F.when(key % 11 != 0, blob + key % 10 / 100).alias("x"), (blob + F.col("o_custkey") % 7 / 100).alias("y")
+    )
+    scored = sel.score_cluster(rows, ["x", "y"], (key % 2 == 0) & (key % 5 == 0), clusters=2)
+    return scored.select("o_orderkey", "score")
+
+
 @query(
     "score_fill_missing",
     """
