@@ -56,6 +56,18 @@ def identity(record: Record, destination_type: str) -> Column | None:
     return F.when(record.column("id").isNotNull(), text(record.column("id")))
 
 
+def used_columns(rows: DataFrame, spec: SyncSpec | AgentSpec, *more: str) -> DataFrame:
+    """The columns a run goes on with: mapped ones, those that order versions, and ``more``."""
+    wanted = {spec.incremental_field, *spec.key_columns, *more, *(m.source_field for m in spec.field_mappings)}
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns if c in wanted))
+
+
+def collapses(rows: DataFrame, spec: SyncSpec | AgentSpec) -> bool:
+    """Whether versions of one record will be brought together."""
+    ordered = bool(spec.incremental_field or spec.key_columns)
+    return ordered and identity(resolve(rows, spec.field_mappings), spec.destination_type) is not None
+
+
 def prepare(rows: DataFrame, spec: SyncSpec | AgentSpec) -> tuple[DataFrame, Record, Column | None]:
     """Rows as they will be sent, the record bound to them, and the key of a call, if it has one.
 
@@ -117,11 +129,18 @@ def run_sync(
     read, delivered, error, highest, rows, result = 0, 0, None, None, None, Delivered()
     try:
         rows, highest = window(source, spec.incremental_field, _state(watermarks, owner, spec))
-        counted = Observation()
-        observed = rows.observe(counted, F.count(F.lit(1)).alias("n"))
-        ready, record, key = prepare(observed, spec)
-        result = sink.deliver(ready, record, spec.entity, key, run_id)
-        read, delivered = counted.get["n"], result.written
+        if collapses(rows, spec):
+            # Collapsing reads its input twice; both reads must see the same rows, and the source is read once.
+            rows = stage(used_columns(rows, spec), "delta")
+            read = rows.count()
+            ready, record, key = prepare(rows, spec)
+            result = sink.deliver(ready, record, spec.entity, key, run_id)
+        else:
+            counted = Observation()
+            ready, record, key = prepare(rows.observe(counted, F.count(F.lit(1)).alias("n")), spec)
+            result = sink.deliver(ready, record, spec.entity, key, run_id)
+            read = counted.get["n"]
+        delivered = result.written
         if result.failed:
             error = result.error or "unknown error"
     except DeliveryError as failure:
@@ -187,7 +206,7 @@ def run_agent(
     summary = error = highest = rows = None
     try:
         rows, highest = window(source, spec.incremental_field, _state(watermarks, owner, spec))
-        scored = stage(score(rows), "scores")
+        scored = stage(used_columns(score(rows), spec, row_key, "score", "reason"), "scores")
         facts = selection_summary(scored, spec.threshold, row_key).first()
         considered, selected = facts["rows_considered"], facts["rows_selected"]
         summary = facts["summary"] if considered else None

@@ -257,3 +257,23 @@ def test_nothing_new_reads_nothing(spark):
     assert highest is None and found.count() == 0
     # A full read still has the rows without a value.
     assert window(rows.where("v IS NULL"), "v", None)[0].count() == 1
+
+
+def test_a_run_reads_its_source_once(spark, tmp_path):
+    """One read for the upper end of the window, one for the run; only columns in use are staged."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, i % 5, f"n{i}", "unused") for i in range(50)], "k int, ext int, name string, other string")
+    counted = rows.coalesce(1).mapInArrow(touch, rows.schema)
+    sync = SyncSpec(
+        sync_id=1, name="s", destination_type="bitrix24", entity="lead", incremental_field="k", key_columns=("k",),
+        field_mappings=(FieldMap("ext", "ID"), FieldMap("name", "TITLE")),
+    )
+    row = run_sync(counted, sync, FileSink(str(tmp_path / "out")), run_id="1")
+    assert row["status"] == "success" and (row["records_read"], row["records_written"]) == (50, 14)
+    assert reads.value == 100
