@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..operators.mapping import Record, resolve
+from ..operators.mapping import Record, quoted, resolve
 from ..operators.schedule import moment, skip_forward
 from ..operators.selection import select_rows, selection_summary
 from ..operators.upsert import UPDATE, batch_op, collapse, idempotency_key, record_id, record_op
@@ -59,7 +59,7 @@ def identity(record: Record, destination_type: str) -> Column | None:
 def used_columns(rows: DataFrame, spec: SyncSpec | AgentSpec, *more: str) -> DataFrame:
     """The columns a run goes on with: mapped ones, those that order versions, and ``more``."""
     wanted = {spec.incremental_field, *spec.key_columns, *more, *(m.source_field for m in spec.field_mappings)}
-    return rows.select(*(F.col(f"`{c}`") for c in rows.columns if c in wanted))
+    return rows.select(*(quoted(c) for c in rows.columns if c in wanted))
 
 
 def collapses(rows: DataFrame, spec: SyncSpec | AgentSpec) -> bool:
