@@ -190,6 +190,8 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 def _linked(ids: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int):
     """The pairs (of positions) that are links: by batches of the signatures, survivors on the sets."""
+    if not len(left):  # a block of one row, or a pair of blocks of which one is empty
+        return left, right
     limits, keep = least_matches(percent), []
     for at in range(0, len(left), PAIRS_AT_ONCE):
         a, b = left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
@@ -250,6 +252,8 @@ def _compare(dealt: DataFrame, percent: int) -> DataFrame:
                 left, right = np.triu_indices(len(rows), 1)
             else:
                 left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == i), np.flatnonzero(side == j)))
+            if not len(left):
+                continue
             links = _forest(ids, *_linked(ids, signatures, sets, left, right, percent))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["u", "v"])

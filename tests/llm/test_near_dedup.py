@@ -87,6 +87,23 @@ def test_groups_of_near_copies(spark, monkeypatch, block):
     assert found(df, 3, 85) == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("copies", [2, 3, 6])
+def test_blocks_cut_by_bytes(spark, monkeypatch, copies):
+    # Fewer rows than blocks: blocks of one row, and pairs of blocks that hold one side only.
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2000)
+    random_ = random.Random(copies)
+    base = [f"w{i}" for i in range(400)]
+    rows = list(enumerate([" ".join(base), *(varied(base, random_, 3) for _ in range(copies - 1))]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(df, 3, 85) == brute(rows, 3, 85)
+
+
+def test_no_pairs_are_no_links():
+    none = np.array([], dtype=np.int64)
+    left, right = near_dedup._linked(np.array([1]), np.zeros((1, near_dedup.HASHES), np.uint32), [none], none, none, 85)
+    assert not len(left) and not len(right)
+
+
 def test_bounds_follow_the_posterior():
     t, miss = 0.85, 1e-9
     for k, limit in enumerate(near_dedup.least_matches(85)):
