@@ -1,7 +1,8 @@
 """Layout-aware text of HTML pages.
 
 A tree builder with implied tags (a new list item closes the last one, a block closes an
-open paragraph, cells and rows close each other, a table gets its body) makes a tree; what
+open paragraph, cells and rows close each other, a table gets its body, a head ends where its
+page begins) makes a tree; what
 is not shown (scripts, styles, heads, ``hidden``, ``display: none`` and the like) is left out; the rest
 is rendered as text: blocks stand apart by lines, paragraphs and headings by an empty
 line, list items have a marker and an indent, table columns are aligned, and preformatted
@@ -52,6 +53,8 @@ IMPLIED_END = {
     "tfoot": (_words("thead tbody tfoot tr td th caption"), _words("table")),
     "option": (_words("option"), _words("select")),
 }
+# All that may stand in these; anything else but blank text closes them.
+HOLDS_ONLY = {"head": _words("base link meta noframes noscript script style template title")}
 # An end tag is not matched with a start tag outside of these.
 SCOPE = CELLS | _words("table caption html body")
 
@@ -61,6 +64,7 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
+_BLANK = " \t\n\r\f"
 MAX_DEPTH = 150  # each level takes a few calls when it is rendered
 
 
@@ -98,6 +102,8 @@ class _Builder:
 
     def text(self, value: str) -> None:
         if value:
+            if self.open[-1].name in HOLDS_ONLY and value.strip(_BLANK):
+                self.open.pop()
             self.open[-1].content.append(value)
 
     def _close_to(self, names: frozenset, bounds: frozenset) -> None:
@@ -112,7 +118,11 @@ class _Builder:
             del self.open[cut:]
 
     def begin(self, name: str, attributes: str) -> None:
-        if name in ("html", "body"):  # there is one of each already, or it changes nothing
+        if name == "html":  # there is one already
+            return
+        if name not in HOLDS_ONLY.get(self.open[-1].name, (name,)):
+            self.open.pop()
+        if name == "body":  # it changes nothing else
             return
         if name in CLOSES_PARAGRAPH:
             self._close_to(frozenset(("p",)), SCOPE | LISTS)
@@ -137,6 +147,8 @@ class _Builder:
 
     def end(self, name: str) -> None:
         if name == "br":
+            if self.open[-1].name in HOLDS_ONLY:
+                self.open.pop()
             self.open[-1].content.append(Element("br"))
             return
         for i in range(len(self.open) - 1, 0, -1):

@@ -29,6 +29,23 @@ CASES = [
 ]
 
 
+OPEN_HEADS = [
+    ("<head><title>T</title><body><p>Hello", "Hello"),
+    ("<html><head><title>T</title>\n<meta charset=x><script>s</script><p>Hello</p>", "Hello"),
+    ("<head><link rel=x><style>p{}</style> Hello <b>you</b></head> there", "Hello you there"),
+    ("<head><noscript><p>n</noscript><template>t</template><title>T</title><div>Hello</div>", "Hello"),
+    ("<head><head><title>T</title><body>Hello", "Hello"),
+    ("<head><title>T</title>&nbsp;<i>x</i>", "\xa0x"),
+    ("<head><body class=x><ul><li>a</ul>", "- a"),
+    ("<head> <!-- c --> <title>T</title> </head> ", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", OPEN_HEADS)
+def test_heads_without_end(page, text):
+    assert html_text.page_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", CASES)
 def test_rendering(page, text):
     found = html_text.page_text(page)
