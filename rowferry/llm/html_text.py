@@ -54,7 +54,18 @@ IMPLIED_END = {
     "option": (_words("option"), _words("select")),
 }
 # All that may stand in these; anything else but blank text closes them.
-HOLDS_ONLY = {"head": _words("base link meta noframes noscript script style template title")}
+HOLDS_ONLY = {"head": _words("base link meta noframes noscript script style template title"), "colgroup": _words("col template")}
+# A start tag of a part of a table also closes what stands open inside of the nearest of these.
+TABLE_PLACES = {
+    "tr": TABLE_PARTS | {"table"},
+    "td": TABLE_PARTS | {"table", "tr"},
+    "th": TABLE_PARTS | {"table", "tr"},
+    "tbody": _words("table"),
+    "thead": _words("table"),
+    "tfoot": _words("table"),
+}
+# Elements whose content has no such tags.
+APART = _words("template noscript noframes iframe svg math")
 # An end tag is not matched with a start tag outside of these.
 SCOPE = CELLS | _words("table caption html body")
 
@@ -117,6 +128,15 @@ class _Builder:
         if cut is not None:
             del self.open[cut:]
 
+    def _clear_to(self, names: frozenset) -> None:
+        """Close all inside of the nearest open element of ``names``; without one, nothing."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].name in names:
+                del self.open[i + 1 :]
+                return
+            if self.open[i].name in APART | SCOPE:
+                return
+
     def begin(self, name: str, attributes: str) -> None:
         if name == "html":  # there is one already
             return
@@ -128,6 +148,8 @@ class _Builder:
             self._close_to(frozenset(("p",)), SCOPE | LISTS)
         if name in IMPLIED_END:
             self._close_to(*IMPLIED_END[name])
+        if name in TABLE_PLACES:
+            self._clear_to(TABLE_PLACES[name])
         top = self.open[-1].name
         if name == "tr" and top == "table":
             self._push(Element("tbody"))
@@ -137,6 +159,8 @@ class _Builder:
             self._push(Element("tr"))
         element = _element(name, attributes)
         self.open[-1].content.append(element)
+        if name == "form" and top in TABLE_PARTS | {"table", "tr"}:  # rows and cells are not inside of it
+            return
         # Deeper elements become siblings, so that no page exhausts the stack.
         if name not in VOID and len(self.open) < MAX_DEPTH:
             self.open.append(element)
@@ -155,7 +179,7 @@ class _Builder:
             if self.open[i].name == name:
                 del self.open[i:]
                 return
-            if self.open[i].name in SCOPE and name not in SCOPE | TABLE_PARTS | {"tr"}:
+            if self.open[i].name in SCOPE and name not in SCOPE | TABLE_PARTS | {"tr", "template"}:
                 return
 
 
@@ -279,26 +303,29 @@ def _list(element: Element) -> list[str]:
     return out
 
 
-def _rows(table: Element) -> Iterator[Element]:
+def _in_table(table: Element) -> Iterator[Element | str]:
+    """What is shown of a table and of its sections: rows, and what stands between them."""
     for part in table.content:
-        if isinstance(part, Element) and part.shown:
-            if part.name == "tr":
-                yield part
-            elif part.name in TABLE_PARTS:
-                yield from _rows(part)
+        if isinstance(part, str):
+            yield part
+        elif part.shown and part.name in TABLE_PARTS:
+            yield from (inner for inner in part.content if isinstance(inner, str) or inner.shown)
+        elif part.shown:
+            yield part
 
 
 def _table(element: Element) -> list[str]:
     """Captions and what stands outside of cells first, then the rows with aligned columns."""
-    out = []
-    for part in element.content:
-        if isinstance(part, str):
-            if part.strip():
-                out.append(_SPACES.sub(" ", part).strip())
-        elif part.shown and part.name not in TABLE_PARTS | {"tr", "colgroup", "col"}:
-            out += _lines(part)
-    grid = []
-    for row in _rows(element):
+    out, grid = [], []
+    for row in _in_table(element):
+        if isinstance(row, str):
+            if row.strip():
+                out.append(_SPACES.sub(" ", row).strip())
+            continue
+        if row.name != "tr":
+            if row.name not in ("colgroup", "col"):
+                out += _lines(row)
+            continue
         cells = []
         for part in row.content:
             if isinstance(part, str):

@@ -46,6 +46,27 @@ def test_heads_without_end(page, text):
     assert html_text.page_text(page) == text
 
 
+TABLES = [
+    ("<table><tr><td>a</td></tr>Foo</table>", "Foo\na"),
+    ("<table><tr><td>a</td></tr><caption>C</caption><tr><td>b</td></tr></table>", "C\na\nb"),
+    ("<table><tbody><tr><td>a</td></tr><div>x <b>y</b></div></tbody><tfoot>z<tr><td>c</table>", "x y\nz\na\nc"),
+    ("<table><thead>h<tr><td>a</thead><tbody hidden>no<tr><td>no</table>", "h\na"),
+    ("<table><tr><td>a<td>b</tr><form><tr><td>ccc</td><td>d</td></tr></form></table>e", "a    b\nccc  d\n\ne"),
+    ("<table><form><tr><td>a<td>b<tr><td>ccc<td>d</form></table>", "a    b\nccc  d"),
+    ("<table><tr><td>a</td></tr><div>x<tr><td>b</table>", "x\na\nb"),
+    ("<table><colgroup><col><col><tr><td>a<td>b<tr><td>ccc<td>d</table>", "a    b\nccc  d"),
+    ("<table><colgroup>Foo<tr><td>a</table>", "Foo\na"),
+    ("<table><tr><td><form>a</form><td>b</table>", "a  b"),
+    ("<table><tr><td><table><tr><td>a</td></tr>Foo</table></td></tr>Bar</table>", "Bar\nFoo\na"),
+    ("<table><tr><td>a</td></tr><template><tr><td>t</template><tr><td>b</table>", "a\nb"),
+]
+
+
+@pytest.mark.parametrize("page,text", TABLES)
+def test_text_between_rows(page, text):
+    assert html_text.page_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", CASES)
 def test_rendering(page, text):
     found = html_text.page_text(page)
