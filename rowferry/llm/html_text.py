@@ -7,13 +7,18 @@ is not shown (scripts, styles, heads, ``hidden``, ``display: none`` and the like
 is rendered as text: blocks stand apart by lines, paragraphs and headings by an empty
 line, list items have a marker and an indent, table columns are aligned, and preformatted
 text keeps its spaces.
+
+Pages may be nested to any depth: nothing here calls itself. The rendering functions are
+generators that yield the calls they need to ``_run``, which keeps them in a list.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -68,6 +73,7 @@ TABLE_PLACES = {
 APART = _words("template noscript noframes iframe svg math")
 # An end tag is not matched with a start tag outside of these.
 SCOPE = CELLS | _words("table caption html body")
+THROUGH_SCOPE = SCOPE | TABLE_PARTS | _words("tr template")
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S
@@ -76,7 +82,6 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _BLANK = " \t\n\r\f"
-MAX_DEPTH = 150  # each level takes a few calls when it is rendered
 
 
 @dataclass
@@ -110,38 +115,47 @@ class _Builder:
     def __init__(self):
         self.root = Element("html")
         self.open = [self.root]
+        self.places = defaultdict(list)  # by name: where in ``open`` such elements are, without the root
+
+    def _push(self, element: Element) -> None:
+        self.places[element.name].append(len(self.open))
+        self.open.append(element)
+
+    def _cut(self, length: int) -> None:
+        while len(self.open) > length:
+            self.places[self.open.pop().name].pop()
+
+    def _last(self, names: frozenset) -> int:
+        """The place of the innermost open element of ``names``, 0 without one."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
 
     def text(self, value: str) -> None:
         if value:
             if self.open[-1].name in HOLDS_ONLY and value.strip(_BLANK):
-                self.open.pop()
+                self._cut(len(self.open) - 1)
             self.open[-1].content.append(value)
 
     def _close_to(self, names: frozenset, bounds: frozenset) -> None:
         """Close the outermost open element of ``names`` that no element of ``bounds`` encloses more closely."""
-        cut = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name in bounds:
-                break
-            if self.open[i].name in names:
-                cut = i
-        if cut is not None:
-            del self.open[cut:]
+        found = [places for n in names if (places := self.places.get(n))]
+        if not found:
+            return
+        bound = self._last(bounds)
+        cuts = [places[at] for places in found if (at := bisect_right(places, bound)) < len(places)]
+        if cuts:
+            self._cut(min(cuts))
 
     def _clear_to(self, names: frozenset) -> None:
         """Close all inside of the nearest open element of ``names``; without one, nothing."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name in names:
-                del self.open[i + 1 :]
-                return
-            if self.open[i].name in APART | SCOPE:
-                return
+        place = self._last(names)
+        if place and place >= self._last(APART | SCOPE):
+            self._cut(place + 1)
 
     def begin(self, name: str, attributes: str) -> None:
         if name == "html":  # there is one already
             return
         if name not in HOLDS_ONLY.get(self.open[-1].name, (name,)):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if name == "body":  # it changes nothing else
             return
         if name in CLOSES_PARAGRAPH:
@@ -152,35 +166,32 @@ class _Builder:
             self._clear_to(TABLE_PLACES[name])
         top = self.open[-1].name
         if name == "tr" and top == "table":
-            self._push(Element("tbody"))
+            self._begin_implied("tbody")
         elif name in CELLS and top in TABLE_PARTS | {"table"}:
             if top == "table":
-                self._push(Element("tbody"))
-            self._push(Element("tr"))
+                self._begin_implied("tbody")
+            self._begin_implied("tr")
         element = _element(name, attributes)
         self.open[-1].content.append(element)
         if name == "form" and top in TABLE_PARTS | {"table", "tr"}:  # rows and cells are not inside of it
             return
-        # Deeper elements become siblings, so that no page exhausts the stack.
-        if name not in VOID and len(self.open) < MAX_DEPTH:
-            self.open.append(element)
+        if name not in VOID:
+            self._push(element)
 
-    def _push(self, element: Element) -> None:
+    def _begin_implied(self, name: str) -> None:
+        element = Element(name)
         self.open[-1].content.append(element)
-        self.open.append(element)
+        self._push(element)
 
     def end(self, name: str) -> None:
         if name == "br":
             if self.open[-1].name in HOLDS_ONLY:
-                self.open.pop()
+                self._cut(len(self.open) - 1)
             self.open[-1].content.append(Element("br"))
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name == name:
-                del self.open[i:]
-                return
-            if self.open[i].name in SCOPE and name not in SCOPE | TABLE_PARTS | {"tr", "template"}:
-                return
+        places = self.places.get(name)
+        if places and (name in THROUGH_SCOPE or places[-1] > self._last(SCOPE)):
+            self._cut(places[-1])
 
 
 def build_tree(page: str) -> Element:
@@ -264,18 +275,38 @@ class _Lines:
 
 
 def _texts(element: Element) -> Iterator[str]:
-    for part in element.content:
-        if isinstance(part, str):
-            yield part
-        elif part.name == "br":
-            yield "\n"
-        elif part.shown:
-            yield from _texts(part)
+    stack = [iter(element.content)]
+    while stack:
+        for part in stack[-1]:
+            if isinstance(part, str):
+                yield part
+            elif part.name == "br":
+                yield "\n"
+            elif part.shown:
+                stack.append(iter(part.content))
+                break
+        else:
+            stack.pop()
+
+
+def _run(call: Generator):
+    """The result of a rendering function, with all the calls that it yields."""
+    calls, result = [call], None
+    while calls:
+        try:
+            call = calls[-1].send(result)
+        except StopIteration as stop:
+            calls.pop()
+            result = stop.value
+        else:
+            calls.append(call)
+            result = None
+    return result
 
 
-def _lines(element: Element) -> list[str]:
+def _lines(element: Element) -> Generator:
     out = _Lines()
-    _flow(element, out)
+    yield _flow(element, out)
     return out.done()
 
 
@@ -283,16 +314,16 @@ def _indented(lines: list[str], first: str, rest: str) -> list[str]:
     return [(first if i == 0 else rest) + line if line or i == 0 else "" for i, line in enumerate(lines)]
 
 
-def _list(element: Element) -> list[str]:
+def _list(element: Element) -> Generator:
     out, number = [], element.start
     for part in element.content:
         if isinstance(part, str):
             if part.strip():
-                out += _indented(_lines(Element("div", content=[part])), "  ", "  ")
+                out += _indented((yield _lines(Element("div", content=[part]))), "  ", "  ")
             continue
         if not part.shown:
             continue
-        lines = _lines(part)
+        lines = yield _lines(part)
         if part.name != "li":
             out += _indented(lines, "  ", "  ")
             continue
@@ -314,7 +345,7 @@ def _in_table(table: Element) -> Iterator[Element | str]:
             yield part
 
 
-def _table(element: Element) -> list[str]:
+def _table(element: Element) -> Generator:
     """Captions and what stands outside of cells first, then the rows with aligned columns."""
     out, grid = [], []
     for row in _in_table(element):
@@ -324,7 +355,7 @@ def _table(element: Element) -> list[str]:
             continue
         if row.name != "tr":
             if row.name not in ("colgroup", "col"):
-                out += _lines(row)
+                out += yield _lines(row)
             continue
         cells = []
         for part in row.content:
@@ -332,7 +363,7 @@ def _table(element: Element) -> list[str]:
                 if part.strip():
                     cells.append([_SPACES.sub(" ", part).strip()])
             elif part.shown:
-                cells.append(_lines(part))
+                cells.append((yield _lines(part)))
         if any(cells):
             grid.append(cells)
     if not grid:
@@ -353,7 +384,7 @@ def _table(element: Element) -> list[str]:
     return out
 
 
-def _flow(element: Element, out: _Lines) -> None:
+def _flow(element: Element, out: _Lines) -> Generator:
     for part in element.content:
         if isinstance(part, str):
             out.words(part)
@@ -368,20 +399,20 @@ def _flow(element: Element, out: _Lines) -> None:
         elif name == "hr":
             out.empty_line()
         elif name not in BLOCKS:
-            _flow(part, out)
+            yield _flow(part, out)
         else:
             apart = out.empty_line if name in SPACED else out.end_line
             apart()
             if name == "pre":
                 out.block("".join(_texts(part)).strip("\n").split("\n"))
             elif name in LISTS:
-                out.block(_list(part))
+                out.block((yield _list(part)))
             elif name == "table":
-                out.block(_table(part))
+                out.block((yield _table(part)))
             elif name in ("blockquote", "dd"):
-                out.block(_indented(_lines(part), "  ", "  "))
+                out.block(_indented((yield _lines(part)), "  ", "  "))
             else:
-                _flow(part, out)
+                yield _flow(part, out)
             apart()
 
 
@@ -389,7 +420,7 @@ def page_text(page: str | None) -> str | None:
     """All visible text of a page; null for null."""
     if page is None:
         return None
-    return "\n".join(line.rstrip() for line in _lines(build_tree(page)))
+    return "\n".join(line.rstrip() for line in _run(_lines(build_tree(page))))
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", page: str = "html") -> DataFrame:

@@ -79,6 +79,22 @@ def test_deep_and_long_pages():
     assert len(html_text.page_text("<p>" + "word " * 200_000)) == 999_999
 
 
+@pytest.mark.parametrize("depth", [10, 200, 5_000])
+@pytest.mark.parametrize("opened", ["<div>", "<b>", "<font size=2>", "<section><i>"])
+def test_deep_elements_are_elements(opened, depth):
+    deep = opened * depth
+    assert html_text.page_text(deep + "a<script>s</script><style>p{}</style><template>t</template>b") == "ab"
+    assert html_text.page_text(f"{deep}<span hidden>no<u>no</u></span>yes") == "yes"
+    assert html_text.page_text(f"<div hidden>{deep}<div>no</div>no</div>") == ""
+    assert html_text.page_text(f"{deep}<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == "- a\n- b\n\nc  d"
+    assert html_text.page_text(f"{deep}<pre>{deep}x\n y</pre>z") == "x\n y\n\nz"
+
+
+def test_many_open_elements_take_no_long_search():
+    page = "<p><td>" + "<i>" * 50_000 + "<div>x</div></b>" * 50_000
+    assert html_text.page_text(page) == "\n".join(["x"] * 50_000)
+
+
 def test_table(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
