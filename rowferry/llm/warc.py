@@ -6,8 +6,8 @@ scans a byte range of a file (whatever the store), owns the candidates whose
 magic lies in its range and reads the last one to its end. A candidate is a
 record if its first inflated bytes are a WARC header; the magic may also
 occur inside compressed data, so a member that has not ended yet goes on with the
-next candidate. If such a member also crosses a range, its parts are
-joined by a second, small step (usually over no rows).
+next candidate, and so does a candidate that is too short to tell. If such a member
+also crosses a range, its parts are joined by a second, small step (usually over no rows).
 
 Writer: one gzip member per record, written with the text sink. The sink adds a
 line separator after each row; the last byte of a member is the highest byte
@@ -116,7 +116,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     text.write.option("lineSep", "\u0000").text(path)
 
 
-# kind: record; tail: a member that goes on behind the range; head: what comes before the range's first record.
+# kind: record; tail: candidates, by number, of a member that goes on behind the range; head: what comes before the range's first record.
 _PARSED = (
     "kind string, path string, start bigint, number bigint, record_type string, record_id string, refers_to string, url string, "
     "payload_bytes bigint, payload_digest string, payload binary, error string"
@@ -154,14 +154,19 @@ def parse_record(data: bytes, payloads: bool) -> dict:
     return row if digest in (None, payload_digest(payload)) else row | {"error": "the payload does not fit its digest"}
 
 
-def _begins(data: bytes) -> bool:
-    """Whether a candidate inflates to the beginning of a WARC record, or to nothing (an empty member)."""
+def _begins(data: bytes) -> bool | None:
+    """Whether a candidate inflates to the beginning of a WARC record, or to nothing (an empty member).
+
+    None if it is too short to tell: the first bytes of a member come only after its code tables.
+    """
     inflater = zlib.decompressobj(31)
     try:
         first = inflater.decompress(data, 16)
     except zlib.error:
         return False
-    return first.startswith(b"WARC/") or (not first and inflater.eof)
+    if first.startswith(b"WARC/") or (not first and inflater.eof):
+        return True
+    return None if b"WARC/".startswith(first) and not inflater.eof else False
 
 
 class _Member:
@@ -177,43 +182,93 @@ class _Member:
         return self.inflater.eof
 
 
+class _Chain:
+    """Candidates in file order, joined to members.
+
+    Gives ("begins", b""), ("record", all its bytes), ("broken", b"") and ("nothing", a candidate at which
+    no record begins).
+    """
+
+    def __init__(self):
+        self.member, self.held = None, []  # held: candidates that are too short to tell
+
+    def add(self, data: bytes) -> Iterator[tuple[str, bytes]]:
+        coming = [data]
+        while coming:
+            data = coming.pop(0)
+            if self.member is None:
+                self.held.append(data)
+                data = b"".join(self.held)
+                if (begins := _begins(data)) is None:
+                    continue
+                first, *rest = self.held
+                self.held = []
+                if not begins:
+                    coming = rest + coming
+                    yield "nothing", first
+                    continue
+                self.member, first = _Member(), True
+                yield "begins", b""
+            else:
+                first = False
+            try:
+                if self.member.feed(data):
+                    whole, self.member = b"".join(self.member.out), None
+                    if whole:
+                        yield "record", whole
+            except zlib.error:
+                self.member = None
+                yield "broken", b""
+                if not first:  # it may begin a member of its own
+                    coming.insert(0, data)
+
+    def unfinished(self) -> list[bytes]:
+        return [b"".join(self.member.raw)] if self.member is not None else self.held
+
+    def finish(self) -> Iterator[tuple[str, bytes]]:
+        """What is left when no more candidates come."""
+        while self.unfinished():
+            if self.member is not None:
+                self.member = None
+                yield "broken", b""
+            else:
+                first, *rest = self.held
+                self.held = []
+                yield "nothing", first
+                for data in rest:
+                    yield from self.add(data)
+
+
+_ERRORS = {"broken": "the member is broken or has no end", "nothing": "no record begins here"}
+
+
+def _record(event: str, data: bytes, payloads: bool) -> dict:
+    return parse_record(data, payloads) if event == "record" else {"kind": "record", "error": _ERRORS[event]}
+
+
 def _records(candidates: Iterable[tuple[str, int, bytes]], payloads: bool) -> Iterator[dict]:
     """Rows of the candidates (path, start of the range, bytes from the magic on), in file order."""
-    here, member, seen, heads = None, None, False, 0
+    here, chain, seen, heads = None, _Chain(), False, 0
 
     def unfinished():
-        if member is not None:
-            yield {"kind": "tail", "path": here[0], "start": here[1], "payload": b"".join(member.raw)}
+        at = {"path": here[0], "start": here[1]} if here else {}
+        for i, data in enumerate(chain.unfinished()):
+            # Before the first record of a range, they may as well belong to a member of an earlier one.
+            yield {"kind": "tail" if seen else "head", "number": i if seen else heads + i, "payload": data} | at
 
     for path, start, data in candidates:
         if (path, start) != here:
             yield from unfinished()
-            here, member, seen, heads = (path, start), None, False, 0
+            here, chain, seen, heads = (path, start), _Chain(), False, 0
         at = {"path": path, "start": start}
-        if member is not None:
-            try:
-                if member.feed(data):
-                    yield parse_record(b"".join(member.out), payloads) | at
-                    member = None
-                continue
-            except zlib.error:
-                member = None
-                yield {"kind": "record", "error": "the member is broken"} | at
-        if _begins(data):
-            seen, member = True, _Member()
-            try:
-                if member.feed(data):
-                    if whole := b"".join(member.out):
-                        yield parse_record(whole, payloads) | at
-                    member = None
-            except zlib.error:
-                member = None
-                yield {"kind": "record", "error": "the member is broken"} | at
-        elif not seen:
-            yield {"kind": "head", "number": heads, "payload": data} | at
-            heads += 1
-        else:
-            yield {"kind": "record", "error": "no record begins here"} | at
+        for event, found in chain.add(data):
+            if event == "begins":
+                seen = True
+            elif event == "nothing" and not seen:
+                yield {"kind": "head", "number": heads, "payload": found} | at
+                heads += 1
+            else:
+                yield _record(event, found, payloads) | at
     yield from unfinished()
 
 
@@ -230,27 +285,16 @@ def _batches(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
 
 def _joined(parts: pa.Table, payloads: bool) -> pa.Table:
     """The members of one file that cross ranges. A range has at most one tail, after its heads."""
-    rows, member, at = [], None, {}
-    order = sorted(parts.to_pylist(), key=lambda r: (r["start"], r["kind"] == "tail", r["number"] or 0))
-    for part in order:
-        here = {"path": part["path"], "start": part["start"]}
-        if part["kind"] == "tail":
-            if member is not None:
-                rows.append({"kind": "record", "error": "the member is broken"} | at)
-            member, at = _Member(), here
-            member.feed(part["payload"])
-        elif member is None:
-            rows.append({"kind": "record", "error": "no record begins here"} | here)
-        else:
-            try:
-                if member.feed(part["payload"]):
-                    rows.append(parse_record(b"".join(member.out), payloads) | at)
-                    member = None
-            except zlib.error:
-                rows.append({"kind": "record", "error": "the member is broken"} | at)
-                member = None
-    if member is not None:
-        rows.append({"kind": "record", "error": "the member has no end"} | at)
+    rows, chain = [], _Chain()
+    order = sorted(parts.to_pylist(), key=lambda r: (r["start"], r["kind"] == "tail", r["number"]))
+    for part in [*order, None]:
+        events = []
+        if part is None or (part["kind"] == "tail" and part["number"] == 0):
+            events += chain.finish()
+        if part is not None:
+            at = {"path": part["path"], "start": part["start"]}
+            events += chain.add(part["payload"])
+        rows += [_record(event, data, payloads) | at for event, data in events if event != "begins"]
     return pa.Table.from_pylist(rows, schema=_ARROW)
 
 
@@ -291,9 +335,13 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 
 def page_records(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of records written by ``write_warc``."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of records written by ``write_warc``.
+
+    A record with an error fails the job: its page would be missing.
+    """
     number = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d*)>$", 1).try_cast("bigint")
-    return records.where("error IS NULL").select(
+    broken = F.raise_error(F.concat(F.lit("broken record in "), F.coalesce("path", F.lit("?")), F.lit(": "), "error"))
+    return records.where(F.when(F.col("error").isNull(), True).otherwise(broken.cast("boolean"))).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )
 

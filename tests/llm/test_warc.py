@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,56 @@ def test_byte_ranges_and_false_magic(spark, tmp_path, split):
     assert not [r["error"] for r in records if r["error"]]
 
 
+def _cut(archive, starts, random_, chance):
+    """Candidates as a chance magic would cut them, dealt to ranges that begin anywhere."""
+    cuts = sorted({*starts, *(s + random_.randrange(1, 140) for s in starts if random_.random() < chance), len(archive)})
+    cuts = [c for c in cuts if c <= len(archive)]
+    out, start = [], 0
+    for a, b in zip(cuts, cuts[1:]):
+        start = a if random_.random() < 0.4 else start
+        out.append(("f", start, archive[a:b]))
+    return out
+
+
+@pytest.mark.parametrize("chance", [0.3, 1.0])
+def test_magic_before_the_header_is_told(chance):
+    # The first bytes of a compressed member come only after its code tables: a magic in there cuts before it can be told.
+    random_ = random.Random(int(chance * 10))
+    payloads = [" ".join(random_.choices(["one", "two", "three", "é", "<p>"], k=random_.randrange(60))).encode() for _ in range(80)]
+    archive, starts = b"", []
+    for i, payload in enumerate(payloads):
+        starts.append(len(archive))
+        archive += warc.member_bytes(warc.record_bytes(i, "u", payload, None, False, "2024-01-01T00:00:00Z"))
+    for _ in range(30):
+        rows = list(warc._records(_cut(archive, starts, random_, chance), True))
+        parts = pa.Table.from_pylist([r for r in rows if r["kind"] != "record"], schema=warc._ARROW)
+        found = [r for r in rows if r["kind"] == "record"] + warc._joined(parts, True).to_pylist()
+        assert [r["error"] for r in found if r.get("error")] == []
+        assert sorted(r["payload"] for r in found) == sorted(payloads)
+
+
+def test_a_member_with_the_magic_in_its_head(spark, tmp_path):
+    folder = tmp_path / "w"
+    folder.mkdir()
+    _archive(folder / "one.warc", [b"one" * 100, b"two" * 100])
+    data = (folder / "one.warc").read_bytes()
+    # The name of a file stands before the compressed data (flag 8).
+    named = data[:3] + b"\x08" + data[4:10] + b"name" + warc.MAGIC + b"name\0" + data[10:]
+    (folder / "one.warc").write_bytes(named)
+    records = warc.read_warc(spark, str(folder)).collect()
+    assert [r["error"] for r in records] == [None, None]
+    assert sorted(r["page_id"] for r in warc.page_records(warc.read_warc(spark, str(folder))).collect()) == [0, 1]
+
+
+def test_pages_of_broken_members_fail(spark, tmp_path):
+    folder = tmp_path / "w"
+    folder.mkdir()
+    _archive(folder / "a.warc", [b"one" * 100, b"two" * 100])
+    (folder / "a.warc").write_bytes((folder / "a.warc").read_bytes()[:-20])
+    with pytest.raises(Exception, match="broken record in"):
+        warc.page_records(warc.read_warc(spark, str(folder))).count()
+
+
 def test_broken_members_are_reported(spark, tmp_path):
     folder = tmp_path / "w"
     folder.mkdir()
