@@ -11,19 +11,22 @@ Search. Each query keeps the ``BEAM`` nearest nodes seen; a step opens the neare
 ones and looks at their neighbours, until nothing in the beam is left to open. Queries that are
 nodes begin at themselves, others at the nearest of ``ENTRIES`` fixed nodes.
 
-The graph is built on half-precision copies; distances that are returned are
-worked out on the original vectors in double precision.
+The graph is built on exact copies. To choose pairs, vectors are taken from the middle of their leaf or
+hub, so near copies far from the origin keep their distances apart; pairs that are chosen, and
+all distances that are returned, are measured directly in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
 from ..session import stage
@@ -83,24 +86,30 @@ def _matrix(column: pa.Array, kind, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dimension)
 
 
-def _projected(nodes: DataFrame, dimension: int, scale: float, bits: int) -> DataFrame:
-    """(node, half, cell0..): half-precision copies, and the cells of the seeds.
+def _kind(nodes: DataFrame):
+    """The numpy type that holds the vectors as they are."""
+    return np.float32 if isinstance(nodes.schema["vec"].dataType.elementType, FloatType) else np.float64
+
+
+def _projected(nodes: DataFrame, dimension: int, bits: int) -> DataFrame:
+    """(node, copy, cell0..): the vectors as bytes, and the cells of the seeds.
 
     A cell is told by the sides of ``bits`` random planes a vector lies on; the planes go through
     the medians, so cells are about equal. They don't depend on how Spark deals the rows.
     """
+    kind = _kind(nodes)
     directions = np.random.default_rng(5).standard_normal((dimension, SEEDINGS * bits))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension) / scale
-            halves = pa.array([row.tobytes() for row in values.astype(np.float16)], pa.binary())
-            along = pa.array((values @ directions).tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), halves, along], ["node", "half", "along"])
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+            copies = pa.array([row.tobytes() for row in values.astype(kind)], pa.binary())
+            along = pa.array((values.astype(np.float64) @ directions).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), copies, along], ["node", "copy", "along"])
 
-    table = stage(nodes.select("node", "vec").mapInArrow(run, "node bigint, half binary, along array<double>"), "projected")
+    table = stage(nodes.select("node", "vec").mapInArrow(run, "node bigint, copy binary, along array<double>"), "projected")
     middles = table.agg(*(F.percentile_approx(F.col("along")[k], 0.5, 1000) for k in range(SEEDINGS * bits))).first() if bits else []
     cells = []
     for t in range(SEEDINGS):
@@ -108,22 +117,32 @@ def _projected(nodes: DataFrame, dimension: int, scale: float, bits: int) -> Dat
         for k in range(bits):
             cell = cell + F.when(F.col("along")[t * bits + k] > F.lit(middles[t * bits + k]), 1 << k).otherwise(0)
         cells.append(cell.alias(f"cell{t}"))
-    return table.select("node", "half", *cells)
+    return table.select("node", "copy", *cells)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float32())], ["a", "b", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], ["a", "b", "d"])
 
 
-_PAIRS = "a bigint, b bigint, d float"
+_PAIRS = "a bigint, b bigint, d double"
 
 
 def _squared(x: np.ndarray) -> np.ndarray:
-    """Squared distances between the rows of the last two axes."""
+    """Squared distances between the rows of the last two axes, to choose by."""
+    x = x - np.median(x, axis=-2, keepdims=True)
     norms = (x * x).sum(axis=-1)
     return np.maximum(norms[..., :, None] + norms[..., None, :] - 2 * (x @ np.swapaxes(x, -1, -2)), 0)
 
 
+def _between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows a and b, from their differences."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), 8192):
+        gap = x[a[at : at + 8192]] - x[b[at : at + 8192]]
+        out[at : at + 8192] = np.einsum("ij,ij->i", gap, gap)
+    return out
+
+
 def _leaves(x: np.ndarray, rows: np.ndarray, random) -> Iterator[np.ndarray]:
     """Rows split at medians of random directions until they are few."""
     if len(rows) <= LEAF:
@@ -137,10 +156,10 @@ def _leaves(x: np.ndarray, rows: np.ndarray, random) -> Iterator[np.ndarray]:
     yield from _leaves(x, rows[order[half:]], random)
 
 
-def _seeds(projected: DataFrame, dimension: int) -> DataFrame:
+def _seeds(projected: DataFrame, dimension: int, kind) -> DataFrame:
     """Nearest nodes within the leaves of each cell. A cell of more than ``BLOCK`` nodes is dealt in parts."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
         def blocks():
             """Whole cells, sorted by (cell, part)."""
             rest = None
@@ -157,24 +176,25 @@ def _seeds(projected: DataFrame, dimension: int) -> DataFrame:
             if rest is not None:
                 yield rest
 
-        random = np.random.default_rng(7)
+        random = np.random.default_rng((7, t))  # other leaves in each seeding, which connect the graph
         for block in blocks():
-            ids, x = block.column(2).to_numpy(), _matrix(block.column(3), np.float16, dimension).astype(np.float32)
+            ids, x = block.column(2).to_numpy(), _matrix(block.column(3), kind, dimension).astype(np.float64)
             for leaf in _leaves(x, np.arange(len(ids)), random):
                 d = _squared(x[leaf])
                 np.fill_diagonal(d, np.inf)
                 k = min(NEIGHBOURS, len(leaf) - 1)
                 if k > 0:
                     near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    yield _pairs(np.repeat(ids[leaf], k), ids[leaf][near].ravel(), np.take_along_axis(d, near, 1).ravel())
+                    a, b = np.repeat(leaf, k), leaf[near].ravel()
+                    yield _pairs(ids[a], ids[b], _between(x, a, b))
 
     out = None
     for t in range(SEEDINGS):
-        rows = projected.select("node", "half", F.col(f"cell{t}").alias("cell"))
+        rows = projected.select("node", "copy", F.col(f"cell{t}").alias("cell"))
         sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
         dealt = rows.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
         key = ["cell", "part"]
-        found = dealt.repartition(*key).sortWithinPartitions(*key).select(*key, "node", "half").mapInArrow(run, _PAIRS)
+        found = dealt.repartition(*key).sortWithinPartitions(*key).select(*key, "node", "copy").mapInArrow(partial(run, t=t), _PAIRS)
         out = found if out is None else out.union(found)
     return out
 
@@ -194,21 +214,21 @@ def _incoming(edges: DataFrame, *extra: str) -> DataFrame:
     return kept.select(F.col("b").alias("a"), F.col("a").alias("b"), *extra)
 
 
-def _joined(graph: DataFrame, projected: DataFrame, dimension: int) -> DataFrame:
+def _joined(graph: DataFrame, projected: DataFrame, dimension: int, kind) -> DataFrame:
     """Pairs of members of one hub that may improve a member's list."""
     forward = graph.select("a", "b", "fresh")
     members = forward.union(_incoming(forward, "fresh")).groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
     worst = graph.groupBy("a").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("n")).select(
         F.col("a").alias("node"), F.when(F.col("n") == NEIGHBOURS, F.col("worst")).alias("worst")
     )
-    known = projected.select("node", "half").join(worst, "node", "left")
-    dealt = members.join(known, F.col("b") == F.col("node")).select("a", "b", "fresh", "worst", "half")
+    known = projected.select("node", "copy").join(worst, "node", "left")
+    dealt = members.join(known, F.col("b") == F.col("node")).select("a", "b", "fresh", "worst", "copy")
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         hub, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
         fresh = table.column(2).to_numpy().astype(bool)
         worst = table.column(3).fill_null(np.inf).to_numpy()
-        x = _matrix(table.column(4), np.float16, dimension).astype(np.float32)
+        x = _matrix(table.column(4), kind, dimension).astype(np.float64)
         first = np.flatnonzero(np.concatenate(([True], hub[1:] != hub[:-1])))
         sizes = np.diff(np.append(first, len(hub)))
         for at in range(0, len(first), 256):
@@ -225,8 +245,8 @@ def _joined(graph: DataFrame, projected: DataFrame, dimension: int) -> DataFrame
             far = np.take_along_axis(d, near, 2)
             group, member, nth = np.nonzero(np.isfinite(far))
             if len(group):
-                b = ids[place[group, near[group, member, nth]]]
-                yield _pairs(ids[place[group, member]], b, far[group, member, nth])
+                a, b = place[group, member], place[group, near[group, member, nth]]
+                yield _pairs(ids[a], ids[b], _between(x, a, b))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # the last hub may go on in the next batch
@@ -250,14 +270,14 @@ def build_index(rows: DataFrame, results: int = 10) -> Index:
     top = sizes.orderBy(F.desc("n"), "size").limit(1).collect()
     dimension = top[0]["size"] if top else 0
     nodes = _nodes(rows.where(F.size("vec") == dimension), results + 1)
-    scale = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
     entries = [tuple(r) for r in nodes.select("node", "vec").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
     bits = max(0, (nodes.count() // LEAF).bit_length() - 1)
-    projected = _projected(nodes, dimension, float(scale), bits)
+    kind = _kind(nodes)
+    projected = _projected(nodes, dimension, bits)
     fresh, old = F.lit(1).alias("fresh"), F.lit(0).alias("fresh")
-    graph = stage(_best(_seeds(projected, dimension).select("a", "b", "d", fresh)), "graph")
+    graph = stage(_best(_seeds(projected, dimension, kind).select("a", "b", "d", fresh)), "graph")
     for _ in range(ROUNDS):
-        found = _joined(graph, projected, dimension).select("a", "b", "d", fresh)
+        found = _joined(graph, projected, dimension, kind).select("a", "b", "d", fresh)
         graph = stage(_best(graph.select("a", "b", "d", old).union(found)), "graph")
         entered, total = graph.agg(F.sum("fresh"), F.count(F.lit(1))).first()
         if not total or entered < LITTLE_CHANGE * total:

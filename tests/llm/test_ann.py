@@ -50,6 +50,23 @@ def test_a_small_graph_still_finds_neighbours(spark, monkeypatch):
     assert len(found) == 30 and hits >= 0.9 * 300
 
 
+@pytest.mark.parametrize("jitter,outlier", [(1e-5, False), (1e-4, True)])
+def test_a_tight_group_and_an_outlier(spark, jitter, outlier):
+    random = np.random.default_rng(6)
+    x = random.standard_normal((3600, 32)) / np.sqrt(32)
+    x[:1200] = x[0] + jitter * random.standard_normal((1200, 32))
+    x = x.astype(np.float32)
+    if outlier:
+        x[3599] *= 1e8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = by_query(ann.nearest_neighbours(df, every=60))
+    ids = np.arange(3600)
+    right = {q: len(set(brute(ids, x.astype(np.float64), q)[0]) & {i for _, i, _ in rows}) for q, rows in found.items()}
+    assert len(right) == 60
+    assert sum(n for q, n in right.items() if q < 1200) >= 0.95 * 10 * 20
+    assert sum(n for q, n in right.items() if q >= 1200) >= 0.9 * 10 * 40
+
+
 def test_copies_ties_and_unusable_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0], 0) for i in range(0, 40)] + [(i, [1.0, 2.0 + i], 0) for i in range(40, 60)]
