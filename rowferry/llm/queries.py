@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staging_path
-from . import ann, exact_dedup, html_text, language, near_dedup, packing, pieces, sharding, url_filter, warc
+from . import ann, bit_kmeans, exact_dedup, html_text, language, near_dedup, packing, pieces, sharding, url_filter, warc
 from .tables import table
 
 
@@ -54,6 +54,10 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_kmeans.with_inertia(bit_kmeans.cluster(table(spark, folder, "embeddings"), k=40, rounds=5))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_html_text": op2_html_text,
@@ -65,10 +69,12 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_near_dedup": op10_near_dedup,
+    "op11_centroids": op11_centroids,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE.strip(),
     "op6_warc": warc.ORACLE.strip(),
     "op10_near_dedup": near_dedup.ORACLE.strip(),
+    "op11_centroids": bit_kmeans.oracle(),
 }
