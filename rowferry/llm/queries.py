@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staging_path
-from . import ann, bit_kmeans, exact_dedup, html_text, language, near_dedup, packing, pieces, sharding, url_filter, warc
+from . import ann, bit_kmeans, exact_dedup, html_text, language, near_dedup, packing, periodic_runs, pieces, sharding, url_filter, warc
 from .tables import table
 
 
@@ -58,6 +58,11 @@ def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return bit_kmeans.with_inertia(bit_kmeans.cluster(table(spark, folder, "embeddings"), k=40, rounds=5))
 
 
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.with_repetition(table(spark, folder, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_html_text": op2_html_text,
@@ -70,6 +75,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_near_dedup": op10_near_dedup,
     "op11_centroids": op11_centroids,
+    "op12_runs": op12_runs,
 }
 
 ORACLES = {
