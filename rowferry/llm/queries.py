@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staging_path
-from . import ann, bit_kmeans, exact_dedup, html_text, language, near_dedup, packing, periodic_runs, pieces, sharding, url_filter, warc
+from . import ann, bit_kmeans, exact_dedup, html_text, language, near_dedup, packing, periodic_runs, pieces, pii, sharding, url_filter, warc
 from .tables import table
 
 
@@ -63,6 +63,11 @@ def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
 
 
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.span_digests(pii.find_pii(docs, pii.train(docs)))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_html_text": op2_html_text,
@@ -76,6 +81,7 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op11_centroids": op11_centroids,
     "op12_runs": op12_runs,
+    "op13_pii": op13_pii,
 }
 
 ORACLES = {
