@@ -105,8 +105,11 @@ def _widest(points: DataFrame, names: list[str]) -> dict[int, tuple[int, int]]:
 
 
 def _cuts(points: DataFrame, nodes: list[Node], names: list[str], axes: dict[int, tuple[int, int]]) -> dict[int, int]:
-    """node -> the coordinate whose left side comes closest to the wanted share of the node's bytes."""
-    goal = {i: axes[i][1] * (nodes[i].shards // 2) / nodes[i].shards for i in axes}
+    """node -> the coordinate whose left side comes closest to the wanted share of the node's bytes.
+
+    The goal is kept as an integer, ``shards`` times the wanted bytes, so no round loses a part of it.
+    """
+    goal = {i: axes[i][1] * (nodes[i].shards // 2) for i in axes}
     near = {i: TOLERANCE * axes[i][1] / nodes[i].shards for i in axes}
     before = dict.fromkeys(axes, 0)  # bytes left of the interval that holds the cut
     start = dict.fromkeys(axes, 0)  # first coordinate of that interval
@@ -123,8 +126,9 @@ def _cuts(points: DataFrame, nodes: list[Node], names: list[str], axes: dict[int
             .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         )
         running = bins.withColumn("through", F.sum("bytes").over(Window.partitionBy("node").orderBy("bin")))
-        target = _of_node([round(goal[i] - before[i]) if i in open_nodes else 0 for i in range(len(nodes))])
-        # The bin in which the goal is reached.
+        # The bin in which the goal is reached: the least bytes from its interval on, rounded up. The interval holds them.
+        needed = {i: goal[i] - before[i] * nodes[i].shards for i in open_nodes}
+        target = _of_node([-(-needed[i] // nodes[i].shards) if i in needed else 0 for i in range(len(nodes))])
         reached = running.where(F.col("through") >= target).groupBy("node").agg(
             F.min_by(F.struct("bin", "bytes", "rows", "through"), "bin").alias("hit")
         )
@@ -133,7 +137,8 @@ def _cuts(points: DataFrame, nodes: list[Node], names: list[str], axes: dict[int
             hit = hits[i]
             left = before[i] + hit["through"] - hit["bytes"]
             if shift == 0 or hit["rows"] == 1 or hit["bytes"] <= near[i]:
-                with_it = abs(left + hit["bytes"] - goal[i]) <= abs(left - goal[i])
+                off = left * nodes[i].shards - goal[i]
+                with_it = abs(off + hit["bytes"] * nodes[i].shards) <= abs(off)
                 cuts[i] = (hit["bin"] + (1 if with_it else 0)) << shift
             else:
                 before[i], start[i] = left, hit["bin"] << shift

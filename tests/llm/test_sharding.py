@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -65,3 +66,63 @@ def test_write_shards(spark, documents, tmp_path):
     sharding.write_shards(documents, placed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == documents.count() and back.select("shard").distinct().count() == 3
+
+
+def best_cut(rows, shards):
+    """The cut of (coordinate, size) rows next to the wanted share; of two equally near ones the greater."""
+    total, half, left = sum(s for _, s in rows), shards // 2, 0
+    for x in sorted({x for x, _ in rows}):
+        own = sum(s for y, s in rows if y == x)
+        if shards * (left + own) >= total * half:
+            near = abs(shards * (left + own) - total * half) <= abs(shards * left - total * half)
+            return x + 1 if near else x
+        left += own
+    raise AssertionError("the goal is always reached")
+
+
+def test_cuts_of_odd_totals(spark):
+    """Many small tables at once, one per node: bins are refined over several rounds and totals are odd."""
+    choice = random.Random(5)
+    tables, nodes = [], []
+    for i in range(300):
+        close = choice.randrange(1 << sharding.COORDINATE_BITS)  # rows that part only in the last rounds
+        places = [choice.randrange(1 << sharding.COORDINATE_BITS) if choice.random() < 0.5 else close + choice.randrange(4) for _ in range(choice.randint(1, 40))]
+        tables.append([(x, choice.randint(16, 60)) for x in places])
+        nodes.append(sharding.Node(0, choice.choice([2, 3, 4, 5, 40])))
+    points = spark.createDataFrame([(i, x, s) for i, rows in enumerate(tables) for x, s in rows], "node int, c0 bigint, size bigint")
+    found = sharding._cuts(points, nodes, ["c0"], {i: (0, sum(s for _, s in rows)) for i, rows in enumerate(tables)})
+    for i, rows in enumerate(tables):
+        left = sum(s for x, s in rows if x < found[i])
+        want = sum(s for x, s in rows if x < best_cut(rows, nodes[i].shards))
+        # A cut may be off by the tolerance, which is less than a row here.
+        assert left == want, (i, nodes[i], rows)
+
+
+def test_a_total_that_does_not_halve(spark):
+    rows = [(0, None, None, None), (500000, "a", None, None), (500001, "", None, None), (1000000, "a" * 35, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = sharding.shard_documents(docs, shards=2).collect()
+    assert sorted(r["doc_id"] for r in found) == [0, 500000, 500001, 1000000] and {r["shard"] for r in found} == {0, 1}
+
+
+def test_tree_against_an_independent_one(spark, odd):
+    """All levels over the points of a small table."""
+    docs = odd.drop("size", "place", "node", "shard", "slot")
+    points, names = sharding.metadata_points(docs)
+    rows = [(tuple(r[c] for c in names), r["size"], r["place"]) for r in points.collect()]
+    for shards in (4, 7, 40):
+        expected = {}
+
+        def grow(rows, first, shards):
+            if shards == 1 or not rows:
+                expected.update({place: first for _, _, place in rows})
+                return
+            widths = [max(x[d] >> sharding.TIE_BITS for x, _, _ in rows) - min(x[d] >> sharding.TIE_BITS for x, _, _ in rows) for d in range(len(names))]
+            axis = widths.index(max(widths))
+            cut = best_cut([(x[axis], s) for x, s, _ in rows], shards)
+            grow([r for r in rows if r[0][axis] < cut], first, shards // 2)
+            grow([r for r in rows if r[0][axis] >= cut], first + shards // 2, shards - shards // 2)
+
+        grow(rows, 0, shards)
+        assigned, leaves = sharding.kd_tree(points, names, shards)
+        assert {r["place"]: leaves[r["node"]].first for r in assigned.collect()} == expected
