@@ -5,8 +5,8 @@ open paragraph, cells and rows close each other, a table gets its body, a head e
 page begins) makes a tree; what
 is not shown (scripts, styles, heads, ``hidden``, ``display: none`` and the like) is left out; the rest
 is rendered as text: blocks stand apart by lines, paragraphs and headings by an empty
-line, list items have a marker and an indent, table columns are aligned, and preformatted
-text keeps its spaces.
+line, list items have a marker and an indent, table columns are aligned (also beside cells that span
+columns or rows), and preformatted text keeps its spaces.
 
 Pages may be nested to any depth: nothing here calls itself. The rendering functions are
 generators that yield the calls they need to ``_run``, which keeps them in a list.
@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,7 +77,7 @@ SCOPE = CELLS | _words("table caption html body")
 THROUGH_SCOPE = SCOPE | TABLE_PARTS | _words("tr template")
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
@@ -90,14 +91,21 @@ class Element:
     shown: bool = True
     start: int = 1
     content: list = field(default_factory=list)  # elements and texts
+    spans: tuple[int, int] = (1, 1)  # columns and rows of a cell; 0 rows: all that follow
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
+def _span(value: str | None, least: int, most: int) -> int:
+    digits = re.match(r"[ \t\n\r\f]*\+?([0-9]{1,9})", value or "")
+    number = int(digits[1]) if digits else 1
+    return 1 if number < least else min(number, most)
+
+
 def _element(name: str, attributes: str) -> Element:
-    shown, start = name not in NOT_SHOWN, 1
+    shown, start, spans = name not in NOT_SHOWN, 1, (1, 1)
     if attributes and not attributes.isspace():
         values = _attributes(attributes)
         if "hidden" in values or (name == "dialog" and "open" not in values):
@@ -106,9 +114,11 @@ def _element(name: str, attributes: str) -> Element:
             shown = False
         if name == "ol" and values.get("start", "").strip().lstrip("-").isdigit():
             start = int(values["start"])
+        if name in CELLS:
+            spans = _span(values.get("colspan"), 1, 1000), _span(values.get("rowspan"), 0, 65534)
     elif name == "dialog" or name == "input":
         shown = False
-    return Element(name, shown, start)
+    return Element(name, shown, start, spans=spans)
 
 
 class _Builder:
@@ -266,12 +276,12 @@ class _Lines:
 
     def done(self) -> list[str]:
         self.end_line()
-        lines = self.lines
-        while lines and not lines[0].strip():
-            lines = lines[1:]
-        while lines and not lines[-1].strip():
-            lines = lines[:-1]
-        return lines
+        first, end = 0, len(self.lines)
+        while first < end and not self.lines[first].strip():
+            first += 1
+        while first < end and not self.lines[end - 1].strip():
+            end -= 1
+        return self.lines[first:end]
 
 
 def _texts(element: Element) -> Iterator[str]:
@@ -345,8 +355,74 @@ def _in_table(table: Element) -> Iterator[Element | str]:
             yield part
 
 
+@dataclass
+class _Cell:
+    lines: list[str]
+    columns: int = 1
+    rows: int = 1
+    column: int = 0
+
+
+def _place(grid: list[list[_Cell]]) -> None:
+    """Each cell gets its column: the next one of its row that no cell from above reaches into."""
+    taken: list[tuple[int, int, int]] = []  # (first column, end column, end row) of cells that reach into further rows
+    for r, cells in enumerate(grid):
+        taken = [t for t in taken if t[2] > r]
+        column, k, new = 0, 0, []
+        for cell in cells:
+            while k < len(taken) and taken[k][0] <= column:
+                column = max(column, taken[k][1])
+                k += 1
+            cell.column = column
+            column += cell.columns
+            end = min(r + cell.rows, len(grid)) if cell.rows else len(grid)
+            if end > r + 1:
+                new.append((cell.column, column, end))
+        merged: list[tuple[int, int, int]] = []
+        for first, last, end in sorted(taken + new):
+            # Neighbours that end in the same row are one, so a page of long cells stays linear.
+            if merged and merged[-1][1] == first and merged[-1][2] == end:
+                merged[-1] = (merged[-1][0], last, end)
+            else:
+                merged.append((first, last, end))
+        taken = merged
+
+
+def _aligned(grid: list[list[_Cell]]) -> list[str]:
+    """The rows as text, cells of one column one below the other."""
+    starts = sorted({cell.column for cells in grid for cell in cells})
+    number = {column: i for i, column in enumerate(starts)}
+    widths = [0] * len(starts)
+    wide: list[tuple[int, int, int]] = []  # (columns in use that a cell spans, the first of them, its width)
+    for cells in grid:
+        # The last cell of a row sets no width: nothing stands behind it.
+        for cell in cells[:-1]:
+            first, width = number[cell.column], max(map(len, cell.lines), default=0)
+            spanned = bisect_left(starts, cell.column + cell.columns) - first
+            if spanned == 1:
+                widths[first] = max(widths[first], width)
+            else:
+                wide.append((spanned, first, width))
+    for spanned, first, width in sorted(wide):
+        own = sum(widths[first : first + spanned]) + 2 * (spanned - 1)
+        widths[first + spanned - 1] += max(0, width - own)
+    offsets = [0, *accumulate(width + 2 for width in widths)]
+    out = []
+    for cells in grid:
+        for k in range(max((len(cell.lines) for cell in cells), default=0)):
+            line = ""
+            for cell in cells:
+                if k < len(cell.lines):
+                    line = line.ljust(offsets[number[cell.column]]) + cell.lines[k]
+            out.append(line.rstrip())
+    return out
+
+
 def _table(element: Element) -> Generator:
-    """Captions and what stands outside of cells first, then the rows with aligned columns."""
+    """Captions and what stands outside of cells first, then the rows with aligned columns.
+
+    Cells that span columns or rows keep the others in their columns.
+    """
     out, grid = [], []
     for row in _in_table(element):
         if isinstance(row, str):
@@ -361,27 +437,15 @@ def _table(element: Element) -> Generator:
         for part in row.content:
             if isinstance(part, str):
                 if part.strip():
-                    cells.append([_SPACES.sub(" ", part).strip()])
+                    cells.append(_Cell([_SPACES.sub(" ", part).strip()]))
             elif part.shown:
-                cells.append((yield _lines(part)))
-        if any(cells):
-            grid.append(cells)
-    if not grid:
-        return out
-    if max(map(len, grid)) == 1:  # one column: layout, nothing to align
-        return out + [line for cells in grid for line in cells[0]]
-    # The last cell of a row sets no width: nothing stands behind it.
-    widths: list[int] = []
-    for cells in grid:
-        for i, lines in enumerate(cells[:-1]):
-            widths += [0] * (i + 1 - len(widths))
-            widths[i] = max(widths[i], max(map(len, lines), default=0))
-    for cells in grid:
-        for k in range(max(map(len, cells))):
-            parts = [cell[k] if k < len(cell) else "" for cell in cells]
-            padded = [part.ljust(widths[i]) if i + 1 < len(parts) else part for i, part in enumerate(parts)]
-            out.append("  ".join(padded).rstrip())
-    return out
+                cells.append(_Cell((yield _lines(part)), *part.spans))
+        grid.append(cells)
+    _place(grid)
+    grid = [cells for cells in grid if any(cell.lines for cell in cells)]
+    if all(len(cells) == 1 for cells in grid):  # one column: layout, nothing to align
+        return out + [line for cells in grid for line in cells[0].lines]
+    return out + _aligned(grid)
 
 
 def _flow(element: Element, out: _Lines) -> Generator:

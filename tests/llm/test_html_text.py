@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 
 from rowferry.llm import html_text
@@ -95,6 +99,77 @@ def test_many_open_elements_take_no_long_search():
     assert html_text.page_text(page) == "\n".join(["x"] * 50_000)
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>a<!-->b</p><p>c</p>", "ab\n\nc"),
+        ("<p>a<!--->b</p>", "ab"),
+        ("<p>a<!-- x --!>b<!-- y -->c", "abc"),
+        ("<p>a<!-- never ended <b>c", "a"),
+        ("<p>a<!--x>b-->c", "ac"),
+    ],
+)
+def test_ends_of_comments(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_long_blank_pages():
+    start = time.perf_counter()
+    assert html_text.page_text("<br>" * 200_000) == ""
+    assert html_text.page_text("<br>" * 100_000 + "x" + "<p> " * 100_000) == "x"
+    assert time.perf_counter() - start < 10
+
+
+def test_spans_shift_other_cells():
+    table = "<table><tr><th colspan=2>A<th>B<tr><td>x1<td>x2<td>x3<tr><td rowspan=2>y1<td>y2<td>y3<tr><td>z2<td>z3</table>"
+    assert html_text.page_text(table) == "A       B\nx1  x2  x3\ny1  y2  y3\n    z2  z3"
+    wide = "<table><tr><td colspan=2>a long heading<td>n<tr><td>1<td>2<td>3</table>"
+    assert html_text.page_text(wide) == "a long heading  n\n1  2            3"
+    assert html_text.page_text("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+    assert html_text.page_text("<table><tr><td colspan=x rowspan=-1>a<td colspan=0>b</table>") == "a  b"
+
+
+def slots(rows):
+    """label -> column, by marking every slot of the grid."""
+    taken, found = set(), {}
+    for r, cells in enumerate(rows):
+        column = 0
+        for label, columns, spanned in cells:
+            while (r, column) in taken:
+                column += 1
+            found[label] = column
+            taken |= {(y, x) for y in range(r, min(len(rows), r + (spanned or len(rows)))) for x in range(column, column + columns)}
+            column += columns
+    return found
+
+
+def test_aligned_cells_against_a_marked_grid():
+    choice = random.Random(2)
+    for _ in range(400):
+        rows, number = [], 0
+        for _ in range(choice.randint(1, 6)):
+            cells = []
+            for _ in range(choice.randint(2, 5)):
+                number += 1
+                cells.append((f"c{number}" + "w" * choice.randint(0, 6) + ";", choice.choice([1, 1, 1, 2, 3]), choice.choice([1, 1, 1, 2, 3, 0])))
+            rows.append(cells)
+        page = "".join("<tr>" + "".join(f"<td colspan={c} rowspan={r}>{label}</td>" for label, c, r in cells) for cells in rows)
+        lines = html_text.page_text(f"<table>{page}</table>").split("\n")
+        assert [re.findall(r"\S+", line) for line in lines] == [[label for label, _, _ in cells] for cells in rows]
+        at: dict[int, set[int]] = {}
+        for label, column in slots(rows).items():
+            at.setdefault(column, set()).add(next(line.index(label) for line in lines if label in line))
+        places = [at[column] for column in sorted(at)]
+        assert all(len(p) == 1 for p in places) and places == sorted(places, key=min) and len(set().union(*places)) == len(places)
+
+
+def test_many_spans_take_no_long_search():
+    start = time.perf_counter()
+    page = "<table>" + "<tr><td rowspan=65534>a<td colspan=1000>b" * 5_000 + "</table>"
+    assert html_text.page_text(page).count("b") == 5_000
+    assert time.perf_counter() - start < 30
+
+
 def test_table(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
