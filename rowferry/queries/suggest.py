@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.replies import parse_pairs
+from ..operators.spelling import near_names, suggest_by_edit
 from ..operators.suggest import pairs_to_apply, suggest_by_name, validate_pairs
 from .registry import query, table
 
@@ -130,3 +131,46 @@ def suggest_by_name_query(spark, folder):
         F.col("p_size").cast("bigint").alias("mapping_id"), key.alias("pos"), field.alias("destination_field")
     )
     return suggest_by_name(source, destination)
+
+
+_SPELLED_SQL = """
+s AS (SELECT CAST(p_size AS BIGINT) AS mapping_id, p_partkey AS pos, replace(p_name, ' ', '_') AS source_field FROM part WHERE p_partkey % 2 = 0),
+d AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS mapping_id, upper(replace(p_name, ' ', '')) AS destination_field FROM part WHERE p_partkey % 2 <> 0)"""
+
+
+def _spelled(spark, folder):
+    """Destination names without the underline: every name is an edit away from its own kind."""
+    source, _ = _sides(spark, folder)
+    destination = table(spark, folder, "part").where(F.col("p_partkey") % 2 != 0).select(
+        F.col("p_size").cast("bigint").alias("mapping_id"), F.upper(F.translate("p_name", " ", "")).alias("destination_field")
+    )
+    return source, destination
+
+
+# The oracles compare all pairs inside a mapping; the queries never do.
+@query(
+    "names_near",
+    "WITH" + _SPELLED_SQL + """
+SELECT DISTINCT mapping_id, lower(source_field) AS left_name, lower(destination_field) AS right_name,
+       CAST(levenshtein(lower(source_field), lower(destination_field)) AS INTEGER) AS distance
+FROM s JOIN d USING (mapping_id) WHERE levenshtein(lower(source_field), lower(destination_field)) <= 2
+""",
+)
+def names_near(spark, folder):
+    source, destination = _spelled(spark, folder)
+    left = source.select("mapping_id", F.lower("source_field").alias("left_name"))
+    return near_names(left, destination.select("mapping_id", F.lower("destination_field").alias("right_name")))
+
+
+@query(
+    "suggest_by_edit",
+    "WITH" + _SPELLED_SQL + """,
+c AS (SELECT mapping_id, source_field, pos, destination_field, CAST(levenshtein(lower(source_field), lower(destination_field)) AS INTEGER) AS distance,
+             1.0::DOUBLE - levenshtein(lower(source_field), lower(destination_field))::DOUBLE / greatest(length(source_field), length(destination_field)) AS confidence
+      FROM s JOIN d USING (mapping_id))
+SELECT mapping_id, source_field, destination_field, distance, confidence FROM c WHERE distance <= 2
+QUALIFY row_number() OVER (PARTITION BY mapping_id, destination_field ORDER BY distance, pos) = 1
+""",
+)
+def suggest_by_edit_query(spark, folder):
+    return suggest_by_edit(*_spelled(spark, folder))
