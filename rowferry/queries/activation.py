@@ -14,7 +14,8 @@ from ..session import staging_path
 from ..sinks.files import FileSink
 from ..sources.incremental import newer_than
 from ..spec import AgentSpec, FieldMap, SyncSpec
-from ..streaming import VersionLog, deduplicate, stream_sync
+from ..streaming import ParquetTable, VersionLog, deduplicate, newest_versions, polled, stream_sync
+from ..streaming.versions import ROCKSDB
 from .registry import SCHEMAS, query, table
 
 ORDERS = SyncSpec(
@@ -131,12 +132,12 @@ def stream_late_versions(spark, folder):
     events = table(spark, folder, "events")
     split = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
     newer = F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(split)
-    files = staging_path(spark, "late")
-    for half in (newer, ~newer):
-        events.where(half).coalesce(1).write.mode("append").parquet(files)
-    stream = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(files)
+    files, checkpoint = staging_path(spark, "late"), staging_path(spark, "stream-checkpoint")
     sink, versions = FileSink(staging_path(spark, "stream")), VersionLog(spark, staging_path(spark, "versions"))
-    stream_sync(stream, EVENTS, sink, staging_path(spark, "stream-checkpoint"), versions=versions).awaitTermination()
+    for half in (newer, ~newer):
+        events.where(half).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(SCHEMAS["events"]).parquet(files)
+        stream_sync(stream, EVENTS, sink, checkpoint, versions=versions).awaitTermination()
     return spark.read.parquet(sink.path).select("op", "method", "payload")
 
 
@@ -144,12 +145,61 @@ def stream_late_versions(spark, folder):
 def stream_dedup(spark, folder):
     """Every event arrives twice, in two files, and leaves once."""
     events = table(spark, folder, "events")
-    files, out = staging_path(spark, "twice"), staging_path(spark, "once")
+    files, out, checkpoint = staging_path(spark, "twice"), staging_path(spark, "once"), staging_path(spark, "once-checkpoint")
     for _ in range(2):
-        events.coalesce(1).write.mode("append").parquet(files)
-    stream = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(files)
-    # The delay covers the whole table, so no event comes too late to be known.
-    once = deduplicate(stream, ["event_id"], "ts", "20000 days").select("event_id", "user_id")
-    writer = once.writeStream.format("parquet").option("checkpointLocation", staging_path(spark, "once-checkpoint"))
-    writer.trigger(availableNow=True).start(out).awaitTermination()
+        events.write.mode("append").parquet(files)
+        stream = spark.readStream.schema(SCHEMAS["events"]).parquet(files)
+        # The delay covers the whole table, so no event comes too late to be known.
+        once = deduplicate(stream, ["event_id"], "ts", "20000 days").select("event_id", "user_id")
+        writer = once.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out)
+
+
+_VERSIONS_SQL = """
+WITH e AS (SELECT event_id, user_id, event_type, CAST(hour(ts) AS INTEGER) AS at_hour, epoch_us(ts) AS us FROM events),
+b AS (SELECT min(us) AS low, max(us) AS high FROM e),
+one AS (SELECT e.* FROM e, b WHERE us > low + (high - low) // 2
+        QUALIFY row_number() OVER (PARTITION BY user_id, event_type, at_hour ORDER BY us DESC) = 1),
+two AS (SELECT e.* FROM e ANTI JOIN one USING (user_id, event_type, at_hour), b
+        WHERE us > high // 1000 * 1000 - 20 * 86400000000::BIGINT
+        QUALIFY row_number() OVER (PARTITION BY user_id, event_type, at_hour ORDER BY us DESC) = 1)
+SELECT event_id, user_id, event_type, at_hour FROM one UNION ALL SELECT event_id, user_id, event_type, at_hour FROM two"""
+
+
+@query("stream_state_versions", _VERSIONS_SQL)
+def stream_state_versions(spark, folder):
+    """A record per user, type and hour. The newer half comes first, then all events: of a record that was sent nothing
+    goes out again, of the others the last event, unless it is over 20 days behind."""
+    # The state store is a setting of the session; this query has one of its own.
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    events = table(spark, folder, "events").withColumn("at_hour", F.hour("ts"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(us), F.max(us)).first()
+    files, out, checkpoint = staging_path(spark, "versions"), staging_path(spark, "newest"), staging_path(spark, "state")
+    for arrived in (events.where(us > low + (high - low) // 2), events) if low is not None else (events,):
+        arrived.write.mode("append").parquet(files)
+        stream = spark.readStream.schema(events.schema).parquet(files)
+        newest = newest_versions(stream, ["user_id", "event_type", "at_hour"], "ts", "20 days")
+        writer = newest.select("event_id", "user_id", "event_type", "at_hour").writeStream.format("parquet")
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("event_id bigint, user_id bigint, event_type string, at_hour int").parquet(out)
+
+
+@query("stream_polled", "SELECT event_id, user_id, date_trunc('hour', ts) AS stamp FROM events")
+def stream_polled(spark, folder):
+    """Events with the hour as their time, polled after each of three arrivals that end amid the rows of an hour."""
+    events = table(spark, folder, "events").select("event_id", "user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("stamp"))
+    us = F.unix_micros(F.col("stamp").cast("timestamp"))
+    cuts = []
+    for (hour,) in events.groupBy().agg(F.explode(F.percentile_approx(us, [0.33, 0.66])).alias("hour")).collect():
+        middle = events.where(us == hour).agg(F.percentile_approx("event_id", 0.5)).first()[0]
+        cuts.append((us < hour) | ((us == hour) & (F.col("event_id") <= middle)))
+    files, out, checkpoint = staging_path(spark, "polled"), staging_path(spark, "polls"), staging_path(spark, "poll")
+    for arrived in (cuts[0], cuts[1] & ~cuts[0], ~cuts[1]):
+        events.where(arrived).write.mode("append").parquet(files)
+        stream = polled(spark, ParquetTable(files, "stamp", "event_id"), events.schema, "polled_events")
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(events.schema).parquet(out)

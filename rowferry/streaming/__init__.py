@@ -1,5 +1,7 @@
 """The same runs over a stream."""
 
 from .activation import VersionLog, deduplicate, stream_sync
+from .polling import ParquetTable, polled
+from .versions import newest_versions
 
-__all__ = ["VersionLog", "deduplicate", "stream_sync"]
+__all__ = ["ParquetTable", "VersionLog", "deduplicate", "newest_versions", "polled", "stream_sync"]
