@@ -74,6 +74,31 @@ def deliver_lists_partial(spark, folder):
     return _delivered(spark, table(spark, folder, "customer"), maps, "amocrm", "contacts", _lists)
 
 
+def _confirmed(method, url, body, headers, timeout):
+    return 200, json.dumps({"_embedded": {"contacts": [{"id": 1}] * len(json.loads(body))}})
+
+
+@query(
+    "deliver_bucketed_log",
+    """
+WITH c AS (SELECT count(*) FILTER (WHERE o_orderkey % 3 = 0) AS a, count(*) FILTER (WHERE o_orderkey % 3 <> 2) AS b, count(*) AS n FROM orders)
+SELECT 1 AS run, a AS written, CAST(0 AS BIGINT) AS skipped FROM c UNION ALL SELECT 2, b - a, a FROM c UNION ALL SELECT 3, n - b, b FROM c
+UNION ALL SELECT 4, 0, n FROM c
+""",
+)
+def deliver_bucketed_log(spark, folder):
+    """Four runs over a growing share of the orders, lists of creates; each run meets the keys of all runs before."""
+    sink = CrmSink("amocrm", "http://crm.example", "t", staging_path(spark, "results"), transport=_confirmed, parallelism=4)
+    maps, rows = (FieldMap("o_orderkey", "key"), FieldMap("o_orderpriority", "name")), []
+    orders = table(spark, folder, "orders")
+    part = F.col("o_orderkey") % 3
+    for run, rest in enumerate((part == 0, part != 2, F.lit(True), F.lit(True)), 1):
+        df = orders.where(rest)
+        r = sink.deliver(df, resolve(df, maps), "contacts", idempotency_key("orders", [F.col("o_orderkey")]), f"r{run}")
+        rows.append((run, r.written, r.skipped))
+    return spark.createDataFrame(rows, "run int, written bigint, skipped bigint")
+
+
 @query(
     "deliver_failure",
     """
@@ -86,7 +111,7 @@ def deliver_failure(spark, folder):
         sync_id=3, name="customers", destination_type="bitrix24", entity="contact",
         field_mappings=(FieldMap("c_custkey", "KEY"), FieldMap("c_name", "NAME")),
     )
-    sink = CrmSink("bitrix24", "http://crm.example", "t", staging_path(spark, "results"), transport=_down)
+    sink = CrmSink("bitrix24", "http://crm.example", "t", staging_path(spark, "results"), transport=_down, parallelism=4)
     row = run_sync(table(spark, folder, "customer"), spec, sink, run_id="r1")
     shown = (row["status"], row["records_read"], row["records_written"], row["error_message"])
     return spark.createDataFrame([shown], "status string, records_read bigint, records_written bigint, error_message string")

@@ -62,3 +62,23 @@ def stage(df, name: str):
     path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder but hidden ones, empty if it is not there yet; names of folders end in a slash."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    found = [s.getPath().getName() + ("/" if s.isDirectory() else "") for s in system.listStatus(place)]
+    return sorted(name for name in found if name[0] not in "._")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.mapping import Record
 from ..operators.upsert import batch_items, batch_payloads, record_calls, written_counts
-from ..sources.incremental import is_missing_path
 from ..spec import DESTINATION_ENTITIES
-from .delivery import Delivered, DeliveryError, Destination, Transport, http_transport, send_all
+from .delivery import SKIPPED, Delivered, DeliveryError, Destination, Transport, http_transport, send_all
+from .sent import SentKeys
 
 RESULT_SCHEMA = "call_keys array<string>, op string, outcome string, items int, error string, unconfirmed int"
 _RESULT_COLUMNS = ["call_keys", "op", "outcome", "items", "error", "unconfirmed"]
@@ -60,7 +59,7 @@ class CrmSink:
     """Sends records and keeps one result row per call below ``results_path``.
 
     A retried task sends again: updates are harmless, creates are protected
-    against a second run by the log (creates already written are left out),
+    against a second run by the index of sent keys (see ``SentKeys``; ``sent_buckets`` is for a new one),
     not against a retry inside a run. Turn speculation off for such jobs.
     ``parallelism`` bounds how many tasks call the destination at once; the
     default is one call at a time, None leaves it to the cluster.
@@ -80,23 +79,11 @@ class CrmSink:
         timeout: float = 30.0,
         parallelism: int | None = 1,
         batch_size: int = 250,
+        sent_buckets: int | None = None,
     ):
         self.type, self.url, self.token, self.timeout = type, url, token, timeout
         self.results_path, self.transport = results_path, transport
-        self.parallelism, self.batch_size = parallelism, batch_size
-
-    def _unsent(self, calls: DataFrame) -> tuple[DataFrame, int]:
-        """Calls without the creates an earlier run has already got through, and how many these are."""
-        try:
-            log = calls.sparkSession.read.schema(RESULT_SCHEMA + ", run string").parquet(self.results_path)
-        except AnalysisException as error:
-            if not is_missing_path(error):
-                raise
-            return calls, 0  # nothing sent yet
-        done = log.where(F.col("outcome").isin("written", "partial") & (F.col("op") == "create"))
-        sent = done.select(F.explode("call_keys").alias("sent_key")).where(F.col("sent_key").isNotNull())
-        repeated = (F.col("call_key") == F.col("sent_key")) & (F.col("op") == "create")
-        return calls.join(sent, repeated, "left_anti"), calls.join(sent, repeated, "left_semi").count()
+        self.parallelism, self.batch_size, self.sent_buckets = parallelism, batch_size, sent_buckets
 
     def deliver(self, df: DataFrame, record: Record, entity: str, key: Column | None, run_id: str) -> Delivered:
         require_entity(self.type, entity)
@@ -104,21 +91,26 @@ class CrmSink:
         destination = Destination(self.type, entity, self.url, self.token, self.timeout)
         keyed = df.withColumn("call_key", F.lit(None).cast("string") if key is None else key)
         # Without keys there is nothing to compare, and a join on nulls would put all rows into one task.
-        unsent = self._unsent if key is not None else lambda calls: (calls, 0)
+        index = None if key is None else SentKeys(spark, self.results_path, RESULT_SCHEMA, self.sent_buckets)
+        marked = (lambda calls: calls) if index is None else index.mark_sent
         if self.type == "bitrix24":
-            calls, skipped = unsent(record_calls(keyed, record, entity, keep=("call_key",)))
+            calls = marked(record_calls(keyed, record, entity, keep=("call_key",)))
             calls = self._bounded(calls).withColumn("call_keys", F.array("call_key"))
         else:
-            items, skipped = unsent(batch_items(keyed, record, keep=("call_key",)))
+            items = marked(batch_items(keyed, record, keep=("call_key",)))
             calls = batch_payloads(self._bounded(items), self.batch_size, "call_key").withColumn("method", F.lit(None).cast("string"))
         # One folder per attempt: a repeated run adds to the log and is counted alone.
-        folder = f"{self.results_path}/run={run_id}-{uuid.uuid4().hex[:8]}"
+        name = f"run={run_id}-{uuid.uuid4().hex[:8]}"
+        folder = f"{self.results_path.rstrip('/')}/{name}"
         send_calls(calls, destination, self.transport).write.mode("append").parquet(folder)
+        if index is not None:
+            index.add([name])
         results = spark.read.schema(RESULT_SCHEMA).parquet(folder)
         counts = written_counts(results).first()
         unnamed = F.coalesce(F.sum("unconfirmed"), F.lit(0)).alias("unconfirmed")
-        rest = results.agg(F.min(F.when(F.col("outcome") == "failed", F.col("error"))).alias("error"), unnamed).first()
-        return Delivered(counts["written"], counts["not_found"], counts["failed"], rest["error"], rest["unconfirmed"], skipped)
+        skipped = F.coalesce(F.sum(F.when(F.col("outcome") == SKIPPED, F.col("items"))), F.lit(0)).alias("skipped")
+        rest = results.agg(F.min(F.when(F.col("outcome") == "failed", F.col("error"))).alias("error"), unnamed, skipped).first()
+        return Delivered(counts["written"], counts["not_found"], counts["failed"], rest["error"], rest["unconfirmed"], rest["skipped"])
 
     def _bounded(self, df: DataFrame) -> DataFrame:
         # Not coalesce: that would also read and convert in so few tasks.

@@ -14,6 +14,8 @@ from ..operators.replies import NOT_FOUND_CODES
 # (http method, url, body, headers, timeout) -> (status or None if unreachable, body)
 Transport = Callable[[str, str, str, dict, float], "tuple[int | None, str]"]
 
+SKIPPED = "skipped"  # the op of a create that was sent before, and the outcome of such a call
+
 
 class DeliveryError(Exception):
     """The destination refused or could not be reached."""
@@ -140,10 +142,14 @@ def send_all(
 
     Calls are (keys, op, method, payload, unsendable), results (keys, op, outcome,
     items, error, unconfirmed). The keys of a result are those of the records that are known
-    to be written, or all of them if nothing was; only these must never be sent again.
+    to be written, or all of them if nothing was; only these must never be sent again. A call marked
+    as skipped is counted and not sent.
     """
     stopped = False
     for keys, op, method, payload, unsendable in calls:
+        if op == SKIPPED:
+            yield None, op, SKIPPED, len(keys), None, 0
+            continue
         if stopped:
             yield keys, op, "not_sent", 0, None, 0
             continue
