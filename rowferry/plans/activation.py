@@ -203,7 +203,7 @@ def run_agent(
         raise ValueError("an agent needs a plan before it can run")
     started, run_id, owner = clock(), run_id or uuid.uuid4().hex, f"agent/{spec.agent_id}"
     considered = selected = delivered = 0
-    summary = error = highest = rows = None
+    summary, error, highest, rows, result = None, None, None, None, Delivered()
     try:
         rows, highest = window(source, spec.incremental_field, _state(watermarks, owner, spec))
         scored = stage(used_columns(score(rows), spec, row_key, "score", "reason"), "scores")
@@ -234,6 +234,9 @@ def run_agent(
         "rows_selected": selected,
         "rows_written": delivered if error is None else 0,
         "rows_delivered": delivered,
+        # Sent in a list whose answer does not name them; left out because an earlier run got them through.
+        "rows_unconfirmed": result.unconfirmed,
+        "rows_skipped": result.skipped,
         "selection_summary": summary,
         "error_message": error,
     }

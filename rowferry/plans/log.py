@@ -11,7 +11,7 @@ SYNC_RUN_SCHEMA = (
 AGENT_RUN_SCHEMA = (
     "run_id string, agent_id long, status string, started_at timestamp_ntz, finished_at timestamp_ntz, "
     "rows_considered long, rows_selected long, rows_written long, rows_delivered long, "
-    "selection_summary string, error_message string"
+    "rows_unconfirmed long, rows_skipped long, selection_summary string, error_message string"
 )
 
 

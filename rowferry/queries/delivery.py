@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyarrow.fs import FileType
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from ..files import file_system
 from ..operators.mapping import resolve
 from ..operators.selection import score_weighted
 from ..operators.upsert import idempotency_key
 from ..plans.activation import run_agent, run_sync
 from ..session import staging_path
-from ..sinks import CrmSink, FileSink
+from ..sinks import CrmSink, FileSink, register_crm_stream, stream_rows
 from ..spec import AgentSpec, FieldMap, SyncSpec
-from .registry import query, table
+from .registry import SCHEMAS, query, table
 
 COUNTS = "run int, written bigint, not_found bigint, failed bigint, unconfirmed bigint, skipped bigint"
 
@@ -117,6 +121,52 @@ def deliver_failure(spark, folder):
     return spark.createDataFrame([shown], "status string, records_read bigint, records_written bigint, error_message string")
 
 
+class _Counting:
+    """A stand-in for the destination: it notes every create it accepts, and is down once, at one record amid the others."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def __call__(self, method, url, body, headers, timeout):
+        key = json.loads(body)["fields"]["KEY"]
+        system, root = file_system(self.folder)
+        down = f"{root}/down"
+        if key % 50 == 25 and system.get_file_info(down).type == FileType.NotFound:
+            system.open_output_stream(down).close()
+            return 500, "down"
+        if not hasattr(self, "notes"):
+            self.notes = system.open_output_stream(f"{root}/accepted/{uuid.uuid4().hex}")
+        self.notes.write(f"{key}\n".encode())
+        self.notes.flush()
+        return 200, '{"result":1}'
+
+    def __getstate__(self):
+        return {"folder": self.folder}
+
+
+@query("stream_sink_commit", "SELECT CAST(c_custkey AS VARCHAR) AS key, CAST(1 AS BIGINT) AS times FROM customer")
+def stream_sink_commit(spark, folder):
+    """Customers as a stream of creates into a sink that fails once; after two starts each create has arrived once."""
+    received = staging_path(spark, "received")
+    system, root = file_system(received)
+    system.create_dir(f"{root}/accepted", recursive=True)
+    register_crm_stream(spark, _Counting(received), "crm_counting")
+    maps = (FieldMap("c_custkey", "KEY"), FieldMap("c_name", "NAME"))
+    checkpoint, journal = staging_path(spark, "stream-checkpoint"), staging_path(spark, "journal")
+    for start in (1, 2):
+        stream = spark.readStream.schema(SCHEMAS["customer"]).parquet(f"{folder}/customer*.parquet")
+        key = idempotency_key("customers", [F.col("c_custkey")])
+        rows = stream_rows(stream, resolve(stream, maps), "bitrix24", "contact", key, parallelism=4)
+        writer = rows.writeStream.format("crm_counting").option("checkpointLocation", checkpoint).option("journal", journal)
+        writer = writer.option("type", "bitrix24").option("entity", "contact").option("url", "http://crm.example")
+        try:
+            writer.trigger(availableNow=True).start().awaitTermination()
+        except StreamingQueryException:
+            if start == 2:
+                raise
+    return spark.read.text(f"{received}/accepted").groupBy(F.col("value").alias("key")).agg(F.count(F.lit(1)).alias("times"))
+
+
 @query(
     "agent_none_selected",
     "SELECT 'success' AS status, count(*) AS rows_considered, CAST(0 AS BIGINT) AS rows_selected, CAST(0 AS BIGINT) AS rows_written FROM customer",

@@ -4,8 +4,9 @@ from ..spec import DESTINATION_TYPES
 from .crm import CrmSink, register_crm
 from .delivery import DeliveryError
 from .files import FileSink
+from .stream import register_crm_stream, stream_rows
 
-__all__ = ["CrmSink", "FileSink", "create_sink", "register_crm"]
+__all__ = ["CrmSink", "FileSink", "create_sink", "register_crm", "register_crm_stream", "stream_rows"]
 
 
 def create_sink(type: str, **options) -> CrmSink:

@@ -13,7 +13,7 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.mapping import resolve
 from ..plans.activation import _now, identity, run_sync
 from ..plans.log import RunLog
-from ..session import stage
+from ..session import entries, remove_folder, stage
 from ..sinks.delivery import DeliveryError
 from ..sources.incremental import is_missing_path
 from ..spec import SyncSpec
@@ -50,9 +50,15 @@ class VersionLog:
         versions.write.mode("overwrite").parquet(f"{self._path}/batch={batch}")
 
     def compact(self) -> None:
-        latest = self.latest()
-        if latest is not None:
-            stage(latest, "versions").withColumn("batch", F.lit(-1)).write.mode("overwrite").partitionBy("batch").parquet(self._path)
+        """One row per id. The new folder is complete before the old ones go: what a crash leaves
+        beside it says nothing else, since the greatest version counts."""
+        latest, before = self.latest(), entries(self._spark, self._path)
+        if latest is None:
+            return
+        numbers = [int(name[len("batch=") : -1]) for name in before if name.startswith("batch=")]
+        latest.write.parquet(f"{self._path}/batch={min([0, *numbers]) - 1}")
+        for name in before:
+            remove_folder(self._spark, f"{self._path}/{name}")
 
 
 def _not_older(batch: DataFrame, spec: SyncSpec, versions: VersionLog) -> tuple[DataFrame, DataFrame | None]:

@@ -12,20 +12,20 @@ three methods (for a database: newest is one ORDER BY ... LIMIT 1, a split a pre
 from __future__ import annotations
 
 import datetime as dt
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..files import file_system
+
 Mark = tuple  # (value, key): numbers or texts
 
 SPLIT_ROWS = 1_000_000
@@ -74,14 +74,9 @@ class ParquetTable:
     def __init__(self, path: str, value: str, key: str, split_rows: int = SPLIT_ROWS):
         self.path, self.value, self.key, self.split_rows = path, value, key, split_rows
 
-    def _place(self) -> tuple[pafs.FileSystem, str]:
-        if re.match(r"[a-z][a-z0-9+.-]+:", self.path):
-            return pafs.FileSystem.from_uri(self.path if "://" in self.path else self.path.replace(":", "://", 1))
-        return pafs.LocalFileSystem(), self.path
-
     def _groups(self) -> Iterator[tuple[str, int, int, object, object]]:
         """(file, row group, rows, least value, greatest value); None where there are no statistics."""
-        system, path = self._place()
+        system, path = file_system(self.path)
         try:
             files = sorted(ds.dataset(path, filesystem=system, format="parquet").files)
         except FileNotFoundError:
@@ -100,7 +95,7 @@ class ParquetTable:
 
     def newest(self) -> Mark | None:
         """The greatest (value, key): the row groups that hold the greatest value are read for the keys, two columns of them."""
-        groups, (system, _) = list(self._groups()), self._place()
+        groups, (system, _) = list(self._groups()), file_system(self.path)
         known = [high for *_, high in groups if high is not None]
         best: Mark | None = None
         for file, group, _, _, high in groups:
@@ -132,7 +127,7 @@ class ParquetTable:
 
     def read(self, split: Split, columns: list[str]) -> Iterator[pa.RecordBatch]:
         wanted = list(dict.fromkeys([*columns, self.value, self.key]))
-        system, _ = self._place()
+        system, _ = file_system(self.path)
         for file, groups in split.groups:
             for batch in pq.ParquetFile(file, filesystem=system).iter_batches(row_groups=list(groups), columns=wanted):
                 values = _plain(batch.column(wanted.index(self.value)))

@@ -147,6 +147,19 @@ def test_agent(spark, tmp_path, people):
     assert payloads(spark, sink) == ['{"id":1}', '{"id":3}'] and log.read().count() == 1
 
 
+def test_the_agents_row_has_all_that_happened(spark, tmp_path, people):
+    class Partial:
+        type = "amocrm"
+
+        def deliver(self, *args):
+            return Delivered(written=1, unconfirmed=2, skipped=3)
+
+    log = RunLog(spark, str(tmp_path / "log"), AGENT_RUN_SCHEMA)
+    run_agent(people, agent(), fixed(spark, 0.9, 0.2, 0.5), Partial(), row_key="id", log=log, clock=clock)
+    (row,) = log.read().collect()
+    assert (row["rows_written"], row["rows_delivered"], row["rows_unconfirmed"], row["rows_skipped"]) == (1, 1, 2, 3)
+
+
 def test_agent_without_selected_rows_leaves_the_destination_alone(spark, people):
     sink = Broken(DeliveryError("must not be called"))
     row = run_agent(people, agent(threshold=0.9), fixed(spark, 0.1, 0.1, 0.1), sink, row_key="id", clock=clock)

@@ -74,3 +74,22 @@ def test_other_state_stores_are_refused(spark, tmp_path):
     stream = spark.readStream.format("rate").load().selectExpr("value AS id", "timestamp AS at")
     with pytest.raises(ValueError, match="RocksDB"):
         newest_versions(stream, ["id"], "at")
+
+
+def test_compacting_the_log_of_versions(spark, tmp_path):
+    """What a crash leaves beside the new folder, or two compactions in a row, change nothing."""
+    from rowferry.streaming import VersionLog
+
+    log = VersionLog(spark, str(tmp_path / "log"))
+    log.compact()
+    assert log.latest() is None
+    schema = "id bigint, version timestamp_ntz"
+    log.commit(spark.createDataFrame([(1, at(1)), (2, at(5))], schema), 0)
+    log.commit(spark.createDataFrame([(1, at(3)), (3, at(2))], schema), 1)
+    known = sorted(tuple(r) for r in log.latest().collect())
+    for _ in range(2):
+        log.compact()
+        assert sorted(tuple(r) for r in log.latest().collect()) == known == [(1, at(3)), (2, at(5)), (3, at(2))]
+        assert len(list((tmp_path / "log").glob("batch=*"))) == 1
+    log.commit(spark.createDataFrame([(1, at(2)), (2, at(9))], schema), 0)  # an old batch once more
+    assert {r["id"]: r["version"] for r in log.latest().collect()} == {1: at(3), 2: at(9), 3: at(2)}
