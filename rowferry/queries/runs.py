@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import runs as R
+from ..operators.timeline import latest_before, most_at_once
 from . import standins as S
 from .registry import query, table
 
@@ -232,3 +233,40 @@ def agent_reports(spark, folder):
         F.when(failed & (k % 2 == 0), "model is off").alias("error_message"),
     )
     return R.agent_reports(runs).select("run_id", "report")
+
+
+@query(
+    "runs_served_slot",
+    S.with_ctes(
+        S.RUNS_SQL,
+        """
+slots AS (SELECT DISTINCT sync_id, due_at FROM runs WHERE "trigger" = 'scheduled')""",
+        body="""SELECT r.run_id, r.sync_id, s.due_at AS slot_at, epoch_us(r.started_at) - epoch_us(s.due_at) AS late_us
+FROM runs r ASOF LEFT JOIN slots s ON r.sync_id = s.sync_id AND r.started_at >= s.due_at""",
+    ),
+)
+def runs_served_slot(spark, folder):
+    """The slot each run serves: the latest one of its sync that was due at its start. Slots are told by the scheduled runs."""
+    runs = S.runs(spark, folder)
+    slots = runs.where(F.col("trigger") == "scheduled").select("sync_id", F.col("due_at").alias("slot_at"))
+    served = latest_before(runs.select("run_id", "sync_id", "started_at"), slots, ["sync_id"], "started_at", "slot_at", "slot")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return served.select("run_id", "sync_id", F.col("slot.slot_at").alias("slot_at"), (us("started_at") - us("slot.slot_at")).alias("late_us"))
+
+
+# The oracle counts the runs that are open at the start of each run: pairs of runs.
+@query(
+    "runs_concurrency",
+    S.with_ctes(
+        S.RUNS_SQL,
+        """
+r AS (SELECT sync_id % 10 AS source_id, started_at AS a, finished_at AS b FROM runs WHERE finished_at IS NULL OR finished_at > started_at)""",
+        body="""SELECT source_id, max(n) AS most, min_by(a, (-n, a)) AS first_at
+FROM (SELECT x.source_id, x.a, count(*) AS n FROM (SELECT DISTINCT source_id, a FROM r) x
+      JOIN r y ON y.source_id = x.source_id AND y.a <= x.a AND (y.b > x.a OR y.b IS NULL) GROUP BY ALL) GROUP BY source_id""",
+    ),
+)
+def runs_concurrency(spark, folder):
+    """The greatest number of runs at one time per source; a run that has not finished is open."""
+    runs = S.runs(spark, folder).withColumn("source_id", F.col("sync_id") % 10)
+    return most_at_once(runs, ["source_id"], "started_at", "finished_at")
