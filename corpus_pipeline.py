@@ -6,6 +6,8 @@ of ``documents``. ``run`` writes each stage to the shared folder and reads it ag
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,20 @@ from rowferry.llm.tables import table
 from rowferry.session import stage
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows whose id a stage keeps. Rows without an id have no copies that could be named: they stay."""
-    kept = decisions.where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+def _kept(docs: DataFrame, decide: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows that ``decide(docs, id column)`` keeps. It decides per row, so ids that repeat or are missing
+    would not tell its rows apart: where there are such, rows are numbered in the order of their ids (null last)."""
+    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR doc_id IS NULL")
+    if several.isEmpty():
+        return docs.join(decide(docs, "doc_id").where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    row, place = (next(n for n in (f"_{name}{i}" for i in range(len(taken) + 1)) if n not in taken) for name in ("row", "place"))
+    # The place cuts through many rows of one id.
+    order = [F.col("doc_id").asc_nulls_last(), F.col(place)]
+    ranged = docs.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stage(ranged.drop(place).withColumn(row, F.monotonically_increasing_id()), "rows")
+    kept = decide(rows, row).where("kept").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def keep_told_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +40,12 @@ def keep_told_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup (3)."""
-    return _kept(docs, exact_dedup.exact_duplicates(docs))
+    return _kept(docs, exact_dedup.exact_duplicates)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup (10): one document of each group stays. Five words, similarity 0.8."""
-    return _kept(docs, near_dedup.near_duplicates(docs, words=5, percent=80))
+    return _kept(docs, lambda rows, doc_id: near_dedup.near_duplicates(rows, words=5, percent=80, doc_id=doc_id))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
