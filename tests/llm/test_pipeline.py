@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -66,3 +67,19 @@ def test_stages_return_documents(spark, folder, odd, nothing):
     # Rows without an id stay; of the rest one document of each group.
     kept = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_exact_copies(spark, odd, folder), folder)
     assert kept.columns == odd.columns and None in {r["doc_id"] for r in kept.collect()}
+
+
+def test_repeated_rows_and_rows_without_ids_are_decided_one_by_one(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "one text", 1)] * 3 + [(None, "no id here", 1), (None, "no  id here", 2), (7, "other text", 1), (7, "seventh", 2), (3, "one\ntext", 1)]
+    rows += [(9, long, 1), (9, long + " more", 2), (None, long + " end", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row0 int").withColumn("lang", F.lit("en")).withColumn("source", F.lit(None).cast("string"))
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert exact.columns == docs.columns
+    # One row of each group of equal texts: that with the smallest id.
+    found = sorted((str(r["doc_id"]), " ".join(r["text"].split())) for r in exact.collect())
+    want = [("3", "one text"), ("7", "other text"), ("7", "seventh"), ("9", long), ("9", long + " more"), ("None", "no id here"), ("None", long + " end")]
+    assert found == sorted(want)
+    near = sorted((str(r["doc_id"]), len(r["text"].split())) for r in corpus_pipeline.drop_near_copies(spark, exact, "").collect())
+    assert [n for n in near if n[1] >= 60] == [n for n in near if n[0] == "9"] and len([n for n in near if n[0] == "9"]) == 1
+    assert len(near) == 5
