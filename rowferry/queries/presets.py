@@ -127,8 +127,8 @@ def preset_unknown_noop(spark, folder):
         table(spark, folder, "part"),
         [
             FieldMap("p_partkey", "p_partkey"),
-            FieldMap("p_name", "custom", "concat(first, last)"),
-            FieldMap("p_type", "future", "some_future_preset"),
+            FieldMap("p_name", "custom", "split_name(1)"),
+            FieldMap("p_type", "future", "reverse"),
         ],
     )
 
