@@ -6,8 +6,8 @@ import pytest
 
 from rowferry.queries import QUERIES
 
-# The queries whose work is a caller's Python function or a list cut by Python.
-PYTHON = {"score_batches", "payload_batches"}
+# The queries whose work is a caller's Python function, a list cut by Python, or a running sum along sorted partitions.
+PYTHON = {"score_batches", "payload_batches", "runs_concurrency"}
 
 
 def executed(df):
