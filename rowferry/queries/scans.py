@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import catalog as catalogs
 from ..sources.profile import profile
 from ..sources.relations import preview, scan
+from ..sources.splits import equal_splits, split_of
 from . import standins as S
 from .registry import query, table
 
@@ -189,3 +190,19 @@ UNION ALL SELECT 'c_mktsegment', 'string', count(*), count(*) - count(c_mktsegme
 )
 def profile_table(spark, folder):
     return profile(table(spark, folder, "customer"))
+
+
+@query("scan_equal_splits", "SELECT event_id, CAST(1 AS INTEGER) AS n_splits, true AS is_even FROM events")
+def scan_equal_splits(spark, folder):
+    """Events by user, where a third of all rows is one user's and a ninth has none: the splits that hold each row, and
+    whether the one it is in has at most twice the mean."""
+    key = F.col("event_id")
+    events = table(spark, folder, "events").select(
+        "event_id", F.when(key % 3 == 0, 7).when(key % 9 != 1, F.col("user_id")).cast("bigint").alias("user_id")
+    )
+    plan = equal_splits(events, "user_id", 16, "event_id")
+    held = events.select("event_id", split_of(plan).alias("held"), F.element_at(split_of(plan), 1).alias("split"))
+    sizes = held.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    mean = sum(s.rows for s in plan) / len(plan)
+    even = sizes.select("split", (F.col("rows") <= 2 * mean).alias("is_even"))
+    return held.join(even, "split", "left").select("event_id", F.size("held").alias("n_splits"), F.coalesce("is_even", F.lit(False)).alias("is_even"))
