@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import staging_path
 from ..sources import catalog as catalogs
+from ..sources.daily import DISTINCT_BOUND, FREQUENT_BOUND, RANK_BOUND, DailyProfiles
 from ..sources.profile import profile
 from ..sources.relations import preview, scan
 from ..sources.splits import equal_splits, split_of
@@ -206,3 +208,61 @@ def scan_equal_splits(spark, folder):
     mean = sum(s.rows for s in plan) / len(plan)
     even = sizes.select("split", (F.col("rows") <= 2 * mean).alias("is_even"))
     return held.join(even, "split", "left").select("event_id", F.size("held").alias("n_splits"), F.coalesce("is_even", F.lit(False)).alias("is_even"))
+
+
+_EVENT_COLUMNS = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+
+
+@query(
+    "profile_by_day",
+    " UNION ALL ".join(
+        f"""
+SELECT '{c}' AS column_name, '{kind}' AS data_type, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({c}) AS BIGINT) AS n_null,
+       {f"CAST(min({c}) AS DOUBLE)" if kind != "string" else "CAST(NULL AS DOUBLE)"} AS min_number,
+       {f"CAST(max({c}) AS DOUBLE)" if kind != "string" else "CAST(NULL AS DOUBLE)"} AS max_number,
+       {f"min({c})" if kind == "string" else "CAST(NULL AS VARCHAR)"} AS min_text,
+       {f"max({c})" if kind == "string" else "CAST(NULL AS VARCHAR)"} AS max_text,
+       count(DISTINCT {c}) AS n_distinct, true AS distinct_holds, true AS quantiles_hold, true AS frequent_hold
+FROM events"""
+        for c, kind in _EVENT_COLUMNS.items()
+    ),
+)
+def profile_by_day(spark, folder):
+    """Events profiled day by day, the last day added later, merged from the sketches; and the truth, to which the sketches' bounds are held."""
+    events = table(spark, folder, "events").select(*_EVENT_COLUMNS, F.to_date("ts").alias("day"))
+    last = events.agg(F.max("day")).first()[0]
+    profiles = DailyProfiles(spark, staging_path(spark, "profiles"))
+    profiles.add(events.where(F.col("day") < F.lit(last)), "day")
+    profiles.add(events.where(F.col("day") == F.lit(last)), "day")
+    shares = (0.01, 0.25, 0.5, 0.75, 0.99)
+    merged = profiles.merged(shares=shares)
+
+    cells = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("item"), (F.col(c) if kind != "string" else F.lit(None)).cast("double").alias("number"))
+        for c, kind in _EVENT_COLUMNS.items()
+    ]
+    # One row per value, so that what follows is small; frequent values are combined before they are dealt.
+    values = events.select(F.inline(F.array(*cells))).where("item IS NOT NULL").groupBy("column_name", "item", "number").agg(F.count(F.lit(1)).alias("n"))
+    told = values.join(merged.select("column_name", "quantiles", "frequent"), "column_name")
+    q = [F.col("quantiles")[i] for i in range(len(shares))]
+    listed = F.filter("frequent", lambda x: x["item"] == F.col("item"))
+    truth = told.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n_distinct"),
+        F.sum("n").alias("n_values"),
+        *[F.sum(F.when(F.col("number") < x, F.col("n")).otherwise(0)).alias(f"below{i}") for i, x in enumerate(q)],
+        *[F.sum(F.when(F.col("number") <= x, F.col("n")).otherwise(0)).alias(f"upto{i}") for i, x in enumerate(q)],
+        F.max(F.when(F.size(listed) > 0, F.abs(listed[0]["count"] - F.col("n")))).alias("miscount"),
+        F.max(F.when(F.size(listed) == 0, F.col("n"))).alias("unlisted"),
+        F.min(F.when(F.size(listed) > 0, F.col("n"))).alias("least"),
+    )
+    rank = lambda name, i: F.col(f"{name}{i}") / F.col("n_values")
+    ranks = [(rank("below", i) <= s + RANK_BOUND) & (rank("upto", i) >= s - RANK_BOUND) for i, s in enumerate(shares)]
+    slack = FREQUENT_BOUND * F.col("n_values")
+    # A value that is not listed is no more frequent than those that are, or than what a sketch can miss.
+    rest = F.col("unlisted").isNull() | (F.col("unlisted") <= F.greatest(F.coalesce("least", F.lit(0)) + slack, 2 * slack))
+    within = F.col("approx_distinct").between(F.col("n_distinct") * (1 - DISTINCT_BOUND), F.col("n_distinct") * (1 + DISTINCT_BOUND))
+    return merged.join(truth, "column_name").select(
+        "column_name", "data_type", "n_rows", "n_null", "min_number", "max_number", "min_text", "max_text", "n_distinct",
+        within.alias("distinct_holds"), (F.col("quantiles").isNull() | F.forall(F.array(*ranks), lambda x: x)).alias("quantiles_hold"),
+        ((F.coalesce("miscount", F.lit(0)) <= slack) & rest).alias("frequent_hold"),
+    )
