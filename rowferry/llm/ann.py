@@ -264,11 +264,12 @@ def _joined(graph: DataFrame, projected: DataFrame, dimension: int, kind) -> Dat
     return dealt.repartition("a").sortWithinPartitions("a").mapInArrow(run, _PAIRS)
 
 
-def build_index(rows: DataFrame, results: int = 10) -> Index:
-    """The index over (vec_id, vec); vectors of another than the most frequent dimension are left out."""
-    sizes = rows.groupBy(F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.orderBy(F.desc("n"), "size").limit(1).collect()
-    dimension = top[0]["size"] if top else 0
+def build_index(rows: DataFrame, results: int = 10, dimension: int | None = None) -> Index:
+    """The index over the (vec_id, vec) of one dimension, the most frequent one unless it is given."""
+    if dimension is None:
+        sizes = rows.groupBy(F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+        top = sizes.orderBy(F.desc("n"), "size").limit(1).collect()
+        dimension = top[0]["size"] if top else 0
     nodes = _nodes(rows.where(F.size("vec") == dimension), results + 1)
     entries = [tuple(r) for r in nodes.select("node", "vec").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
     bits = max(0, (nodes.count() // LEAF).bit_length() - 1)
@@ -356,13 +357,19 @@ def nearest_neighbours(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` its nearest other rows.
 
-    Rows that take part: see ``usable``; of these, those of the most frequent dimension. Rows of equal
-    vectors are all candidates. With fewer candidates than ``results`` a query gets all that the search
-    reaches. Other columns are not read. An empty table gives an empty result.
+    Rows that take part: see ``usable``. Vectors of several dimensions are searched apart, each among those of its own, with
+    an index per dimension that a query has. Rows of equal vectors are all candidates. With fewer candidates than ``results`` a
+    query gets all that the search reaches. Other columns are not read. An empty table gives an empty result.
     """
     rows = stage(usable(vectors, vec_id, embedding), "vectors")
-    index = build_index(rows, results)
-    asked = rows.where((F.col("vec_id") % every == 0) & (F.size("vec") == index.dimension))
-    own = index.nodes.select(F.col("node").alias("start"), "vec")
-    queries = asked.join(own, "vec").select(F.col("vec_id").alias("query"), F.col("vec").alias("goal"), "start")
-    return search(index, queries, results)
+    is_query, size = F.col("vec_id") % every == 0, F.size("vec")
+    asked_for = rows.groupBy(size.alias("size")).agg(F.max(is_query).alias("asked")).where("asked")
+    out = None
+    for dimension in sorted(r["size"] for r in asked_for.collect()) or [0]:
+        alike = rows.where(size == dimension)
+        index = build_index(alike, results, dimension)
+        own = index.nodes.select(F.col("node").alias("start"), "vec")
+        queries = alike.where(is_query).join(own, "vec").select(F.col("vec_id").alias("query"), F.col("vec").alias("goal"), "start")
+        found = search(index, queries, results)
+        out = found if out is None else out.union(found)
+    return out

@@ -81,6 +81,20 @@ def test_copies_ties_and_unusable_rows(spark):
     assert [i for _, i, _ in found[40]] == list(range(41, 51)) and found[40][0][2] == 1.0
 
 
+def test_dimensions_are_searched_apart(spark):
+    random = np.random.default_rng(8)
+    vectors = {i: random.standard_normal(2 if i % 61 else 3).astype(np.float32) for i in range(1, 400)}
+    vectors |= {1000 + i: random.standard_normal(7).astype(np.float32) for i in range(1, 9)} | {2000: np.ones(1, np.float32)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id bigint, embedding array<float>")
+    found = by_query(ann.nearest_neighbours(df, every=10))
+    asked = {i for i in vectors if i % 10 == 0}
+    assert {61 * k for k in (1, 2)} & set(vectors) and set(found) == asked - {2000}  # 2000 is alone in its dimension
+    for query, listed in found.items():
+        alike = [i for i in vectors if len(vectors[i]) == len(vectors[query])]
+        best, _ = brute(np.array(alike), np.array([vectors[i] for i in alike], dtype=np.float64), query)
+        assert [i for _, i, _ in listed] == best
+
+
 def test_few_and_no_candidates(spark):
     schema = "vec_id bigint, embedding array<float>"
     few = by_query(ann.nearest_neighbours(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [4.0])], schema)))
