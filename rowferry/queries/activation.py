@@ -14,8 +14,9 @@ from ..session import staging_path
 from ..sinks.files import FileSink
 from ..sources.incremental import newer_than
 from ..spec import AgentSpec, FieldMap, SyncSpec
-from ..streaming import ParquetTable, VersionLog, deduplicate, newest_versions, polled, stream_sync
+from ..streaming import ParquetTable, VersionLog, accounted, closed_until, deduplicate, newest_versions, polled, run_windows, streaks, stream_sync
 from ..streaming.versions import ROCKSDB
+from ..streaming.windows import MERGE_EARLY
 from .registry import SCHEMAS, query, table
 
 ORDERS = SyncSpec(
@@ -203,3 +204,78 @@ def stream_polled(spark, folder):
         writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
         writer.trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(events.schema).parquet(out)
+
+
+# Two thirds or so of the runs come first: those up to the middle of the time, but for every tenth. All others come later.
+_ARRIVALS_SQL = """
+e AS (SELECT event_id, user_id, event_type, ts, epoch_us(ts) AS us FROM events),
+m AS (SELECT min(us) + (max(us) - min(us)) // 2 AS middle, max(us) // 1000 * 1000 - 86400000000::BIGINT AS mark FROM e),
+w AS (SELECT e.*, e.us // 21600000000 * 21600000000 + 21600000000 AS ends, event_id % 10 <> 0 AND us <= middle AS first, mark FROM e, m),
+f AS (SELECT max(us) // 1000 * 1000 - 86400000000::BIGINT AS mark FROM w WHERE first)"""
+
+
+def _arrivals(spark, folder):
+    """The runs in two arrivals."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(us), F.max(us)).first()
+    if low is None:
+        return events, [events]
+    first = (F.col("event_id") % 10 != 0) & (us <= low + (high - low) // 2)
+    return events, [events.where(first), events.where(~first)]
+
+
+@query(
+    "stream_run_windows",
+    f"""
+WITH {_ARRIVALS_SQL}
+SELECT make_timestamp(ends - 21600000000) AS window_start,
+       CAST(count(*) FILTER (ends <= w.mark AND (first OR ends > f.mark)) AS BIGINT) AS n_on_time,
+       CAST(count(*) FILTER (ends <= w.mark AND NOT first AND ends <= f.mark) AS BIGINT) AS n_late,
+       CAST(count(*) FILTER (ends > w.mark) AS BIGINT) AS n_open,
+       CASE WHEN count(*) FILTER (ends <= w.mark AND (first OR ends > f.mark)) > 0
+            THEN CAST(count(*) FILTER (ends <= w.mark AND (first OR ends > f.mark) AND event_type = 'error') AS BIGINT) END AS n_failed
+FROM w, f GROUP BY ends""",
+)
+def stream_run_windows(spark, folder):
+    """Runs per six hours, closed a day later. Every tenth run of the first half comes with the second: most of these are late."""
+    events, arrivals = _arrivals(spark, folder)
+    files, out, checkpoint = staging_path(spark, "runs"), staging_path(spark, "windows"), staging_path(spark, "windows-checkpoint")
+    failed = F.count(F.when(F.col("event_type") == "error", 1)).alias("n_failed")
+    for arrived in arrivals:
+        arrived.write.mode("append").parquet(files)
+        stream = spark.readStream.schema(events.schema).parquet(files)
+        counted = run_windows(stream, "ts", "6 hours", "1 day", [F.count(F.lit(1)).alias("n"), failed])
+        writer = counted.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        running = writer.trigger(availableNow=True).start(out)
+        running.awaitTermination()
+    windows = spark.read.schema(counted.schema).parquet(out)
+    told = accounted(spark.read.schema(events.schema).parquet(files), windows, "ts", "6 hours", closed_until(running))
+    return told.join(windows.select("window_start", "n_failed"), "window_start", "left")
+
+
+@query(
+    "stream_failure_streaks",
+    """
+WITH e AS (SELECT user_id, ts, epoch_us(ts) AS us FROM events WHERE event_type = 'error'),
+m AS (SELECT max(us) // 1000 * 1000 - 86400000000::BIGINT AS mark FROM e),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 172800000000 THEN 0 ELSE 1 END AS new FROM e),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS streak FROM g)
+SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n
+FROM s, m GROUP BY user_id, streak, mark HAVING max(us) + 172800000000 <= mark""",
+)
+def stream_failure_streaks(spark, folder):
+    """Failed runs of each sync with less than two days between them, in two arrivals by time; streaks that are over."""
+    spark = spark.newSession()
+    spark.conf.set(MERGE_EARLY, "true")
+    failed = table(spark, folder, "events").where("event_type = 'error'").select("user_id", "ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    middle = failed.agg(F.percentile_approx(us, 0.5)).first()[0]
+    files, out, checkpoint = staging_path(spark, "failed"), staging_path(spark, "streaks"), staging_path(spark, "streaks-checkpoint")
+    for arrived in (failed,) if middle is None else (failed.where(us <= middle), failed.where(us > middle)):
+        arrived.write.mode("append").parquet(files)
+        stream = spark.readStream.schema(failed.schema).parquet(files)
+        found = streaks(stream, "ts", "2 days", "1 day", ("user_id",))
+        writer = found.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
