@@ -9,7 +9,7 @@ with the shortest code of the whole text wins.
 
 With frozen counts the cost of a byte depends on the ``ORDER`` bytes before it only, so a text
 is a sequence of windows of ``ORDER + 1`` bytes; the costs of windows are worked out for
-many at a time and remembered in a table of fixed size.
+many at a time and remembered, in double precision, in a table of fixed size.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ ORDER = 4
 UNKNOWN = "und"
 SAMPLE_DOCS = 400  # per language: the bound of the training sample
 SAMPLE_BYTES = 1 << 16  # a longer document is not taken into the sample
-TABLE_BITS = 20
+SAMPLE_TOTAL = 1 << 28  # bytes of all languages together
+LOOKED_AT = 3 * SAMPLE_DOCS  # per language: about so many rows with small hashes are looked at first
+TABLE_COSTS = 1 << 22  # remembered costs, of all languages together
 BLOCK_BYTES = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,22 +107,25 @@ class LanguageModel:
         return self.__dict__ | {"_keys": None, "_costs": None}
 
     def _bits(self, keys: np.ndarray) -> np.ndarray:
-        return np.stack([tree.bits(keys) for tree in self.trees], axis=1).astype(np.float32)
+        return np.stack([tree.bits(keys) for tree in self.trees], axis=1)
 
     def window_costs(self, keys: np.ndarray) -> np.ndarray:
         """(windows, languages): bits."""
         if self._keys is None:
+            # As many slots as keep the table at its size, a power of two.
+            table_bits = max(TABLE_COSTS // len(self.languages), 2).bit_length() - 1
+            self._shift = np.uint64(64 - table_bits)
             # No window of a text is all ones: its last byte would not be UTF-8.
-            self._keys = np.full(1 << TABLE_BITS, ~np.uint64(0))
-            self._costs = np.zeros((1 << TABLE_BITS, len(self.languages)), dtype=np.float32)
-        slot = ((keys * _MIX) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            self._keys = np.full(1 << table_bits, ~np.uint64(0))
+            self._costs = np.zeros((1 << table_bits, len(self.languages)))
+        slot = ((keys * _MIX) >> self._shift).astype(np.int64)
         hit = self._keys[slot] == keys
         costs = self._costs[slot]
         if not hit.all():
             missing, where = np.unique(keys[~hit], return_inverse=True)
             bits = self._bits(missing)
             costs[~hit] = bits[where]
-            place = ((missing * _MIX) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            place = ((missing * _MIX) >> self._shift).astype(np.int64)
             self._keys[place], self._costs[place] = missing, bits
         return costs
 
@@ -132,7 +137,7 @@ class LanguageModel:
         def flush():
             nonlocal block, owner, size
             if block:
-                costs = self.window_costs(np.concatenate(block)).astype(np.float64)
+                costs = self.window_costs(np.concatenate(block))
                 starts = np.cumsum([0, *map(len, block[:-1])])
                 np.add.at(total, owner, np.add.reduceat(costs, starts, axis=0))
             block, owner, size = [], [], 0
@@ -164,21 +169,57 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _sampled(rows: DataFrame, labelled: dict[str, int]) -> dict[str, list[int]]:
+    """Ids of the sample per language, those with the smallest hashes first.
+
+    Tasks first leave out what lies above a hash below which some ``LOOKED_AT`` of a language's rows are
+    expected, so few rows of a language meet. Where too few of them are usable, that language is looked at
+    again with a higher hash, in the end with all its rows; what is chosen does not depend on it.
+    """
+    by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen: dict[str, list[int]] = {}
+    wanted, open_ = LOOKED_AT, labelled
+    while open_:
+        highest = {name: min((1 << 63) - 1, (wanted << 64) // n - (1 << 63)) for name, n in open_.items()}
+        entries = [F.lit(value) for entry in highest.items() for value in entry]
+        few = (
+            rows.withColumn("hash", F.xxhash64("doc_id"))
+            .where(F.col("hash") <= F.element_at(F.create_map(*entries), F.col("lang")))
+            # Of a repeated id one row is left, before the shuffle.
+            .groupBy("lang", "hash", "doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+            .withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_DOCS)
+        )
+        found: dict[str, list[tuple[int, int, int]]] = {name: [] for name in open_}
+        for row in few.select("lang", "n", "doc_id", "size").collect():
+            found[row["lang"]].append((row["n"], row["doc_id"], row["size"]))
+        for name, places in found.items():
+            budget = SAMPLE_TOTAL // len(labelled)
+            chosen[name] = []
+            for _, doc_id, size in sorted(places):
+                budget -= size
+                if chosen[name] and budget < 0:
+                    break
+                chosen[name].append(doc_id)
+        open_ = {n: open_[n] for n in open_ if len(found[n]) < SAMPLE_DOCS and highest[n] < (1 << 63) - 1}
+        wanted *= 16
+    return chosen
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER) -> LanguageModel:
     """The model of the labelled documents that are not held out.
 
     A sample of ``SAMPLE_DOCS`` documents per language (those with the smallest hash of the id) of at
-    most ``SAMPLE_BYTES`` each goes to the driver; that bounds the model, whatever the table's
+    most ``SAMPLE_BYTES`` each goes to the driver, of many languages fewer, so that all together have
+    ``SAMPLE_TOTAL`` bytes (but one document per language); that bounds the model, whatever the table's
     size. Texts without a letter are not trained on. Without labels there are no languages.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(
+    labelled = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
-        & (F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}")
     )
-    # Ids first: only the chosen texts leave their partitions.
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_DOCS)
-    ids = sorted({row["doc_id"] for row in chosen.select("doc_id").collect()})
+    rows = labelled.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}"))
+    # Ids first: only the chosen texts leave their partitions. The counts read no texts.
+    counts = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().collect()}
+    ids = sorted({doc_id for of_language in _sampled(rows, counts).values() for doc_id in of_language})
     samples: dict[str, list[bytes]] = {}
     # One row per id, however often the table repeats it.
     once = rows.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))

@@ -43,7 +43,7 @@ def test_code_lengths_are_exact():
     bits = model.code_lengths(texts)
     for i, text in enumerate(texts):
         for j, name in enumerate(model.languages):
-            assert math.isclose(bits[i, j], brute_bits(samples[name], text, 3), rel_tol=1e-5)
+            assert math.isclose(bits[i, j], brute_bits(samples[name], text, 3), rel_tol=1e-12)
     again = model.code_lengths(texts)  # from the table of remembered windows
     assert np.allclose(bits, again)
 
@@ -93,3 +93,32 @@ def test_without_labels_nothing_is_told(odd, nothing):
     model = language.train(nothing)
     assert {r["lang_pred"] for r in language.identify(odd, model).collect()} == {"und"}
     assert language.accepted(odd, model).count() == 0
+
+
+def test_sample_is_the_same_however_few_rows_are_looked_at_first(spark, monkeypatch):
+    """Ids repeat, most rows of one language cannot be used; what is chosen is what sorting all rows gives."""
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 7)
+    rows = [(i % 300, "en", f"some words {i % 300}") for i in range(900)] + [(i, "fr", "1 2" if i % 40 else f"mots {i}") for i in range(1000, 1800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(5)
+    usable = docs.where(F.col("text").rlike("[a-z]")).select("doc_id", "lang", "text").distinct()
+    hashes = sorted((r["h"], r["doc_id"], r["lang"]) for r in usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect())
+    expected = {name: [i for _, i, of in hashes if of == name][:7] for name in ("en", "fr")}
+    for first in (1, 20, 10**6):
+        monkeypatch.setattr(language, "LOOKED_AT", first)
+        assert language._sampled(usable, {"en": 900, "fr": 800}) == expected
+
+
+def test_total_of_the_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"l{i % 3}", "word " * 20) for i in range(300)], "doc_id bigint, lang string, text string")
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 3 * 450)
+    assert {len(ids) for ids in language._sampled(docs, {f"l{i}": 100 for i in range(3)}).values()} == {4}
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 1)
+    assert len(language.train(docs).languages) == 3
+
+
+def test_many_languages_share_the_table_of_costs(monkeypatch):
+    samples = {f"l{i}": [f"text {i}".encode()] for i in range(40)}
+    plain = language.LanguageModel(samples).code_lengths([b"text 7 and more text"])
+    monkeypatch.setattr(language, "TABLE_COSTS", 64)
+    model = language.LanguageModel(samples)
+    assert np.allclose(model.code_lengths([b"text 7 and more text"]), plain, rtol=1e-12) and model._costs.size <= 80
