@@ -7,7 +7,7 @@ magic lies in its range and reads the last one to its end. A candidate is a
 record if its first inflated bytes are a WARC header; the magic may also
 occur inside compressed data, so a member that has not ended yet goes on with the
 next candidate, and so does a candidate that is too short to tell. If such a member
-also crosses a range, its parts are joined by a second, small step (usually over no rows).
+also crosses a range, its parts are joined by a second, small step (usually over no rows), each member by itself.
 
 Writer: one gzip member per record, written with the text sink. The sink adds a
 line separator after each row; the last byte of a member is the highest byte
@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import stage
 
@@ -283,8 +284,23 @@ def _batches(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(chunk, schema=_ARROW)
 
 
+def _by_member(parts: DataFrame) -> DataFrame:
+    """Parts with ``member``: the range whose tail begins the member that a part may belong to, -1 without one.
+
+    A tail belongs to its own range, heads to the latest range before theirs that has a tail. Only
+    ranges are put in order per file (a row for each that has parts), not the bytes of parts.
+    """
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        parts.groupBy("path", "start").agg(F.bool_or(F.col("kind") == "tail").alias("tailed"))
+        .select("path", "start", F.max(F.when(F.col("tailed"), F.col("start"))).over(earlier).alias("earlier"))
+    )
+    member = F.when(F.col("kind") == "tail", F.col("start")).otherwise(F.coalesce("earlier", F.lit(-1)))
+    return parts.join(ranges, ["path", "start"]).withColumn("member", member).drop("earlier")
+
+
 def _joined(parts: pa.Table, payloads: bool) -> pa.Table:
-    """The members of one file that cross ranges. A range has at most one tail, after its heads."""
+    """The members of one file, or of one tail and its heads, that cross ranges. A range has at most one tail, after its heads."""
     rows, chain = [], _Chain()
     order = sorted(parts.to_pylist(), key=lambda r: (r["start"], r["kind"] == "tail", r["number"]))
     for part in [*order, None]:
@@ -330,7 +346,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
     parsed = stage(lines.mapInArrow(parse, _PARSED), "warc-records")
     fields = ["record_type", "record_id", "refers_to", "url", "payload_bytes", "payload_digest", "payload", "path", "error"]
-    crossing = parsed.where("kind <> 'record'").groupBy("path").applyInArrow(lambda rows: _joined(rows, payloads), _PARSED)
+    parts = _by_member(parsed.where("kind <> 'record'"))
+    crossing = parts.groupBy("path", "member").applyInArrow(lambda rows: _joined(rows, payloads), _PARSED)
     return parsed.where("kind = 'record'").union(crossing).select(*fields)
 
 

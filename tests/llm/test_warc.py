@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,29 @@ def test_magic_before_the_header_is_told(chance):
         assert sorted(r["payload"] for r in found) == sorted(payloads)
 
 
+def test_parts_of_each_member_are_joined_apart(spark):
+    random_ = random.Random(5)
+    members, parts = [], []
+    for file in ("f", "g"):
+        archive, starts = b"", []
+        for i in range(60):
+            payload = bytes(random_.randrange(256) for _ in range(random_.randrange(400))) + warc.MAGIC * 3
+            starts.append(len(archive))
+            archive += warc.member_bytes(warc.record_bytes(i, "u", payload, None, False, "2024-01-01T00:00:00Z"))
+        cut = [(file, start, data) for _, start, data in _cut(archive, starts, random_, 0.8)]
+        parts += [r for r in warc._records(cut, True) if r["kind"] != "record"]
+    table = pa.Table.from_pylist(parts, schema=warc._ARROW)
+    dealt = warc._by_member(spark.createDataFrame(table.to_pandas(), warc._PARSED).repartition(7)).toPandas()
+    assert len(dealt) == len(parts)
+    for _, rows in dealt.groupby(["path", "member"]):
+        # Groups are small: one tail at most, and the heads up to the next one.
+        assert rows[rows.kind == "tail"].start.nunique() <= 1
+        members += warc._joined(pa.Table.from_pandas(rows[[f.name for f in warc._ARROW]], schema=warc._ARROW, preserve_index=False), True).to_pylist()
+    whole = [r for file in ("f", "g") for r in warc._joined(table.filter(pa.compute.equal(table["path"], file)), True).to_pylist()]
+    key = lambda r: (r["path"], r["start"], r["record_id"] or "", r["error"] or "")
+    assert len(whole) > 20 and sorted(members, key=key) == sorted(whole, key=key)
+
+
 def test_a_member_with_the_magic_in_its_head(spark, tmp_path):
     folder = tmp_path / "w"
     folder.mkdir()
