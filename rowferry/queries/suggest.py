@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.assignment import STEPS, assigned_pairs
 from ..operators.replies import parse_pairs
 from ..operators.spelling import near_names, suggest_by_edit
 from ..operators.suggest import pairs_to_apply, suggest_by_name, validate_pairs
@@ -174,3 +175,48 @@ QUALIFY row_number() OVER (PARTITION BY mapping_id, destination_field ORDER BY d
 )
 def suggest_by_edit_query(spark, folder):
     return suggest_by_edit(*_spelled(spark, folder))
+
+
+# The oracle tries all assignments of a mapping of eight columns and eight fields, keeping the best per set of fields
+# in use; which pairs are chosen may differ among equally good ones, so their sums are compared.
+@query(
+    "suggest_assigned",
+    """
+WITH RECURSIVE named AS (
+  SELECT p_partkey // 16 AS mapping_id, p_partkey % 2 = 0 AS is_source, list_append(string_split(p_name, ' '), p_type) AS words FROM part),
+s AS (SELECT mapping_id, words, row_number() OVER (PARTITION BY mapping_id ORDER BY words) AS i
+      FROM (SELECT DISTINCT mapping_id, words FROM named WHERE is_source)),
+d AS (SELECT mapping_id, words, row_number() OVER (PARTITION BY mapping_id ORDER BY words) - 1 AS place
+      FROM (SELECT DISTINCT mapping_id, words FROM named WHERE NOT is_source)),
+common AS (SELECT mapping_id, i, place, len(list_intersect(s.words, d.words)) AS n FROM s JOIN d USING (mapping_id)),
+choices AS (
+  SELECT mapping_id, i, 1 << place AS field, CAST(round(n::DOUBLE / (6 - n) * 1000000) AS BIGINT) * 64 + 1 AS worth FROM common WHERE n > 0
+  UNION ALL SELECT mapping_id, i, 0, 0 FROM s),
+best AS (
+  SELECT DISTINCT mapping_id, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS worth FROM s
+  UNION ALL
+  SELECT b.mapping_id, c.i, b.used | c.field, max(b.worth + c.worth)
+  FROM best b JOIN choices c ON c.mapping_id = b.mapping_id AND c.i = b.i + 1 AND b.used & c.field = 0
+  GROUP BY 1, 2, 3)
+SELECT mapping_id, max(worth) % 64 AS pairs, max(worth) % 64 * 2 AS names_used, max(worth) // 64 AS total
+FROM best GROUP BY mapping_id HAVING max(worth) > 0
+""",
+)
+def suggest_assigned(spark, folder):
+    words = F.array_append(F.split("p_name", " "), F.col("p_type"))
+    named = table(spark, folder, "part").select(
+        F.expr("p_partkey div 16").alias("mapping_id"), (F.col("p_partkey") % 2 == 0).alias("is_source"), words.alias("words")
+    ).distinct()
+    left = named.where("is_source").select("mapping_id", F.array_join("words", "_").alias("source_field"), F.explode("words").alias("word"))
+    right = named.where("NOT is_source").select(
+        "mapping_id", F.upper(F.array_join("words", "-")).alias("destination_field"), F.explode("words").alias("word")
+    )
+    n = F.count("*")
+    pairs = left.join(right, ["mapping_id", "word"]).groupBy("mapping_id", "source_field", "destination_field").agg(
+        (n.cast("double") / (6 - n)).alias("confidence")
+    )
+    return assigned_pairs(pairs).groupBy("mapping_id").agg(
+        F.count("*").alias("pairs"),
+        (F.count_distinct("source_field") + F.count_distinct("destination_field")).alias("names_used"),
+        F.sum(F.round(F.col("confidence") * STEPS).cast("long")).alias("total"),
+    )
