@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +14,8 @@ from ..session import stage
 STEPS = 1_000_000
 # A mapping of at most so many pairs is settled inside one task.
 TASK_PAIRS = 1 << 20
+# About so many pairs of small mappings bid in the same rounds of a task.
+BLOCK_PAIRS = 1 << 14
 # Each phase divides the least raise of a bid by this.
 FINER = 8
 
@@ -30,7 +32,7 @@ def assigned_pairs(pairs: DataFrame, owner: str = "mapping_id", steps: int = STE
     much as it likes it better than the second, and who is outbid bids again. To let names stay
     without a partner, the pairs are doubled: a mirrored copy has the sides exchanged, and each name may take
     its own mirror image for nothing. With whole weights times (names + 1) and a last raise of 1 the outcome is exact.
-    Mappings meet by owner; one of more than ``task_pairs`` pairs, which is more than a task should
+    Small mappings bid in blocks of about ``BLOCK_PAIRS`` pairs inside tasks; one of more than ``task_pairs`` pairs, which is more than a task should
     hold, runs the same rounds as joins.
     """
     names = [owner, "source_field", "destination_field"]
@@ -49,28 +51,32 @@ def assigned_pairs(pairs: DataFrame, owner: str = "mapping_id", steps: int = STE
     sized = weighed.alias("w").join(counts.alias("c"), F.col(f"w.{owner}").eqNullSafe(F.col(f"c.{owner}"))).select("w.*", "_pairs", "_names")
     # A step outweighs any number of pairs; each pair counts one besides.
     weight = ((F.col("w") * F.col("_names") + 1) * (F.col("_names") + 1)).alias("weight")
-    small = sized.where(F.col("_pairs") <= task_pairs).select(*names, "confidence", weight)
-    chosen = small.groupBy(owner).applyInPandas(_settle, small.drop("weight").schema)
-    large = sized.where(F.col("_pairs") > task_pairs).select(*names, "confidence", weight)
-    if large.isEmpty():
-        return chosen
-    return chosen.union(_settle_by_joins(large, owner))
-
-
-def _settle(pairs: pd.DataFrame) -> pd.DataFrame:
-    """The chosen pairs of one mapping."""
-    pairs = pairs.sort_values(["source_field", "destination_field"], ignore_index=True)
-    source, sources = pd.factorize(pairs["source_field"])
-    destination, destinations = pd.factorize(pairs["destination_field"])
-    weight, s, d = pairs["weight"].to_numpy(), len(sources), len(destinations)
+    sized = sized.select(*names, "confidence", weight, _owner_key(owner), "_pairs")
+    small, large = sized.where(F.col("_pairs") <= task_pairs).drop("_pairs"), sized.where(F.col("_pairs") > task_pairs).drop("_pairs")
+    blocks = weighed.count() // BLOCK_PAIRS + 1
+    chosen = small.groupBy(F.pmod(F.xxhash64("_owner"), F.lit(blocks))).applyInArrow(_settle, small.drop("weight", "_owner").schema)
+    return chosen if large.isEmpty() else chosen.union(_settle_by_joins(large))
+
+
+def _owner_key(owner: str) -> Column:
+    """A text key, so that a null owner joins like any other."""
+    return F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("")).alias("_owner")
+
+
+def _settle(pairs: pa.Table) -> pa.Table:
+    """The chosen pairs of some mappings."""
+    frame = pairs.select(["_owner", "source_field", "destination_field", "weight"]).to_pandas()
+    source = frame.groupby(["_owner", "source_field"]).ngroup().to_numpy()
+    destination = frame.groupby(["_owner", "destination_field"]).ngroup().to_numpy()
+    weight, s, d = frame["weight"].to_numpy(), source.max() + 1, destination.max() + 1
     # Bidders: sources, then mirrored destinations. Things: destinations, then mirrored sources.
     own_source, own_destination = np.arange(s), np.arange(d)
     bidder = np.concatenate([source, s + destination, own_source, s + own_destination])
     thing = np.concatenate([destination, d + source, d + own_source, own_destination])
     worth = np.concatenate([weight, weight, np.zeros(s + d, dtype=np.int64)])
-    order = np.argsort(bidder, kind="stable")
+    order = np.lexsort((thing, bidder))
     gets = auction(bidder[order], thing[order], worth[order])
-    return pairs[gets[source] == destination].drop(columns="weight")
+    return pairs.filter(pa.array(gets[source] == destination)).drop_columns(["weight", "_owner"])
 
 
 def auction(bidder: np.ndarray, thing: np.ndarray, worth: np.ndarray) -> np.ndarray:
@@ -102,17 +108,15 @@ def auction(bidder: np.ndarray, thing: np.ndarray, worth: np.ndarray) -> np.ndar
         raise_ = max(raise_ // FINER, 1)
 
 
-def _settle_by_joins(pairs: DataFrame, owner: str) -> DataFrame:
+def _settle_by_joins(pairs: DataFrame) -> DataFrame:
     """The chosen pairs of large mappings; all of them bid in the same rounds, each round is staged."""
     source, destination = F.col("source_field"), F.col("destination_field")
-    # A text key, so that a null owner joins like any other.
-    key = F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("")).alias("_owner")
 
     def node(kind: str, name: Column) -> Column:
         return F.concat(F.lit(kind), name)
 
     edges = pairs.select(
-        key,
+        "_owner",
         F.inline(
             F.array(
                 *[
@@ -157,5 +161,5 @@ def _settle_by_joins(pairs: DataFrame, owner: str) -> DataFrame:
             break
         raise_ = max(raise_ // FINER, 1)
     taken = held.select("_owner", F.col("bidder").alias("_source"), F.col("thing").alias("_destination"))
-    marked = pairs.select(*pairs.columns, key, node("s", source).alias("_source"), node("d", destination).alias("_destination"))
-    return marked.join(taken, ["_owner", "_source", "_destination"], "left_semi").select(*[c for c in pairs.columns if c != "weight"])
+    marked = pairs.select("*", node("s", source).alias("_source"), node("d", destination).alias("_destination"))
+    return marked.join(taken, ["_owner", "_source", "_destination"], "left_semi").select(*[c for c in pairs.columns if c not in ("weight", "_owner")])
