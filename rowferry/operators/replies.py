@@ -36,8 +36,9 @@ def parse_scores(replies: DataFrame, reply: str = "reply", batch_len: str | None
     judged = F.filter(F.transform(looked_at, judge), lambda x: x["i"].isNotNull() & x["s"].isNotNull())
 
     def last(items: Column, i: Column) -> Column:
-        of_row = F.filter(items, lambda x: x["i"] == i)
-        return F.struct(i.cast("int").alias("i"), F.try_element_at(of_row, F.lit(-1)).alias("item"))
+        # The items are the last ones first; place 0 of an index that is not there gives null.
+        at = F.array_position(items["index"], i.cast("bigint")) - 1
+        return F.struct(i.alias("i"), F.get(items["item"], at.cast("int")).alias("item"))
 
     def place(x: Column) -> Column:
         scored = x["item"].isNotNull()
@@ -49,11 +50,12 @@ def parse_scores(replies: DataFrame, reply: str = "reply", batch_len: str | None
 
     # An empty batch has no rows; sequence(0, -1) would count down.
     places = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
-    # The one-element array makes the judged items a lambda variable: worked out
-    # once per reply, not once per row of the batch.
-    rows = F.transform(
-        F.array(judged), lambda items: F.transform(F.transform(places, lambda i: last(items, i)), place)
+    # The one-element arrays make the judged items, and then their indices, lambda variables:
+    # worked out once per reply, not once per row of the batch.
+    looked_up = F.transform(
+        F.array(F.reverse(judged)), lambda items: F.struct(F.transform(items, lambda x: x["i"]).alias("index"), items.alias("item"))
     )
+    rows = F.transform(looked_up, lambda items: F.transform(F.transform(places, lambda i: last(items, i)), place))
     # The outer form of inline keeps Catalyst from deriving a "not empty" filter,
     # which would parse every reply a second time.
     return (
