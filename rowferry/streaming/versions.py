@@ -6,45 +6,73 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ID, _VERSION, _TIME = "_record", "_sequence", "_event_time"
+# Records share so many keys of state. A checkpoint belongs to one number: another number needs a new one.
+SLOTS = 1 << 12
+_ID, _VERSION, _TIME, _SLOT = "_record", "_sequence", "_event_time", "_slot"
+
+
+def _packed(versions: dict[str, int]) -> bytes:
+    batch = pa.record_batch([pa.array(versions.keys(), pa.string()), pa.array(versions.values(), pa.int64())], ["id", "version"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> dict[str, int]:
+    table = pa.ipc.open_stream(packed).read_all()
+    return dict(zip(table["id"].to_pylist(), table["version"].to_pylist()))
 
 
 class _Newest(StatefulProcessor):
-    """Keeps the greatest version per record until the watermark has passed it."""
+    """Keeps the greatest version of each record of a slot until the watermark has passed it."""
 
     def __init__(self, columns: list[str]):
         self._columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._sent = handle.getValueState("sent", "version bigint")
+        # ``expires`` is the time of the slot's timer.
+        self._sent = handle.getValueState("slot", "versions binary, expires bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self._sent.get()[0] if self._sent.exists() else None
-        best, newest = None, known
+        packed, expires = self._sent.get() or (None, None)
+        known = _unpacked(packed) if packed is not None else {}
+        kept, brought = [], {}  # rows newer than all before; the last frame that had such a row of a record
         for frame in rows:
             # By place: names that are no Python names do not arrive.
-            versions = frame.iloc[:, len(self._columns) + 1].to_numpy()
-            at = versions.argmax()
-            version = int(versions[at])
-            if newest is None or version > newest:
-                best, newest = frame.iloc[[at]], version
-        if best is None:
+            versions, newer = frame.iloc[:, -2].tolist(), {}
+            for at, record in enumerate(frame.iloc[:, -3].tolist()):
+                if record not in known or versions[at] > known[record]:
+                    known[record], newer[record] = versions[at], at
+            if newer:
+                kept.append((list(newer), frame.iloc[list(newer.values()), 1:-3].set_axis(self._columns, axis=1)))
+                brought.update(dict.fromkeys(newer, len(kept) - 1))
+        if not kept:
             return
-        for timer in self._handle.listTimers():
-            self._handle.deleteTimer(timer)
-        self._sent.update((newest,))
         # Rows behind the watermark do not come in, so a version it has passed needs no state.
-        self._handle.registerTimer(newest // 1000 + 1)
-        yield best.iloc[:, : len(self._columns)].set_axis(self._columns, axis=1)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        known = {record: version for record, version in known.items() if version >= passed}
+        until = max(known.values()) // 1000 + 1 if known else None
+        if expires != until:
+            if expires is not None:
+                self._handle.deleteTimer(expires)
+            if until is not None:
+                self._handle.registerTimer(until)
+        if known:
+            self._sent.update((_packed(known), until))
+        else:
+            self._sent.clear()
+        for number, (records, frame) in enumerate(kept):
+            yield frame[[brought[record] == number for record in records]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # The timer is that of the slot's newest version, so all others have been passed too.
         self._sent.clear()
         return iter(())
 
@@ -72,7 +100,9 @@ def newest_versions(stream: DataFrame, ids: list[str], version: str, keep: str =
     dropped without a difference. Repeated versions pass once; of rows of one version in one batch, any one. Rows with a
     null id or version are left out.
 
-    State lies in RocksDB with the stream's checkpoint: a batch reads the records it holds, not the history.
+    State lies in RocksDB with the stream's checkpoint. Calling Python costs more than comparing versions, so records are
+    dealt over ``SLOTS`` keys by their hash: a batch reads and writes the versions of the slots its records fall into, and
+    a slot drops versions behind the watermark when it is next read, or all when its newest one has been passed.
     """
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
@@ -81,13 +111,15 @@ def newest_versions(stream: DataFrame, ids: list[str], version: str, keep: str =
     for column in ids:
         complete &= F.col(column).isNotNull()
     moment = F.col(version).cast("timestamp")
+    record = F.to_json(F.struct(*ids))
+    slot = F.pmod(F.xxhash64(record), F.lit(SLOTS)).cast("int")
     named = stream.where(complete).select(
-        "*", F.to_json(F.struct(*ids)).alias(_ID), F.unix_micros(moment).alias(_VERSION), moment.alias(_TIME)
+        slot.alias(_SLOT), "*", record.alias(_ID), F.unix_micros(moment).alias(_VERSION), moment.alias(_TIME)
     )
     last = named.mapInArrow(_last_of_batch, named.schema)
     return (
         last.withWatermark(_TIME, keep)
-        .groupBy(_ID)
+        .groupBy(_SLOT)
         .transformWithStateInPandas(
             statefulProcessor=_Newest(stream.columns), outputStructType=stream.schema, outputMode="Append", timeMode="EventTime"
         )

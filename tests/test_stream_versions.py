@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowferry.streaming.versions import ROCKSDB, newest_versions
 
@@ -70,6 +71,37 @@ def test_against_the_definition(spark, tmp_path, rocksdb):
     assert all(sum(map(len, found[:n])) for n in (1, 2, 3))
 
 
+def test_records_that_share_state(spark, tmp_path, rocksdb, monkeypatch):
+    """Few slots and small frames: a slot holds many records, a record comes in several frames, some versions have been passed."""
+    monkeypatch.setattr("rowferry.streaming.versions.SLOTS", 3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    choice = random.Random(5)
+    batches = [
+        [(choice.randrange(60), choice.choice("ab"), at(n * 50 + choice.randrange(-120, 60)), f"{n}/{i}") for i in range(150)] for n in range(4)
+    ]
+    batches.append(batches[2])
+    try:
+        found = passed(spark, tmp_path, batches, "60 minutes")
+    finally:
+        spark.conf.set(name, before)
+    assert [sorted(r[:3] for r in rows) for rows in found] == [sorted(rows) for rows in expected(batches, dt.timedelta(minutes=60))]
+
+
+def test_state_has_few_keys_for_many_records(spark, tmp_path, rocksdb, monkeypatch):
+    """The state is read and written by slot: a call per record takes milliseconds, so millions of records would not end."""
+    monkeypatch.setattr("rowferry.streaming.versions.SLOTS", 16, raising=False)
+    files = str(tmp_path / "in")
+    spark.range(20_000).selectExpr("id", "'a' AS kind", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS at", "'' AS note").write.parquet(files)
+    stream = spark.readStream.schema(SCHEMA).parquet(files)
+    writer = newest_versions(stream, ["id"], "at", "60 minutes").writeStream.format("parquet")
+    running = writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    running.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.count_distinct("id")).first()[0] == 20_000
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in running.recentProgress) <= 100
+
+
 def test_other_state_stores_are_refused(spark, tmp_path):
     stream = spark.readStream.format("rate").load().selectExpr("value AS id", "timestamp AS at")
     with pytest.raises(ValueError, match="RocksDB"):
