@@ -1,25 +1,17 @@
-"""Token ids of whole texts by a byte-level BPE vocabulary, with a cache of words."""
+"""Token ids of whole texts by a byte-level BPE vocabulary."""
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
 END_ID = 0
-CACHE_WORDS = 400_000
-LONG_WORD = 256  # characters; longer ones are not kept
-GROUP_CHARS = 2_000_000
 
-# A space between two characters that are no white space always begins a new
-# word of the tokenizer, so a text can be cut there.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: how a byte-level vocabulary of this kind cuts a text into words.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -34,9 +26,10 @@ def _byte_letters() -> dict[str, int]:
 class ByteBpe:
     """The ids that ``tokenizers`` gives without adding special tokens, as little-endian unsigned 32-bit numbers.
 
-    Words are encoded by ``tiktoken``, several times as fast, over the same vocabulary;
-    this needs ids in the order of the merges. Words with special tokens
-    inside, and vocabularies of another kind, are left to ``tokenizers``.
+    Texts are encoded by ``tiktoken``, several times as fast, over the same vocabulary;
+    this needs ids in the order of the merges. Texts with special tokens
+    inside, and vocabularies of another kind, are left to ``tokenizers``. No words are kept: where most are new,
+    keeping them costs more than encoding, and it gains little where they repeat.
     """
 
     def __init__(self, path: str):
@@ -45,7 +38,6 @@ class ByteBpe:
             spec = json.load(file)
         special = [token["content"] for token in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.words: dict[str, bytes] = {}  # word -> ids of the word with a space before it
         self.fast = self._ranked(spec, set(special))
 
     @staticmethod
@@ -62,36 +54,13 @@ class ByteBpe:
         return tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
-        if self.fast is None or (self.special and self.special.search(text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return array("I", self.fast.encode_ordinary(text)).tobytes()
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        split = [text.split(" ") for text in texts]
-        words = set(chain.from_iterable(split))
-        # White space beside a space: only such texts need the careful cut.
-        if loose := {word for word in words if not word or word[0].isspace() or word[-1].isspace()}:
-            split = [s if loose.isdisjoint(s) else _CUT.split(text) for s, text in zip(split, texts)]
-            words = set(chain.from_iterable(split))
-        known = self.words
-        if len(known) + len(words) > CACHE_WORDS:
-            known.clear()
-        unseen = words.difference(known)
-        known.update((word, self.whole(" " + word)) for word in unseen)
-        for first, *rest in split:
-            yield self.whole(first) + b"".join(map(known.__getitem__, rest))
-        for word in unseen:
-            if len(word) > LONG_WORD:
-                del known[word]
+        if self.fast is not None and not (self.special and self.special.search(text)):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # a stretch of white space too long for its patterns
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of each text, in order; texts are taken in groups, so that a word is looked up once per group."""
-        group, size = [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size > GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        if group:
-            yield from self._group(group)
+        """The ids of each text, in order."""
+        return map(self.whole, texts)

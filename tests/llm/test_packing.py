@@ -92,3 +92,27 @@ def test_words_are_encoded_as_the_library_does(library):
     texts = ["".join(random_.choice(letters) for _ in range(random_.randint(0, 25))) for _ in range(2000)]
     for text, ids in zip(texts, bpe.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_white_space(library):
+    text = " " * 1_200_000 + "x"
+    assert np.frombuffer(next(iter(ByteBpe(PATH).encode([text]))), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_new_words_cost_no_more_than_encoding_them():
+    """Texts of words that hardly repeat: what is kept of words must not cost more than the encoding."""
+    import time
+
+    bpe, choice = ByteBpe(PATH), random.Random(2)
+    parts = [[" ".join("".join(choice.choices("abcdefghij", k=choice.randint(5, 12))) for _ in range(1000)) for _ in range(150)] for _ in range(3)]
+
+    def seconds(run):
+        times = []
+        for texts in parts:
+            start = time.process_time()
+            run(texts)
+            times.append(time.process_time() - start)
+        return min(times)
+
+    plain = seconds(lambda texts: [bpe.fast.encode_to_numpy(text).tobytes() for text in texts])
+    assert seconds(lambda texts: list(bpe.encode(texts))) < 1.5 * plain
