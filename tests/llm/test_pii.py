@@ -103,6 +103,45 @@ def test_trees_against_a_walk_per_row():
     assert score == pytest.approx([walk(row) for row in x[600:]], abs=1e-12)
 
 
+def test_trees_of_a_table_are_those_in_memory(spark):
+    """Cuts, splits and leaves are the same whether sums come from one array or from the tasks; equal rows count as often as they are there."""
+    random_ = np.random.default_rng(2)
+    x = random_.integers(0, 50, (700, 4))
+    x[:, 1] = 3
+    y = (x[:, 0] > 20) ^ (x[:, 3] > 7)
+    schema = "model int, label boolean, n bigint, features binary"
+    once = [(m, bool(label != (m == 2)), 1 + int(row[0]) % 3, row.astype("<u2").tobytes()) for m in (0, 2) for row, label in zip(x, y)]
+    one_label = [(1, True, 1, x[0].astype("<u2").tobytes())]
+    found = boosted_trees.fit_table(spark.createDataFrame(once + one_label, schema).repartition(5), trees=13)
+    assert set(found) == {0, 2}
+    often = 1 + x[:, 0] % 3
+    for m in (0, 2):
+        alone = boosted_trees.fit(np.repeat(x, often, axis=0).astype(float), np.repeat(y != (m == 2), often).astype(float), trees=13)
+        assert found[m].scores(x.astype(float)) == pytest.approx(alone.scores(x.astype(float)), abs=1e-4)
+        assert np.array_equal(found[m].feature[0], alone.feature[0]) and np.array_equal(found[m].cut[0], alone.cut[0])
+
+
+def test_all_texts_are_trained_on(spark, monkeypatch):
+    """Long texts, texts with many spans, and more texts than a small sample: each different one with all its rows."""
+    wholes = [t for _, t, _, _ in texts(2300, 5)]
+    wholes += [" ".join(t for _, t, _, _ in texts(60, 6)), prose(random.Random(1), 20_000) + " ann@mail.example.com"]
+    rows, seen = [(i, t) for i, t in enumerate([*wholes, *wholes[:50], None, "", "no data"])], []
+    monkeypatch.setattr(pii, "fit", lambda rows: seen.append(rows) or pii.PiiModel())
+    pii.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    expected = [r for t in wholes for r in pii.training_rows(t)]
+    kinds = {pii.KINDS[r["model"]]: r["n"] for r in seen[0].groupBy("model").sum("n").toDF("model", "n").collect()}
+    assert kinds == {kind: sum(r[0] == kind for r in expected) for kind in pii.KINDS}
+
+
+def test_rows_of_long_texts_are_linear():
+    import time
+
+    text = " ".join(f"a{i}@mail.example.com 10.0.{i % 256}.7" for i in range(1500))
+    start = time.perf_counter()
+    assert sum(1 for _ in pii.training_rows(text)) > 40_000
+    assert time.perf_counter() - start < 60
+
+
 def _learned(spark, count=600):
     rows = [(i, t) for i, (_, t, _, _) in enumerate(texts(count, 1))] + [(-i, prose(random.Random(i))) for i in range(1, 200)]
     return pii.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
