@@ -30,8 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes but the smallest of each component, from links (u, v) in any order.
 
     The minimum per node is combined before the shuffle, and the join with it may be split,
-    so a node with very many links is no hot spot. Each round is written to the shared folder; the
-    driver sees one row per round. Links with a null end and loops are left out.
+    so a node with very many links is no hot spot. Both stars of a round are written to the shared folder;
+    the driver sees one row per round. Links with a null end and loops are left out.
     """
     pairs = stage(
         links.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
@@ -40,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     state = _state(pairs)
     while state[0]:
-        pairs = stage(_small_star(_large_star(pairs)), "links")
+        # Each star is a short plan of its own: planned as one, the driver takes several times the memory.
+        pairs = stage(_small_star(stage(_large_star(pairs), "links")), "links")
         before, state = state, _state(pairs)
         if state == before:
             break

@@ -31,6 +31,7 @@ SAMPLE_TOTAL = 1 << 28  # bytes of all languages together
 LOOKED_AT = 3 * SAMPLE_DOCS  # per language: about so many rows with small hashes are looked at first
 TABLE_COSTS = 1 << 22  # remembered costs, of all languages together
 BLOCK_BYTES = 1 << 21
+WINDOWS_AT_ONCE = 1 << 16  # looked up together: temporary arrays are a few times this size
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,16 +119,22 @@ class LanguageModel:
             # No window of a text is all ones: its last byte would not be UTF-8.
             self._keys = np.full(1 << table_bits, ~np.uint64(0))
             self._costs = np.zeros((1 << table_bits, len(self.languages)))
+        costs = np.empty((len(keys), len(self.languages)))
+        for at in range(0, len(keys), WINDOWS_AT_ONCE):
+            self._look_up(keys[at : at + WINDOWS_AT_ONCE], costs[at : at + WINDOWS_AT_ONCE])
+        return costs
+
+    def _look_up(self, keys: np.ndarray, costs: np.ndarray) -> None:
+        """Fills in ``costs`` from the table; windows that are not in it are worked out and remembered."""
         slot = ((keys * _MIX) >> self._shift).astype(np.int64)
         hit = self._keys[slot] == keys
-        costs = self._costs[slot]
+        np.take(self._costs, slot, axis=0, out=costs)
         if not hit.all():
             missing, where = np.unique(keys[~hit], return_inverse=True)
             bits = self._bits(missing)
             costs[~hit] = bits[where]
             place = ((missing * _MIX) >> self._shift).astype(np.int64)
             self._keys[place], self._costs[place] = missing, bits
-        return costs
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): bits of each whole text. Sums are in double precision."""

@@ -295,8 +295,9 @@ def near_duplicates(
     )
     signed = classes.select("class", "set_low", "set_high", "signature").join(candidates.select("class"), "class", "left_semi")
     full = _sets(docs, candidates.select("class"), words, doc_id, text)
-    facts = signed.join(full, ["class", "set_low", "set_high"])
-    links = _compare(_units(members, clusters).join(facts, "class"), percent)
+    # Staged, since one plan of all this takes much of the driver's memory; sets come last, they are large.
+    units = stage(_units(members, clusters), "units")
+    links = _compare(units.join(signed, "class").join(full, ["class", "set_low", "set_high"]), percent)
     groups = components(links)
     named = classes.select("set_low", "set_high", "class").join(groups, F.col("class") == F.col("node"), "left")
     named = named.select("set_low", "set_high", F.coalesce("component", "class").alias("component"))

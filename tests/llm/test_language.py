@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -122,3 +123,18 @@ def test_many_languages_share_the_table_of_costs(monkeypatch):
     monkeypatch.setattr(language, "TABLE_COSTS", 64)
     model = language.LanguageModel(samples)
     assert np.allclose(model.code_lengths([b"text 7 and more text"]), plain, rtol=1e-12) and model._costs.size <= 80
+
+
+def test_looking_up_a_block_takes_little_more_than_its_costs():
+    samples = {k: [s.encode() for s in v] for k, v in SENTENCES.items()}
+    model = language.LanguageModel(samples, order=3)
+    keys = language.windows(np.random.default_rng(3).integers(97, 123, 1 << 20, dtype=np.uint8).tobytes(), 3)
+    expected = np.stack([tree.bits(keys) for tree in model.trees], axis=1)
+    model.window_costs(keys[:1])  # makes the table
+    tracemalloc.start()
+    try:
+        costs = model.window_costs(keys)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (costs == expected).all() and peak < 1.6 * costs.nbytes

@@ -151,3 +151,20 @@ def test_components(spark):
     rows = components(spark.createDataFrame(links, "u bigint, v bigint")).collect()
     assert {r["node"]: r["component"] for r in rows} == {x: find(x) for x in root if find(x) != x}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_plans_stay_short(spark, monkeypatch):
+    # Plans, and their new versions as stages end, are held by the driver: no job may be one plan of all steps.
+    plans, write = [], near_dedup.stage
+
+    def counted(df, name):
+        plans.append(str(df._jdf.queryExecution().executedPlan()).count("Exchange"))
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "stage", counted)
+    monkeypatch.setitem(components.__globals__, "stage", counted)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[:90] + [f"new{i}"]) for i in range(5)] + ["one text", "another text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r["component_id"] for r in near_dedup.near_duplicates(df).collect()) == [0, 0, 0, 0, 0, 5, 6]
+    assert max(plans) <= 20, plans
